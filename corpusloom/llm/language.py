@@ -1,18 +1,19 @@
 """Problem 1: language of documents and of passages (string-kernel classification).
 
-Kernel: blended spectrum of character n-grams (LENGTHS), presence only, normalized: the number of n-grams
-that two texts share over the root of the product of their numbers.  Nystroem landmarks turn it into
-features, one-versus-rest kernel ridge regression gives a weight of each landmark for each language.  The
-product of landmarks and weights is one matrix over n-grams, so a batch of texts is scored by the product of
-its sparse presence matrix with that matrix.
+Kernel: blended spectrum of character n-grams (LENGTHS), presence only: an n-gram counts once for each
+distinct word that holds it, the counts of two texts are multiplied and summed, and the sum is divided by the
+roots of the texts' numbers of n-grams.  Nystroem landmarks turn it into features, one-versus-rest kernel ridge
+regression gives a weight of each landmark for each language.  The product of landmarks and weights is one
+matrix over n-grams.  A batch is scored by two matrix products: the sparse n-gram presence of its new words with
+that matrix, and the presence of words in its texts with the words' scores, which a worker keeps.
 
 Passages: the same matrix gives each word a score for each language, and the best sequence of languages is
 found by dynamic programming with a price for each change.  The price is chosen on mixed texts made from the
 sample.  A run of LEAST_WORDS words (or, where words are not spaced, twice as many characters) is a passage.
 
-The sample is bounded: PER_LANGUAGE labelled rows of each language, chosen by the hash of their id over the
-whole table, beside a few seed sentences.  Its labels are noisy; rows that a first fit contradicts are left
-out of the second.  Everything else is computed for every row.
+The sample is bounded: SAMPLE labelled rows, shared among the languages by the root of their numbers of rows and
+chosen by the hash of their id over the whole table, beside a few seed sentences.  Its labels are noisy; rows
+that a first fit contradicts are left out of the second.  Everything else is computed for every row.
 
 Null and wordless texts get no language.
 """
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import forms, garble
 
-#: Bounds of the fit: labelled rows and landmarks of each language.
-PER_LANGUAGE, LANDMARKS = 300, 40
+#: Bounds of the fit: labelled rows, and landmarks among them, of all languages together.
+SAMPLE, LANDMARKS = 6000, 1000
 LENGTHS = (1, 2, 3, 4, 5)
-RIDGE = 1e-2
+RIDGE = 0.3
 LEAST_WORDS = 5
+PURE = 10
 
 # Names of the languages, besides their codes with or without a region.
 NAMES = {
@@ -61,7 +63,8 @@ SEEDS = {
 }
 
 _MARKER = re.compile(r"<[a-z]+>|https?://\S+", re.I)
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+_CLAUSE_END = re.compile(r"[^\w\s'’-]+|\s[-–—]+\s|[\n\r]+")
+_NOT_LETTER = re.compile(r"(?:[^\w\n]|[\d_])+")
 _WORD = re.compile(r"[^\W_]")
 
 
@@ -74,105 +77,111 @@ def code_of(label: str | None) -> str | None:
 
 
 def prepared(text: str) -> str:
-    """Lower-case words between single spaces; markers, digits and signs go, damaged characters are restored first."""
+    """Lower-case words, with a line for each clause; markers, digits and signs go, damaged characters are restored first."""
     if not text.isascii():
         text = forms.plain(garble.repair(text)[0])[0]
-    return f" {_NOT_LETTER.sub(' ', _MARKER.sub(' ', text).lower()).strip()} "
+    return _NOT_LETTER.sub(" ", _CLAUSE_END.sub("\n", _MARKER.sub(" ", text).lower())).strip()
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of all texts in one array, offsets); LENGTHS' longest many zeros stand at the end."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    off = np.cumsum([0, *map(len, texts)])
-    return np.concatenate([flat, np.zeros(max(LENGTHS), np.uint64)]), off
+def clause_starts(text: str) -> np.ndarray:
+    """For each word of a prepared text, whether it begins a clause."""
+    sizes = [n for line in text.split("\n") if (n := len(line.split()))]
+    out = np.zeros(sum(sizes), bool)
+    out[np.cumsum([0, *sizes])[:-1]] = True
+    return out
 
 
 _P, _M = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(flat: np.ndarray, row_end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length: hashes of the n-grams at every position, and whether each lies within its text."""
-    n = len(flat) - max(LENGTHS)
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram hashes, word index) of words with a space on either side; an n-gram is there once for a word."""
+    flat = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words])
+    row = np.repeat(np.arange(len(words)), size)
+    end = np.cumsum(size)[row]
+    n, at = len(flat), np.arange(len(flat))
+    flat = np.r_[flat, np.zeros(max(LENGTHS), np.uint64)]
     h = np.zeros(n, np.uint64)
-    at = np.arange(n)
+    out_h, out_r = [], []
     for k in range(1, max(LENGTHS) + 1):
         h = h * _P + flat[k - 1 : k - 1 + n] + np.uint64(k)
         if k in LENGTHS:
-            yield (h * _M) >> np.uint64(8), at + k <= row_end
+            ok = at + k <= end
+            out_h.append((h[ok] * _M) >> np.uint64(8))
+            out_r.append(row[ok])
+    h, r = np.concatenate(out_h), np.concatenate(out_r)
+    order = np.lexsort((h, r))
+    h, r = h[order], r[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]
+    return h[new], r[new]
 
 
 class KernelModel:
-    """Weights of n-grams for each language, with the table that finds an n-gram's row."""
+    """Weights of n-grams for each language."""
+
+    #: Words whose scores a worker keeps; beyond, the table is emptied.
+    KEPT = 200_000
 
-    BITS = 21
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, price: float = 0.0):
+        self.hashes, self.weights, self.price = hashes, weights.astype(np.float32), price
+        self._forget()
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, price: float = 0.0, scale: float = 1.0):
-        order = np.argsort(hashes)
-        self.hashes, self.weights = hashes[order], np.vstack([weights[order], np.zeros((1, weights.shape[1]), np.float32)]).astype(np.float32)
-        self.price, self.scale = price, scale
-        self.slots: np.ndarray | None = None
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scored = np.zeros((0, self.weights.shape[1]), np.float32)
+        self.grams = np.zeros(0, np.int64)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "slots"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "scored", "grams")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, slots=None)
-
-    def rows(self, h: np.ndarray) -> np.ndarray:
-        """The row of each hash; the last row, of zeros, for n-grams without weight."""
-        if self.slots is None:  # first hash of each slot; a slot's hashes are neighbours, as the slot is the leading bits
-            self.slots = np.searchsorted(self.hashes, np.arange((1 << self.BITS) + 1, dtype=np.uint64) << np.uint64(56 - self.BITS)).astype(np.int32)
-        slot = (h >> np.uint64(56 - self.BITS)).astype(np.int64)
-        lo, n = self.slots[slot], self.slots[slot + 1]
-        out = np.full(len(h), len(self.hashes), np.int32)
-        todo = np.flatnonzero(lo < n)
-        lo = lo[todo]
-        while len(todo):
-            hit = self.hashes[lo] == h[todo]
-            out[todo[hit]] = lo[hit]
-            lo = lo + 1
-            more = ~hit & (lo < n[todo])
-            todo, lo = todo[more], lo[more]
-        return out
+        self.__dict__.update(state)
+        self._forget()
+
+    def _learn(self, words: list[str]) -> None:
+        """Scores of new words: their sparse n-gram presence matrix times the matrix of weights."""
+        h, r = word_grams(words)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[at] == h
+        out = np.zeros((len(words), self.weights.shape[1]), np.float32)
+        if hit.any():
+            rows = r[hit]
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            out[rows[starts]] = np.add.reduceat(self.weights[at[hit]], starts, axis=0)
+        for w in words:
+            self.known[w] = len(self.known)
+        self.scored = np.vstack([self.scored, out])
+        self.grams = np.r_[self.grams, np.bincount(r, minlength=len(words))]
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """(kernel scores of each text, scores of each of its words).  texts: prepared."""
-        flat, off = _codes(texts)
-        n = off[-1]
-        row = np.repeat(np.arange(len(texts)), np.diff(off))
-        end = off[1:][row]
+        split = [t.split() for t in texts]
+        if len(self.known) > self.KEPT:
+            self._forget()
+        new = {w for ws in split for w in ws if w not in self.known}
+        if new:
+            self._learn(sorted(new))
+        get = self.known.__getitem__
+        idx = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in split]
+        # the batch's presence matrix over distinct words times the words' scores
+        own = [np.fromiter(map(get, dict.fromkeys(ws)), np.int64) for ws in split]
+        size = np.array([len(x) for x in own])
+        flat = np.concatenate(own) if own else np.zeros(0, np.int64)
         total = np.zeros((len(texts), self.weights.shape[1]), np.float32)
-        size = np.zeros(len(texts))
-        by_pos = np.zeros((n, self.weights.shape[1]), np.float32)
-        for h, inside in _grams(flat, end):
-            at = np.flatnonzero(inside)
-            idx = self.rows(h[at])
-            # presence: an n-gram counts once in a text
-            key = np.unique(h[at] ^ (row[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            size += np.bincount(row[at], minlength=len(texts)) * (len(key) / max(1, len(at)))
-            known = idx < len(self.hashes)
-            idx, at = idx[known], at[known]
-            by_pos[at] += self.weights[idx]
-            pair = np.unique(row[at].astype(np.int64) * (len(self.hashes) + 1) + idx)
-            r, g = np.divmod(pair, len(self.hashes) + 1)
-            if len(r):  # the batch's sparse presence matrix times the matrix of weights
-                starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                total[r[starts]] += np.add.reduceat(self.weights[g], starts, axis=0)
-        total /= np.sqrt(np.maximum(size, 1))[:, None]
-        # a word's n-grams are those that start in it or at the space before it
-        space = flat[:n] == 32
-        first = space & np.r_[row[1:] == row[:-1], False]
-        starts = np.flatnonzero(first)
-        words = np.add.reduceat(by_pos, starts, axis=0) if len(starts) else np.zeros((0, total.shape[1]), np.float32)
-        bounds = np.searchsorted(row[starts], np.arange(len(texts) + 1))
-        return total, [words[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-
-
-def _presence(texts: list[str]) -> list[np.ndarray]:
+        some = np.flatnonzero(size)
+        if len(some):
+            starts = (np.cumsum(size) - size)[some]
+            total[some] = np.add.reduceat(self.scored[flat], starts, axis=0) / np.sqrt(np.add.reduceat(self.grams[flat], starts))[:, None]
+        return total, [self.scored[i] for i in idx]
+
+
+def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text: its n-grams and in how many of its distinct words each is."""
     out = []
     for t in texts:
-        flat, off = _codes([t])
-        out.append(np.unique(np.concatenate([h[ok] for h, ok in _grams(flat, np.full(off[-1], off[-1]))])))
+        words = list(dict.fromkeys(t.split()))
+        out.append(np.unique(word_grams(words)[0], return_counts=True) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return out
 
 
@@ -182,35 +191,44 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     for c, seeds in SEEDS.items():
         texts += [prepared(s) for s in seeds]
         labels += [c] * len(seeds)
-    grams = _presence(texts)
+    grams = _features(texts)
+    norm = np.sqrt([max(1, c.sum()) for _, c in grams])
     keep_ = np.ones(len(texts), bool)
     y = np.array([LANGUAGES.index(c) for c in labels])
     for step in range(2):
         use = np.flatnonzero(keep_)
-        marks = np.concatenate([use[y[use] == k][-landmarks:] for k in range(len(LANGUAGES))])
-        vocab = np.unique(np.concatenate([grams[i] for i in marks]))
-        member = np.zeros((len(marks), len(vocab)), np.float32)
-        for k, i in enumerate(marks):
-            member[k, np.searchsorted(vocab, grams[i])] = 1 / np.sqrt(max(1, len(grams[i])))
+        quota = {k: max(12, round(landmarks * (y[use] == k).mean())) for k in range(len(LANGUAGES))}
+        marks = np.concatenate([use[y[use] == k][-quota[k] :] for k in range(len(LANGUAGES))])
+        # n-gram -> the landmarks that hold it, as one array with offsets
+        pair_g = np.concatenate([grams[i][0] for i in marks])
+        pair_m = np.repeat(np.arange(len(marks)), [len(grams[i][0]) for i in marks])
+        pair_c = np.concatenate([grams[i][1] / norm[i] for i in marks])
+        order = np.argsort(pair_g, kind="stable")
+        vocab, at = np.unique(pair_g[order], return_index=True)
+        holders, held, bounds = pair_m[order], pair_c[order], np.r_[at, len(order)]
 
         def against(i: int) -> np.ndarray:
-            at = np.minimum(np.searchsorted(vocab, grams[i]), len(vocab) - 1)
-            at = at[vocab[at] == grams[i]]
-            return member[:, at].sum(axis=1) / np.sqrt(max(1, len(grams[i])))
+            g, c = grams[i]
+            k = np.minimum(np.searchsorted(vocab, g), len(vocab) - 1)
+            hit = vocab[k] == g
+            k, c = k[hit], c[hit]
+            n = bounds[k + 1] - bounds[k]
+            at = np.repeat(bounds[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            return np.bincount(holders[at], np.repeat(c, n) * held[at], minlength=len(marks)) / norm[i]
 
         k_nm = np.array([against(i) for i in range(len(texts))])
         val, vec = np.linalg.eigh(k_nm[marks])
         root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
         feats = (k_nm @ root)[use]
         goal = np.where(y[use][:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
-        weight = 1 / np.bincount(y[use], minlength=len(LANGUAGES))[y[use]]
-        left = feats.T @ (feats * weight[:, None]) + ridge / len(LANGUAGES) * np.eye(feats.shape[1])
-        alpha = root @ np.linalg.solve(left, feats.T @ (goal * weight[:, None]))
+        left = feats.T @ feats + ridge * np.eye(feats.shape[1])
+        alpha = root @ np.linalg.solve(left, feats.T @ goal)
         if step == 0:
             pred = (k_nm @ alpha).argmax(axis=1)
             keep_ = pred == y
             keep_[-sum(map(len, SEEDS.values())) :] = True
-    weights = (member.T @ alpha).astype(np.float32)
+    # the matrix over n-grams: the landmarks' presence, transposed, times their weights
+    weights = np.add.reduceat(alpha[holders] * held[:, None], bounds[:-1], axis=0).astype(np.float32)
     weights -= weights.mean(axis=1, keepdims=True)
     model = KernelModel(vocab, weights)
     _tune(model, [t for t, k in zip(texts, keep_) if k], [c for c, k in zip(labels, keep_) if k])
@@ -218,38 +236,55 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 def _tune(model: KernelModel, texts: list[str], labels: list[str]) -> None:
-    """Choose the price of a change of language: least errors on single texts and on pairs of texts of two languages."""
+    """Choose the price of a change of language: least errors on single texts and on texts with clauses of another language."""
     r = np.random.default_rng(7)
-    pure = r.permutation(len(texts))[:400]
-    mixed = [(a, b) for a, b in r.integers(0, len(texts), (600, 2)) if labels[a] != labels[b]]
-    made = [texts[i] for i in pure] + [texts[a] + texts[b].lstrip() for a, b in mixed]
-    want = [{labels[i]} for i in pure] + [{labels[a], labels[b]} for a, b in mixed]
+    clauses = [[c for c in t.split("\n") if c.strip()] for t in texts]
+    pure = r.permutation(len(texts))[:800]
+    made, want = [texts[i] for i in pure], [{labels[i]} for i in pure]
+    for a, b in r.integers(0, len(texts), (2400, 2)):
+        if labels[a] == labels[b] or len(texts[a].split()) < 12:
+            continue
+        part = [c for c in clauses[b] if len(c.split()) >= LEAST_WORDS and labels[b] != "ja"][: int(r.integers(1, 4))]
+        if part:
+            at = int(r.integers(0, len(clauses[a]) + 1))
+            left = [clauses[a][:at], clauses[a][at:]]
+            if any(sum(len(c.split()) for c in x) >= LEAST_WORDS for x in left):
+                made.append("\n".join([*left[0], *part, *left[1]]))
+                want.append({labels[a], labels[b]})
     _, words = model.scores(made)
+    starts = [clause_starts(t) for t in made]
     step = float(np.median(np.concatenate([np.abs(w).max(axis=1) for w in words if len(w)])))
+    # mixed texts are rare, so the share of errors on single texts weighs as much as PURE times that on mixed ones
     tried = []
-    for f in (1, 1.5, 2, 2.5, 3, 4, 5, 6, 8):
-        got = [set(LANGUAGES[k] for k, _, _ in passages(p, t)) for p, t in zip(paths(words, f * step), made)]
-        tried.append((sum(g != w for g, w in zip(got, want)), f))
+    for f in (0.5, 0.75, 1, 1.25, 1.5, 2, 2.5, 3, 4, 6):
+        got = [{LANGUAGES[k] for k, _, _ in passages(p, t, c)} for p, t, c in zip(paths(words, starts, f * step), made, starts)]
+        wrong = [g != w for g, w in zip(got, want)]
+        tried.append((PURE * sum(wrong[: len(pure)]) / len(pure) + sum(wrong[len(pure) :]) / max(1, len(made) - len(pure)), f))
     best = min(e for e, _ in tried)
-    model.price = step * float(np.median([f for e, f in tried if e <= best * 1.1 + 1]))
-    model.scale = step
+    model.price = step * float(np.median([f for e, f in tried if e <= best * 1.1 + 0.005]))
+
 
+#: A change of language within a clause costs so many times that at its start.
+INNER = 4
 
-def paths(words: list[np.ndarray], price: float) -> list[np.ndarray]:
-    """The best language of each word, for a batch of texts at once."""
+
+def paths(words: list[np.ndarray], starts: list[np.ndarray], price: float) -> list[np.ndarray]:
+    """The best language of each word, for a batch of texts at once.  starts: where clauses begin."""
     if not words:
         return []
     longest = max(map(len, words))
     n, k = len(words), len(LANGUAGES)
     score = np.zeros((longest, n, k), np.float32)
-    for i, w in enumerate(words):
+    cost = np.full((longest, n), price * INNER, np.float32)
+    for i, (w, s) in enumerate(zip(words, starts)):
         score[: len(w), i] = w
+        cost[: len(w), i][s] = price
     back = np.zeros((longest, n, k), np.int8)
     now = np.zeros((n, k), np.float32)
     own = np.arange(k, dtype=np.int8)
     for t in range(longest):
         top = now.argmax(axis=1)
-        best = now[np.arange(n), top] - price
+        best = now[np.arange(n), top] - cost[t]
         change = best[:, None] > now
         back[t] = np.where(change, top[:, None], own)
         now = np.maximum(now, best[:, None]) + score[t]
@@ -264,8 +299,11 @@ def paths(words: list[np.ndarray], price: float) -> list[np.ndarray]:
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿]")
 
 
-def passages(path: np.ndarray, text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """(language, first word, end) of the passages of a prepared text; at least one if it has words."""
+def passages(path: np.ndarray, text: str, starts: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
+    """(language, first word, end) of the passages of a prepared text; at least one if it has words.
+
+    A clause of one word, a name that is called, does not count at the edges of a run.
+    """
     n = len(path)
     if not n:
         return []
@@ -274,7 +312,15 @@ def passages(path: np.ndarray, text: str, least: int = LEAST_WORDS) -> list[tupl
     if len(runs) == 1:
         return [tuple(runs[0])]
     words = text.split()
-    weight = lambda r: max(r[2] - r[1], sum(len(_UNSPACED.findall(w)) for w in words[r[1] : r[2]]) // 2)
+
+    def weight(r: list[int]) -> int:
+        a, b = r[1], r[2]
+        while a + 1 < b and starts[a] and starts[a + 1]:
+            a += 1
+        while b - 1 > a and starts[b - 1] and (b == n or starts[b]):
+            b -= 1
+        return max(b - a, sum(len(_UNSPACED.findall(w)) for w in words[a:b]) // 2)
+
     long = [r for r in runs if weight(r) >= least]
     if not long:
         total: dict[int, int] = {}
@@ -292,8 +338,8 @@ def passages(path: np.ndarray, text: str, least: int = LEAST_WORDS) -> list[tupl
     return [tuple(r) for r in out]
 
 
-def sample(df: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """Labelled texts for the fit, at most 2 * per_language of each language, spread over the whole table by hash."""
+def sample(df: DataFrame, text_col: str, label_col: str, id_col: str, size: int = SAMPLE) -> tuple[list[str], list[str]]:
+    """Labelled texts for the fit, at most 1.5 * size, spread over the whole table by hash."""
     known = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     known = known.where("label is not null and length(label) < 40").orderBy(F.desc("n"), "label").limit(500).collect()
     by_code: dict[str, int] = {}
@@ -303,13 +349,14 @@ def sample(df: DataFrame, text_col: str, label_col: str, id_col: str, per_langua
     spellings = [(r["label"], code_of(r["label"])) for r in known if code_of(r["label"])]
     if not spellings:
         return [], []
-    # a row is in if its hash is in the first share of hashes that gives per_language rows of its language
+    # a row is in if its hash is in the first share of hashes that gives its language's part of the sample
+    whole = sum(n**0.5 for n in by_code.values())
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
     cond = F.lit(False)
     for c, n in by_code.items():
-        cond = cond | (F.col(label_col).isin(*[s for s, k in spellings if k == c]) & (place < F.lit(int(1_000_000 * per_language / n) + 1)))
+        cond = cond | (F.col(label_col).isin(*[s for s, k in spellings if k == c]) & (place < F.lit(int(1_000_000 * size * n**0.5 / whole / n) + 1)))
     rows = df.where(cond & (F.length(text_col) > 30)).select(F.col(text_col).alias("t"), F.col(label_col).alias("l"), F.col(id_col).cast("string").alias("i"))
-    rows = sorted(rows.limit(2 * per_language * len(LANGUAGES)).collect(), key=lambda r: (r["i"], r["t"]))
+    rows = sorted(rows.limit(3 * size // 2).collect(), key=lambda r: (r["i"], r["t"]))
     seen, texts, labels = set(), [], []
     for r in rows:
         t = prepared(r["t"])
@@ -338,7 +385,7 @@ def detect(df: DataFrame, model: KernelModel, id_col: str = "id", text_col: str
                 texts = [prepared(raw[i]) for i in at]
                 short = [i for i, t in enumerate(texts) if not t.strip()]
                 for i in short:
-                    texts[i] = f" {raw[at[i]].lower().strip()} "
+                    texts[i] = raw[at[i]].lower().strip()
                 lang: list = [None] * len(raw)
                 conf: list = [None] * len(raw)
                 langs: list = [None] * len(raw)
@@ -348,8 +395,9 @@ def detect(df: DataFrame, model: KernelModel, id_col: str = "id", text_col: str
                     order = np.argsort([len(w) for w in words], kind="stable")
                     for s in range(0, len(order), 250):
                         part = order[s : s + 250]
-                        for i, path in zip(part, paths([words[i] for i in part], m.price)):
-                            runs = passages(path, texts[i]) or [(int(total[i].argmax()), 0, 0)]
+                        starts = [clause_starts(texts[i]) for i in part]
+                        for i, path, c in zip(part, paths([words[i] for i in part], starts, m.price), starts):
+                            runs = passages(path, texts[i], c) or [(int(total[i].argmax()), 0, 0)]
                             size: dict[int, int] = {}
                             for k, a, z in runs:
                                 size[k] = size.get(k, 0) + z - a
