@@ -30,14 +30,17 @@ ABBREVIATIONS = frozenset(
     "m mm mme mlle mlles me bd p.-d env chap réf av "
     "hr fr frl nr str bzw ca z.b z u.a d.h d.i s.o s.u u evtl ggf inkl bzgl abs bd hrsg geb sog vgl usf mio mrd tsd max min kap abb "
     "sig sigg dott dott.ssa ing avv prof.ssa pagg pag es ecc.to "
-    "г гг стр см ул д др им рис тыс млн млрд руб коп проф акад т.е т.к т.н напр гл ред тов гос св в "
+    "г гг стр см ул д др мин сек ч  им рис тыс млн млрд руб коп проф акад т.е т.к т.н напр гл ред тов гос св в "
     "डॉ श्री श्रीमती सं पृ د أ م ص ت ดร นพ พ.ศ ค.ศ น.ส ver vs".split()
 )
 # Abbreviations that may also stand at the end of a sentence.
-CLOSING_ABBREVIATIONS = frozenset("etc usw etc.. ecc т.д т.п д.р и.т.д a.m p.m jr sr u.s al u.a co inc ltd др р.х h min Std std uhr гг г руб".lower().split())
+CLOSING_ABBREVIATIONS = frozenset("etc usw ecc т.д т.п и.т.д a.m p.m jr u.s inc ltd др h min std uhr гг руб".lower().split())
 # Month names that follow a day written with a point.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep okt nov dez jänner".split())
 
+# Words that go on a sentence after a quotation, in scripts without letter case.
+GOING_ON = frozenset("في ने को में और".split())
+
 END = ".!?…。！？।॥؟۔︒｡．‼⁇⁈⁉"
 STRONG = frozenset("!?。！？।॥؟۔｡‼⁇⁈⁉︒")
 OPENERS = {"“": "”", "«": "»", "„": "“”", "‘": "’", "(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "‹": "›", "［": "］", "〔": "〕"}
@@ -47,7 +50,7 @@ _EMOJI = "‼⁉ℹ←-⇿⌚-⏿■-➿⤴-⭕〰〽\U0001f000-\U0001faff️‍
 _LINE = re.compile("[^\n\r  \x0b\x0c\x85]+")
 _HAS_WORD = re.compile(r"[^\W_]")
 # An end: marks, then closers, then emoji with blanks between.  A blank may stand before the marks ("bom ... mas").
-_STOP = re.compile(f"[{END}]+(?:[”»’)\\]}}」』）】》〉›\"'“］〕]*)(?:[  　]*[{_EMOJI}]+)*")
+_STOP = re.compile(f"[{END}]+(?:[”»’)\\]}}」』）】》〉›\"'“］〕]|[ \u00a0\u202f]»)*(?:[  　]*[{_EMOJI}]+)*")
 _THAI = re.compile("[฀-໿ក-៿က-႟]")
 _GAP = re.compile("[   -​　]+")
 _WORD_BEFORE = re.compile(r"([^\s“”«»„()\[\]\"'‘’「」『』（）—–]*)$")
@@ -58,8 +61,8 @@ _LIST_MARK = re.compile(r"\s*(?:[-*•‣◦–—▪·]|\(?\d{1,3}[.)]|\(?[a-zA
 LONG, RATE = 400, 0.002
 
 
-def _nesting(line: str) -> tuple[list[int], dict[int, int]]:
-    """(positions of matched openers and closers as depth changes, closer -> its opener)."""
+def _nesting(line: str) -> dict[int, int]:
+    """Matched quotations and brackets: closer -> its opener.  An opener without a closer counts for nothing."""
     stack: list[tuple[str, int]] = []
     pairs: dict[int, int] = {}
     for m in _BRACKET.finditer(line):
@@ -76,9 +79,9 @@ def _nesting(line: str) -> tuple[list[int], dict[int, int]]:
         if k is not None and not (c == "’" and i and i + 1 < len(line) and line[i - 1].isalpha() and line[i + 1].isalpha()):
             pairs[i] = stack[k][1]
             del stack[k:]
-        elif c in OPENERS and not (c == "‘" and False):
+        elif c in OPENERS:
             stack.append((c, i))
-    return sorted(pairs.values()), pairs
+    return pairs
 
 
 _BRACKET = re.compile("[“”«»„‘’()\\[\\]{}「」『』（）【】《》〈〉‹›［］〔〕\"]")
@@ -147,7 +150,8 @@ def spans(line: str) -> list[int]:
     if not _HAS_WORD.search(line):
         return []
     first = len(line) - len(line.lstrip())
-    opens, pairs = _nesting(line) if _BRACKET.search(line) else ([], {})
+    pairs = _nesting(line) if _BRACKET.search(line) else {}
+    openers = set(pairs.values())
     inside = sorted((o, c) for c, o in pairs.items())
     # outermost pairs only
     outer: list[tuple[int, int]] = []
@@ -160,6 +164,10 @@ def spans(line: str) -> list[int]:
     last_stop = first
     for m in _STOP.finditer(line):
         start, stop = m.start(), m.end()
+        for i in range(start, stop):  # a quotation that opens here belongs to what follows
+            if line[i] in "“\"'" and (i in openers or line[i] == "“" and i not in pairs):
+                stop = i
+                break
         if stop >= end:
             break
         while k < len(outer) and outer[k][1] < start:
@@ -186,6 +194,9 @@ def spans(line: str) -> list[int]:
                 spaced = line[stop : stop + 1].isspace()
                 score = -3.0 if not spaced or not nxt.isupper() or _mixed_script(line, opener, close, tail) else _attribution(tail)
             else:
+                follow = _FIRST_WORD.match(tail)
+                if follow and follow[1] in GOING_ON:
+                    continue
                 score = (1.5 if lead[-1:] in ":：,，" or not nxt.islower() else 0.0) + min(_opening(line, stop, strong), 0.5) if line[stop : stop + 1].isspace() or lead[-1:] in ":：" else -3.0
             if score > -3.0:
                 cand.append((stop, stop, score))
