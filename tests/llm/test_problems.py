@@ -158,7 +158,7 @@ def test_found_stands_for_sets(spark):
 
 def test_pruning_keeps_pairs_at_the_threshold():
     r = np.random.default_rng(1)
-    same = r.random((4000, neardup.BANDS * neardup.ROWS)) < 0.82
+    same = r.random((4000, neardup.COMPARED)) < 0.82
     a = r.integers(0, 256, same.shape).astype(np.uint8)
     b = np.where(same, a, r.integers(0, 256, same.shape).astype(np.uint8))
     assert len(neardup.survivors(a, b, 0.818)) >= 3990
