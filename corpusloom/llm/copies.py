@@ -65,29 +65,33 @@ def _digest(s: str | None) -> bytes | None:
 
 
 def content_rows(df: DataFrame, id_col: str, text_col: str, repair: bool = False) -> DataFrame:
-    """(id, kind, key, check, field_key) of each row.  With repair, garbled and look-alike text is first restored."""
+    """(id, kind, key, check, field_key, restored) of each row.  With repair, garbled and look-alike text is first restored, and restored says so."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, keys, checks, fkeys = [], [], [], []
+            kinds, keys, checks, fkeys, restored = [], [], [], [], []
             for text in b.column(1).to_pylist():
+                changed = False
                 if repair and text:
-                    text = forms.plain(garble.repair(text)[0])[0]
+                    text, _, how = garble.repair(text)
+                    text, alike = forms.plain(text)
+                    changed = bool(how) or alike
                     kind = SOUND if content(text) else WORDLESS
                 else:
                     kind = kind_of(text)
                 kinds.append(kind)
+                restored.append(changed)
                 c = content(text) if kind == SOUND else None
                 keys.append(_digest(c))
                 checks.append(None if c is None else xxhash.xxh64_intdigest(c) - (1 << 63))
                 fkeys.append(_digest(fields(text)) if kind == SOUND else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(kinds, pa.int8()), pa.array(keys, pa.binary()), pa.array(checks, pa.int64()), pa.array(fkeys, pa.binary())],
-                names=["id", "kind", "key", "check", "field_key"],
+                [b.column(0), pa.array(kinds, pa.int8()), pa.array(keys, pa.binary()), pa.array(checks, pa.int64()), pa.array(fkeys, pa.binary()), pa.array(restored, pa.bool_())],
+                names=["id", "kind", "key", "check", "field_key", "restored"],
             )
 
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(one, "id string, kind tinyint, key binary, check bigint, field_key binary")
+    return src.mapInArrow(one, "id string, kind tinyint, key binary, check bigint, field_key binary, restored boolean")
 
 
 def _classes(by_key: DataFrame) -> DataFrame:

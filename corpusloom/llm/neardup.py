@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import forms, garble
 from corpusloom.llm.copies import SOUND, content_rows, representatives
 from corpusloom.llm.groups import components
 from corpusloom.plans.durable import join_skewed, keep
@@ -126,11 +127,11 @@ def _jaccard(share: float) -> float:
     return share / (2 - share)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], least_words: int, repair: bool = False) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, sigs, els = [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            e = elements(t)
+            e = elements(forms.plain(garble.repair(t)[0])[0] if repair else t)
             if len(e) >= least_words:
                 ids.append(i)
                 sigs.append(signature(e))
@@ -197,9 +198,12 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[
     yield from flush()
 
 
-def sketches(texts: DataFrame, least_words: int = 1) -> DataFrame:
-    """A written table (id, sig, el, n) of each text with enough words; n is a number for the id.  texts: id, text."""
-    made = texts.mapInArrow(lambda it: _sketch(it, least_words), "id string, sig binary, el binary")
+def sketches(texts: DataFrame, least_words: int = 1, repair: bool = False) -> DataFrame:
+    """A written table (id, sig, el, n) of each text with enough words; n is a number for the id.  texts: id, text.
+
+    With repair, garbled and look-alike text is first restored.
+    """
+    made = texts.mapInArrow(lambda it: _sketch(it, least_words, repair), "id string, sig binary, el binary")
     return keep(made.withColumn("n", F.monotonically_increasing_id()), "sketches")
 
 
@@ -239,13 +243,14 @@ def similar_pairs(sketch: DataFrame, share: float = 0.9, small: int = SMALL, blo
     return out.unionByName(wide).dropDuplicates(["id_a", "id_b"])
 
 
-def _set_texts(df: DataFrame, id_col: str, text_col: str, least_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(content rows, content sets, (id, text) of one representative of each set of formatting copies that is long enough)."""
-    rows = keep(content_rows(df, id_col, text_col).where(f"kind = {SOUND}").drop("kind"), "content")
-    sets = keep(representatives(rows, all_sets=True).select("key", "check", "n", "first_id"), "sets")
+def _set_texts(df: DataFrame, id_col: str, text_col: str, least_words: int, repair: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their kind, content sets, (id, text) of one representative of each set of formatting copies that is long enough)."""
+    rows = keep(content_rows(df, id_col, text_col, repair), "content")
+    sets = keep(representatives(rows.where(f"kind = {SOUND}"), all_sets=True).select("key", "check", "n", "first_id"), "sets")
     first = sets.select(F.col("first_id").alias("id")).distinct()
-    # Words and the signs between them take two characters each, which the JVM can tell before the join.
-    texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= 2 * least_words - 1)
+    # Words and the signs between them take two characters each, which the JVM can tell before the join; restored text may be longer.
+    least_chars = 1 if repair else 2 * least_words - 1
+    texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= least_chars)
     # An id that repeats has one text here, the least.
     return rows, sets, texts.join(first, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
@@ -259,18 +264,23 @@ def found(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", least
     return similar_pairs(sketches(texts, least_words), share).select("id_a", "id_b")
 
 
-def clusters(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", least_words: int = 5, share: float = 0.9) -> DataFrame:
-    """(id, class_id, links): the near-duplicate class of each sound row with enough words, and how many other texts it links to.
+def clusters(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", share: float = 0.9) -> DataFrame:
+    """(id, class_id, links, restored_links): the near-duplicate class of every row, and how many other texts it links to.
 
-    Copies that differ only in formatting are in one class; links counts different texts.
+    Garbled and look-alike text is first restored, and texts of any length take part.  Copies that differ only in
+    formatting are in one class.  links counts different texts of which the table has a sound copy, restored_links those
+    of which it has none.  A row without a letter or digit is a class of its own.
     """
-    rows, sets, texts = _set_texts(df, id_col, text_col, least_words)
-    sketch = sketches(texts, least_words)
-    pairs = keep(similar_pairs(sketch, share), "pairs")
+    rows, sets, texts = _set_texts(df, id_col, text_col, 1, repair=True)
+    pairs = keep(similar_pairs(sketches(texts, 1, repair=True), share), "pairs")
     roots = components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    member = sketch.select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(ends, "id", "left")
-    member = member.select(F.col("id").alias("first_id"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    by_key = keep(sets.join(member, "first_id").select("key", "check", "n", "class_id", "links"), "classes")
-    return join_skewed(rows.select("key", "check", "id"), by_key, ["key", "check"], "n").select("id", "class_id", "links")
-
+    worded = rows.where(f"kind = {SOUND}")
+    sound = sets.join(worded.where("not restored").select("key", "check").distinct(), ["key", "check"]).select(F.col("first_id").alias("other"), F.lit(1).alias("sound")).distinct()
+    ends = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")))
+    ends = ends.join(sound, "other", "left").groupBy("id").agg(F.count("sound").alias("links"), (F.count(F.lit(1)) - F.count("sound")).alias("restored_links"))
+    member = roots.join(ends, F.col("node") == F.col("id")).select(F.col("node").alias("first_id"), F.col("root").alias("class_id"), "links", "restored_links")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "restored_links")]
+    by_key = keep(sets.join(member, "first_id", "left").select("key", "check", "n", F.coalesce("class_id", "first_id").alias("class_id"), *counts), "classes")
+    out = join_skewed(worded.select("key", "check", "id"), by_key, ["key", "check"], "n").select("id", "class_id", "links", "restored_links")
+    none = F.lit(0).cast("bigint")
+    return out.unionByName(rows.where(f"kind <> {SOUND}").select("id", F.col("id").alias("class_id"), none.alias("links"), none.alias("restored_links")))

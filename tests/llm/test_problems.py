@@ -156,6 +156,15 @@ def test_found_stands_for_sets(spark):
     assert neardup.found(df.limit(0)).count() == 0
 
 
+def test_every_row_has_a_class(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    texts = {"a": long, "b": long.replace("w3 ", "nÃ£o "), "c": long.replace("w3 ", "não "), "d": long.replace("w7", "ѕw7"), "e": None, "f": " ", "g": "!!", "h": "Short one", "i": "short  one!", "j": "one short", "k": "x", "l": "другой"}
+    rows = {r.id: r for r in neardup.clusters(corpus(spark, list(texts.items()))).collect()}
+    assert rows.keys() == texts.keys()
+    assert {k: r.class_id for k, r in rows.items()} == dict(zip("abcdefghijkl", "aaaaefghhhkl"))
+    assert {k: (r.links, r.restored_links) for k, r in rows.items()} == dict.fromkeys("efgkl", (0, 0)) | dict.fromkeys("abc", (1, 1)) | {"d": (2, 0)} | dict.fromkeys("hij", (1, 0))
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     r = np.random.default_rng(1)
     same = r.random((4000, neardup.COMPARED)) < 0.82
