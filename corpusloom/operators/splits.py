@@ -1,4 +1,4 @@
-"""Splits by hash: stateless, the same for a row whatever else is in the table."""
+"""Splits by hash: stateless, the same for a row whatever else is in the table; and splits by groups, balanced over strata."""
 
 from __future__ import annotations
 
@@ -7,6 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.dedup import near_clusters, pair_links
+from corpusloom.operators.graph import components
+from corpusloom.plans.durable import join_skewed, keep
+
+#: Groups that hold this share of all rows, or more, are assigned one by one; there are at most as many.
+LARGE_SHARE = 2000
+
 
 def unit(c: Column, seed: int) -> Column:
     """A number from 0 up to 1 from the md5 of seed and key, the same in any engine."""
@@ -36,3 +43,104 @@ def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, seed: int
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col)) - 1)
     out = rows.join(F.broadcast(start), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_bb")))
     return out.withColumn("fold", ((F.col("_s") + F.col("_i")) % k).cast("int")).select(*df.columns, "fold")
+
+
+def related(corpus: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, grp): rows tied by equal or similar text, by a pair or by the stored cluster, through others too, share a group."""
+    near = keep(near_clusters(corpus, links=pair_links(corpus, pairs)), "near")
+    stored = corpus.where("dup_cluster_id is not null").select("id", F.concat(F.lit("s"), F.col("dup_cluster_id").cast("string")).alias("b"))
+    roots = components(near.join(stored, "id").select(F.concat(F.lit("r"), F.col("cluster")).alias("a"), "b").distinct())
+    roots = keep(roots.where("node like 'r%'").select(F.expr("substring(node, 2)").alias("cluster"), F.col("root").alias("grp")), "roots")
+    # Clusters are counted first: one may hold a third of all rows.
+    size = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    by_cluster = keep(size.join(roots, "cluster", "left").select("cluster", "n", F.coalesce("grp", F.concat(F.lit("r"), F.col("cluster"))).alias("grp")), "groups")
+    return join_skewed(near, by_cluster, ["cluster"], "n").select("id", "grp")
+
+
+def allot(classes: Sequence[tuple[dict[str, float], int]], ratios: Sequence[tuple[str, float]]) -> list[dict[str, int]]:
+    """Greedy assignment of classes of groups, largest first: how many groups of each class each split gets.
+
+    classes: (rows of a group by stratum, number of such groups).  A group goes to the split that is furthest below
+    its share in the strata of the group, each in proportion to its whole; ties go by order.  Strata too small to
+    give each split a row count as one.  A class of many equal groups is filled in steps of a 64th of what is left,
+    and of one at the end.
+    """
+    total = sum(r for _, r in ratios)
+    want = {name: r / total for name, r in ratios}
+    rows_of: dict[str, float] = {}
+    for rows, k in classes:
+        for s, n in rows.items():
+            rows_of[s] = rows_of.get(s, 0.0) + n * k
+    pool = {s: s if n * min(want.values()) >= 1 else None for s, n in rows_of.items()}
+    whole: dict[str | None, float] = {}
+    for s, n in rows_of.items():
+        whole[pool[s]] = whole.get(pool[s], 0.0) + n
+    have = {name: dict.fromkeys(whole, 0.0) for name in want}
+    out = []
+    for rows, k in classes:
+        given, left = dict.fromkeys(want, 0), k
+        while left:
+            step = max(1, left // 64)
+            best = max(want, key=lambda x: sum((want[x] - have[x][pool[s]] / whole[pool[s]]) * n / whole[pool[s]] for s, n in rows.items()))
+            given[best] += step
+            for s, n in rows.items():
+                have[best][pool[s]] += n * step
+            left -= step
+        out.append(given)
+    return out
+
+
+def stratified_group_split(df: DataFrame, groups: DataFrame, strata: Sequence[str], ratios: Sequence[tuple[str, float]], buckets: int = 256) -> DataFrame:
+    """(id, split_to): all rows of a group share a split, and splits come close to the ratios in all rows and in each stratum.
+
+    groups: a written table (id, grp) with every id once.  Large groups are assigned one by one; small ones, of which
+    there are very many alike, by classes of equal rows by stratum, whose members are interchangeable.
+    """
+    spark = df.sparkSession
+    stratum = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in strata])
+    cells = keep(df.select("id", stratum.alias("s")).join(groups, "id").groupBy("grp", "s").agg(F.count(F.lit(1)).alias("n")), "cells")
+    sizes = cells.groupBy("grp").agg(F.sum("n").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = keep(sizes.where(F.col("n") * LARGE_SHARE >= total).limit(LARGE_SHARE), "large")
+    big: dict[str, dict[str, int]] = {}
+    for r in cells.join(F.broadcast(large.select("grp")), "grp").collect():
+        big.setdefault(r["grp"], {})[r["s"]] = r["n"]
+    # A class is the rows by stratum: exact for groups of one stratum up to 32 rows, by the size in steps of a tenth, the two
+    # main strata and the share of the first in tenths for all others, so classes are few.
+    rest = cells.join(F.broadcast(large.select("grp")), "grp", "left_anti")
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "s"))), 1, 2)
+    made = rest.groupBy("grp").agg(F.sum("n").alias("n"), top.alias("top"))
+    size = F.when(F.col("n") <= 32, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log(1.1, F.col("n").cast("double"))))
+    cls = F.concat_ws("\x1f", size, F.round(-F.col("top")[0]["m"] * 10 / F.col("n")).cast("int"), F.col("top")["s"])
+    made = keep(made.select("grp", "n", cls.alias("cls"), F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("bucket")), "classes")
+    counted: dict[str, list[tuple[int, int]]] = {}
+    for r in made.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("k")).collect():
+        counted.setdefault(r["cls"], []).append((r["bucket"], r["k"]))
+    inside: dict[str, dict[str, int]] = {}
+    for r in rest.join(made.select("grp", "cls"), "grp").groupBy("cls", "s").agg(F.sum("n").alias("n")).collect():
+        inside.setdefault(r["cls"], {})[r["s"]] = r["n"]
+    plan = [(rows, 1, True, g) for g, rows in big.items()]
+    for c, per_bucket in counted.items():
+        k = sum(x for _, x in per_bucket)
+        plan.append(({s: n / k for s, n in inside[c].items()}, k, False, c))
+    plan.sort(key=lambda x: (-sum(x[0].values()), not x[2], x[3]))
+    one_by_one, spans = [], []
+    for (_, _, alone, key), given in zip(plan, allot([x[:2] for x in plan], ratios)):
+        if alone:
+            one_by_one.append((key, next(s for s, c in given.items() if c)))
+            continue
+        start = 0
+        for bucket, k in sorted(counted[key]):
+            at = 0
+            for s, c in given.items():
+                lo, hi = max(at, start), min(at + c, start + k)
+                if lo < hi:
+                    spans.append((key, bucket, lo - start, hi - start, s))
+                at += c
+            start += k
+    # One window partition is a bucket of a class: 1/256 of its groups.
+    number = F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("grp")) - 1
+    ranges = spark.createDataFrame(spans, "cls string, bucket long, lo long, hi long, split_to string")
+    small = made.withColumn("i", number).join(F.broadcast(ranges), ["cls", "bucket"]).where("i >= lo and i < hi").select("grp", "n", "split_to")
+    alone = large.join(F.broadcast(spark.createDataFrame(one_by_one, "grp string, split_to string")), "grp").select("grp", "n", "split_to")
+    return join_skewed(groups, keep(small.unionByName(alone), "assigned"), ["grp"], "n").select("id", "split_to")

@@ -15,6 +15,7 @@ from corpusloom.operators import features as X
 from corpusloom.operators import labels as L
 from corpusloom.operators import models as M
 from corpusloom.operators import splits as S
+from corpusloom.plans.durable import keep
 from corpusloom.sources import html, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,6 +300,13 @@ def group_split(spark, d):
     return S.group_split(corpus(spark, d), group, [("train", 0.7), ("val", 0.15), ("test", 0.15)]).select("id", "split_to")
 
 
+@query()
+def stratified_group_split(spark, d):
+    c = corpus(spark, d)
+    groups = keep(S.related(c, _t(spark, d, "vidgen_pairs")), "related")
+    return S.stratified_group_split(c, groups, ["language", "source_dataset", "label"], [("train", 0.7), ("val", 0.15), ("test", 0.15)])
+
+
 @query("""WITH r AS (SELECT substr(md5(id), 1, 2) AS bucket, md5(id || ':' || coalesce(split, '')) AS h FROM corpus_strict)
  SELECT bucket, count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR AS digest_a, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR AS digest_b FROM r GROUP BY ALL""")
 def split_manifest(spark, d):
