@@ -7,16 +7,20 @@ from dataclasses import dataclass, field
 from itertools import product
 from random import Random
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import PCA, HashingTF, IDF, Normalizer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluate as E
+from corpusloom.operators.splits import stratified_folds
 
 
 @dataclass(frozen=True)
@@ -27,9 +31,12 @@ class Config:
     c: float = 1.0
     l1: float = 0.0
     balanced: bool = True
-    max_iter: int = 30
-    word_features: int = 1 << 13
-    char_features: int = 1 << 13
+    max_iter: int = 1000
+    word_features: int = 150_000
+    char_features: int = 150_000
+    char_ngrams: tuple[int, int] = (3, 5)
+    min_df: int = 3
+    calibration_folds: int = 3
     lowercase: bool = True
     strip_accents: bool = False
     stop_words: str | None = None
@@ -38,40 +45,73 @@ class Config:
 
 
 def featurize(df: DataFrame, cfg: Config, text: str = "text_clean") -> DataFrame:
-    """Term vectors by feature hashing: two stateless blocks, so nothing is fitted and no vocabulary is collected."""
+    """Adds the terms of both blocks: _w, one and two words, and _c, characters within what stands between white space."""
     t = F.coalesce(F.col(text), F.lit(""))
     t = T.strip_accents(t) if cfg.strip_accents else t
     words = T.word_tokens(t)
     stops = T.stop_words(cfg.stop_words)
     if stops:
         words = F.filter(words, lambda w: ~w.isin(*stops))
-    out = df.withColumn("_w", T.ngrams(words, 1, 2)).withColumn("_c", T.word_bounded_chars(words, 3, 4))
-    out = HashingTF(inputCol="_w", outputCol="_wt", numFeatures=cfg.word_features).transform(out)
-    out = HashingTF(inputCol="_c", outputCol="_ct", numFeatures=cfg.char_features).transform(out)
-    return out.drop("_w", "_c")
+    spaced = T.tokens(F.lower(t) if cfg.lowercase else t)
+    low, high = cfg.char_ngrams
 
+    def of_length(n: int) -> Column:
+        # A token that is shorter than n, blanks included, counts once, at the least n.
+        return T.word_bounded_chars(spaced if n == low else F.filter(spaced, lambda w: F.length(w) + 2 >= n), n, n)
 
-def fit_features(train: DataFrame) -> list[Model]:
-    """Inverse document frequencies of both blocks, from the training rows alone."""
-    return [IDF(inputCol="_wt", outputCol="_wi").fit(train), IDF(inputCol="_ct", outputCol="_ci").fit(train)]
+    return df.withColumn("_w", T.ngrams(words, 1, 2)).withColumn("_c", F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)])))
 
 
-def apply_features(df: DataFrame, fitted: Sequence[Model]) -> DataFrame:
-    for m in fitted:
-        df = m.transform(df)
-    df = Normalizer(inputCol="_wi", outputCol="_wn").transform(df)
-    df = Normalizer(inputCol="_ci", outputCol="_cn").transform(df)
-    return VectorAssembler(inputCols=["_wn", "_cn"], outputCol="features").transform(df).drop("_wt", "_ct", "_wi", "_ci", "_wn", "_cn")
-
-
-def estimator(cfg: Config):
+@dataclass
+class Features:
+    """The vocabulary and the smoothed idf (1 added) of both blocks."""
+
+    vocabularies: list[Model]
+    idf: list[np.ndarray]
+
+
+def fit_features(train: DataFrame, cfg: Config = Config()) -> Features:
+    """From the training rows alone: terms of min_df rows or more, the most frequent first, and their weights."""
+    vocabularies, idf = [], []
+    for terms, size in (("_w", cfg.word_features), ("_c", cfg.char_features)):
+        v = CountVectorizer(inputCol=terms, outputCol=terms + "t", vocabSize=size, minDF=float(cfg.min_df)).fit(train)
+        vocabularies.append(v)
+        idf.append(IDF(inputCol=terms + "t", outputCol=terms + "i").fit(v.transform(train)).idf.toArray() + 1.0)
+    return Features(vocabularies, idf)
+
+
+def apply_features(df: DataFrame, fitted: Features) -> DataFrame:
+    """Adds features: in each block (1 + ln tf) * idf, brought to length 1."""
+    for v in fitted.vocabularies:
+        df = v.transform(df)
+    df = df.drop("_w", "_c")
+    sizes = [len(i) for i in fitted.idf]
+    weights = df.sparkSession.sparkContext.broadcast(fitted.idf)
+
+    def with_features(row):
+        *rest, w, c = row
+        at, values = [], []
+        for tf, idf, start in zip((w, c), weights.value, (0, sizes[0])):
+            x = (1.0 + np.log(tf.values)) * idf[tf.indices]
+            at.append(tf.indices + start)
+            values.append(x / (np.sqrt(x @ x) or 1.0))
+        return (*rest, SparseVector(sum(sizes), np.concatenate(at), np.concatenate(values)))
+
+    # A pass over rows: as a column, the optimizer would merge the function into expressions that cannot run it.
+    kept = df.drop("_wt", "_ct")
+    rows = df.select(*kept.columns, "_wt", "_ct").rdd.map(with_features)
+    return df.sparkSession.createDataFrame(rows, StructType([*kept.schema.fields, StructField("features", VectorUDT())]), verifySchema=False)
+
+
+def estimator(cfg: Config, total_weight: float = 1.0):
+    """total_weight: of all training rows; C weighs the sum of their losses, regParam their mean."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if cfg.kind == "logreg":
-        return LogisticRegression(**common, maxIter=cfg.max_iter, regParam=cfg.params.get("reg", 0.001 / cfg.c), elasticNetParam=cfg.l1, standardization=False, weightCol="weight")
+        return LogisticRegression(**common, maxIter=cfg.max_iter, regParam=cfg.params.get("reg", 1 / (cfg.c * total_weight)), elasticNetParam=cfg.l1, standardization=False, weightCol="weight")
     if cfg.kind == "svm":
-        return LinearSVC(**common, maxIter=cfg.max_iter, regParam=cfg.params.get("reg", 0.001 / cfg.c), standardization=False, weightCol="weight")
+        return LinearSVC(**common, maxIter=cfg.max_iter, regParam=cfg.params.get("reg", 1 / (cfg.c * total_weight)), standardization=False, weightCol="weight")
     if cfg.kind == "gbt":
-        return GBTClassifier(**common, maxIter=min(cfg.max_iter, 10), maxDepth=cfg.depth, weightCol="weight", seed=7)
+        return GBTClassifier(**common, maxIter=cfg.max_iter, maxDepth=cfg.depth, weightCol="weight", seed=7)
     raise ValueError(f"no estimator {cfg.kind!r}; there are logreg, svm, gbt")
 
 
@@ -90,27 +130,47 @@ def score_column(model: Model) -> Column:
 @dataclass
 class Trained:
     cfg: Config
-    features: list[Model]
-    model: Model
+    features: Features
+    #: Models and, where they are calibrated, the (a, b) of each one's sigmoid; the score is the mean of theirs.
+    members: list[tuple[Model, tuple[float, float] | None]]
     threshold: float
 
     def score(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(apply_features(featurize(df, self.cfg), self.features)).withColumn("y_score", score_column(self.model)).drop("features", "rawPrediction", "probability", "prediction")
+        out, total = apply_features(featurize(df, self.cfg), self.features), F.lit(0.0)
+        for k, (model, ab) in enumerate(self.members):
+            s = score_column(model)
+            out = model.transform(out).withColumn(f"_s{k}", sigmoid(F.lit(ab[0]) * s + F.lit(ab[1])) if ab else s).drop("rawPrediction", "probability", "prediction")
+            total = total + F.col(f"_s{k}")
+        return out.withColumn("y_score", total / len(self.members)).drop("features", *[f"_s{k}" for k in range(len(self.members))])
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("y_pred", (F.col("y_score") >= self.threshold).cast("int"))
 
 
 def train(train_rows: DataFrame, val_rows: DataFrame, cfg: Config = Config()) -> Trained:
-    """Fit on train only; choose the threshold on val (on train if val has fewer than 20 rows)."""
+    """Fit on train only; choose the threshold on val (on train if val has fewer than 20 rows).
+
+    An svm is one model for each calibration fold, fitted on the other folds, with a sigmoid fitted on its own.
+    """
     rows = featurize(weighted(train_rows.where("label is not null"), cfg.balanced), cfg)
-    fitted = fit_features(rows)
-    ready = apply_features(rows, fitted).select("features", "label", "weight").persist()
+    fitted = fit_features(rows, cfg)
+    ready = apply_features(rows, fitted)
+    if cfg.kind == "svm":
+        ready = stratified_folds(ready.drop("fold"), k=cfg.calibration_folds)
+    ready = ready.select("features", "label", "weight", *["fold"] * (cfg.kind == "svm")).persist()
+    total = lambda df: float(df.agg(F.sum("weight")).first()[0] or 1.0)
     try:
-        model = estimator(cfg).fit(ready)
+        if cfg.kind == "svm":
+            members = []
+            for f in range(cfg.calibration_folds):
+                rest, own = ready.where(f"fold <> {f}"), ready.where(f"fold = {f}")
+                model = estimator(cfg, total(rest)).fit(rest)
+                members.append((model, platt(model.transform(own).select(score_column(model).alias("y_score"), F.col("label").alias("y_true")))))
+        else:
+            members = [(estimator(cfg, total(ready)).fit(ready), None)]
     finally:
         ready.unpersist()
-    out = Trained(cfg, fitted, model, 0.5)
+    out = Trained(cfg, fitted, members, 0.5)
     val = val_rows.where("label is not null")
     val = train_rows.where("label is not null") if val.limit(20).count() < 20 else val
     best = E.best_threshold(out.score(val).withColumn("y_true", F.col("label")).withColumn("one", F.lit(1)), ["one"]).collect()
@@ -164,8 +224,6 @@ def fit_stack(val: DataFrame, members: Sequence[str]) -> tuple[dict[str, float],
 
 def cross_validate(df: DataFrame, cfg: Config, k: int = 5, seed: int = 42) -> DataFrame:
     """(fold, metrics) of k stratified folds."""
-    from corpusloom.operators.splits import stratified_folds
-
     rows = stratified_folds(df.where("label is not null"), k=k, seed=seed).persist()
     out = None
     for f in range(k):

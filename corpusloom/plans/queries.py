@@ -697,7 +697,7 @@ def transfer_matrix(spark, d):
     c, tr, va = _splits(spark, d)
     out = None
     for name, a, b in (("en->pt", ["vidgen", "hatexplain", "tweets_ip"], ["toldbr", "hatebr", "pt_fortuna"]), ("pt->en", ["toldbr", "hatebr", "pt_fortuna"], ["vidgen", "hatexplain", "tweets_ip"])):
-        m = M.train(tr.where(F.col("source_dataset").isin(*a)), va.where(F.col("source_dataset").isin(*a)), M.Config(word_features=1 << 12, char_features=1 << 12))
+        m = M.train(tr.where(F.col("source_dataset").isin(*a)), va.where(F.col("source_dataset").isin(*a)), M.Config())
         e = M.evaluate(m, c.where((F.col("split") == "test") & F.col("source_dataset").isin(*b)), ["split"]).withColumn("experiment", F.lit(name))
         out = e if out is None else out.unionByName(e)
     return rounded(out, 6)
