@@ -30,6 +30,10 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return text_ops.character_forms(_t(spark, d, "corpus_strict"))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return text_ops.skeleton_groups(_t(spark, d, "corpus_strict"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return text_ops.repairs(_t(spark, d, "corpus_strict")).select("id")
 

@@ -66,3 +66,15 @@ def repairs(df: DataFrame, id_col: str = "id", text_col: str = "text_clean") ->
             )
 
     return _src(df, id_col, text_col).where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInArrow(one, "id string, text string, places int, how string").dropDuplicates(["id", "text"])
+
+
+def skeleton_groups(df: DataFrame, id_col: str = "id", text_col: str = "text_clean") -> DataFrame:
+    """(skeleton, first_id, original_id, originals, look_alikes): texts of equal skeleton of which at least one is not in its plain form.
+
+    original_id is the least id of a row in plain form, null if there is none; originals and look_alikes count rows.
+    """
+    changed = F.col("changed").cast("long")
+    out = character_forms(df, id_col, text_col).where("skeleton is not null").groupBy("skeleton").agg(
+        F.min("id").alias("first_id"), F.min(F.when(~F.col("changed"), F.col("id"))).alias("original_id"), F.sum(1 - changed).alias("originals"), F.sum(changed).alias("look_alikes")
+    )
+    return out.where("look_alikes > 0")

@@ -70,6 +70,12 @@ def test_forms_are_stable():
         assert forms.plain(forms.plain(t)[0])[1] is False
 
 
+def test_originals_are_grouped_by_skeleton(spark):
+    df = corpus(spark, [("a", "Juѕt nοw"), ("b", "Just now"), ("c", "Just now"), ("d", None), ("e", "alone"), ("f", "ｆｕｌｌ")])
+    rows = {(r.first_id, r.original_id, r.originals, r.look_alikes) for r in text_ops.skeleton_groups(df).collect()}
+    assert rows == {("a", "b", 2, 1), ("f", None, 0, 1)}
+
+
 def test_tables_of_forms_and_repairs(spark):
     df = corpus(spark, [("a", "Juѕt nοw"), ("b", "nÃ£o"), ("c", None), ("d", ""), ("e", "ok"), ("a", "Juѕt nοw")]).withColumn("text", F.lit("clash"))
     assert [r.id for r in text_ops.look_alike_rows(df).collect()] == ["a"]
