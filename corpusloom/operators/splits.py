@@ -13,6 +13,8 @@ from corpusloom.plans.durable import join_skewed, keep
 
 #: Groups that hold this share of all rows, or more, are assigned one by one; there are at most as many.
 LARGE_SHARE = 2000
+#: Rows that one task sorts to number them.
+ROWS_PER_TASK = 200_000
 
 
 def unit(c: Column, seed: int) -> Column:
@@ -30,19 +32,30 @@ def group_split(df: DataFrame, group: Column, ratios: Sequence[tuple[str, float]
     return df.withColumn("split_to", out)
 
 
-def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, seed: int = 42, id_col: str = "id", buckets: int = 64) -> DataFrame:
-    """Adds fold, 0..k-1, spread evenly within each label.
+def numbered(df: DataFrame, classes: Sequence[str], order: Sequence[str], n_rows: int, as_col: str = "i", per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Adds the number of each row within its class, from 0 up, in the order given.  The first of `order` is hexadecimal text, such as an md5.
 
-    Rows are numbered within buckets of the hash and the buckets' starts are added, so a label that holds most rows
-    is not sorted in one task.
+    Rows are numbered within buckets of the order's first digits, and the starts of the buckets are added; there are
+    so many buckets that a class of all n_rows rows is cut into parts of per_task rows or fewer.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col)))
-    rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
-    n = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    start = n.withColumn("_s", F.sum("_n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumnRenamed(label, "_label").withColumnRenamed("_b", "_bb")
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col)) - 1)
-    out = rows.join(F.broadcast(start), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_bb")))
-    return out.withColumn("fold", ((F.col("_s") + F.col("_i")) % k).cast("int")).select(*df.columns, "fold")
+    digits, most = 0, n_rows
+    while most > per_task:
+        digits, most = digits + 1, most / 16
+    rows = df.withColumn("_b", F.substring(order[0], 1, digits) if digits else F.lit(""))
+    # One text key, in which null classes meet too.
+    rows = rows.withColumn("_k", F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in classes]))
+    sizes = rows.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_k", "_b", before.alias("_s"))
+    own = F.row_number().over(Window.partitionBy("_k", "_b").orderBy(*order)) - 1
+    return rows.withColumn("_i", own).join(starts, ["_k", "_b"]).withColumn(as_col, F.col("_s") + F.col("_i")).select(*df.columns, as_col)
+
+
+def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, seed: int = 42, id_col: str = "id", per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Adds fold, 0..k-1, spread evenly within each label, null labels included; a label that holds most rows is not sorted in one task."""
+    rows = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col))))
+    out = numbered(rows, [label], ["_h", id_col], df.count(), "_at", per_task)
+    return out.withColumn("fold", (F.col("_at") % k).cast("int")).select(*df.columns, "fold")
 
 
 def related(corpus: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -90,11 +103,29 @@ def allot(classes: Sequence[tuple[dict[str, float], int]], ratios: Sequence[tupl
     return out
 
 
-def stratified_group_split(df: DataFrame, groups: DataFrame, strata: Sequence[str], ratios: Sequence[tuple[str, float]], buckets: int = 256) -> DataFrame:
+def by_spans(numbered_rows: DataFrame, spans: Sequence[tuple], classes: str) -> DataFrame:
+    """Adds split_to from ranges of the numbers within a class.  spans: (class columns, lo, hi, split); there are as many as classes times splits."""
+    names = [c.split()[0] for c in classes.split(",")]
+    ranges = numbered_rows.sparkSession.createDataFrame(list(spans), f"{classes}, lo long, hi long, split_to string")
+    return numbered_rows.join(F.broadcast(ranges), names).where("i >= lo and i < hi").drop("lo", "hi", "i")
+
+
+def spans_of(given: dict[str, int]) -> list[tuple[int, int, str]]:
+    """(first, end, split) of the numbers 0, 1, ... of a class, of which each split gets so many."""
+    out, at = [], 0
+    for s, c in given.items():
+        if c:
+            out.append((at, at + c, s))
+        at += c
+    return out
+
+
+def stratified_group_split(df: DataFrame, groups: DataFrame, strata: Sequence[str], ratios: Sequence[tuple[str, float]]) -> DataFrame:
     """(id, split_to): all rows of a group share a split, and splits come close to the ratios in all rows and in each stratum.
 
     groups: a written table (id, grp) with every id once.  Large groups are assigned one by one; small ones, of which
-    there are very many alike, by classes of equal rows by stratum, whose members are interchangeable.
+    there are very many alike, by classes of equal rows by stratum, whose members are interchangeable: the groups of a
+    class are numbered, and each split gets a range of the numbers.  The driver sees the large groups and the classes alone.
     """
     spark = df.sparkSession
     stratum = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in strata])
@@ -108,39 +139,24 @@ def stratified_group_split(df: DataFrame, groups: DataFrame, strata: Sequence[st
     # A class is the rows by stratum: exact for groups of one stratum up to 32 rows, by the size in steps of a tenth, the two
     # main strata and the share of the first in tenths for all others, so classes are few.
     rest = cells.join(F.broadcast(large.select("grp")), "grp", "left_anti")
-    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "s"))), 1, 2)
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "s"))), 1, 2)  # as many entries as strata
     made = rest.groupBy("grp").agg(F.sum("n").alias("n"), top.alias("top"))
     size = F.when(F.col("n") <= 32, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log(1.1, F.col("n").cast("double"))))
     cls = F.concat_ws("\x1f", size, F.round(-F.col("top")[0]["m"] * 10 / F.col("n")).cast("int"), F.col("top")["s"])
-    made = keep(made.select("grp", "n", cls.alias("cls"), F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("bucket")), "classes")
-    counted: dict[str, list[tuple[int, int]]] = {}
-    for r in made.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("k")).collect():
-        counted.setdefault(r["cls"], []).append((r["bucket"], r["k"]))
+    made = keep(made.select("grp", "n", cls.alias("cls"), F.md5("grp").alias("h")), "classes")
+    counted = {r["cls"]: r["k"] for r in made.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).collect()}
     inside: dict[str, dict[str, int]] = {}
     for r in rest.join(made.select("grp", "cls"), "grp").groupBy("cls", "s").agg(F.sum("n").alias("n")).collect():
         inside.setdefault(r["cls"], {})[r["s"]] = r["n"]
     plan = [(rows, 1, True, g) for g, rows in big.items()]
-    for c, per_bucket in counted.items():
-        k = sum(x for _, x in per_bucket)
-        plan.append(({s: n / k for s, n in inside[c].items()}, k, False, c))
+    plan += [({s: n / k for s, n in inside[c].items()}, k, False, c) for c, k in counted.items()]
     plan.sort(key=lambda x: (-sum(x[0].values()), not x[2], x[3]))
     one_by_one, spans = [], []
     for (_, _, alone, key), given in zip(plan, allot([x[:2] for x in plan], ratios)):
         if alone:
             one_by_one.append((key, next(s for s, c in given.items() if c)))
-            continue
-        start = 0
-        for bucket, k in sorted(counted[key]):
-            at = 0
-            for s, c in given.items():
-                lo, hi = max(at, start), min(at + c, start + k)
-                if lo < hi:
-                    spans.append((key, bucket, lo - start, hi - start, s))
-                at += c
-            start += k
-    # One window partition is a bucket of a class: 1/256 of its groups.
-    number = F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("grp")) - 1
-    ranges = spark.createDataFrame(spans, "cls string, bucket long, lo long, hi long, split_to string")
-    small = made.withColumn("i", number).join(F.broadcast(ranges), ["cls", "bucket"]).where("i >= lo and i < hi").select("grp", "n", "split_to")
+        else:
+            spans += [(key, *span) for span in spans_of(given)]
+    small = by_spans(numbered(made, ["cls"], ["h", "grp"], sum(counted.values())), spans, "cls string").select("grp", "n", "split_to")
     alone = large.join(F.broadcast(spark.createDataFrame(one_by_one, "grp string, split_to string")), "grp").select("grp", "n", "split_to")
     return join_skewed(groups, keep(small.unionByName(alone), "assigned"), ["grp"], "n").select("id", "split_to")

@@ -3,6 +3,9 @@
 A written table in a folder that all executors share cuts the lineage and survives the loss of an
 executor.  The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests on
 one machine, a folder of our own is made.
+
+All tables of a session stand in one folder below it.  A table that is not read again is deleted by discard;
+the folder goes when Python ends.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of each Spark application's tables.
+_FOLDERS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session."""
@@ -29,22 +35,52 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; one on this machine also after Spark has stopped."""
+    if path.startswith("file:"):
+        shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _folder(spark: SparkSession) -> str:
+    app = f"{spark.sparkContext.applicationId} {shared_dir(spark)}"
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
 def keep(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by keep; no DataFrame that is still to run may read them."""
+    for t in tables:
+        if path := getattr(t, "kept_at", None):
+            _delete(t.sparkSession, path)
 
 
 def join_skewed(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, share: int = 1000) -> DataFrame:
     """Inner join of rows with keyed, in which `on` is unique and `weight` counts the matching rows of each key.
 
     A key that holds 1/share of all matching rows or more is hot.  There are at most `share` such keys, so
-    they are broadcast, and their rows are not shuffled; the other keys are joined by a shuffle.
+    they are broadcast, and their rows are not shuffled; the other keys are joined by a shuffle.  keyed is a
+    written table, as it is read three times.
     """
     total = keyed.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * F.lit(share) >= F.lit(total)
-    hot = F.broadcast(keyed.where(is_hot).limit(share).drop(weight))
+    found = keyed.where(is_hot)
+    if found.isEmpty():
+        return rows.join(keyed.drop(weight), on)
+    hot = F.broadcast(found.limit(share).drop(weight))
     cold = keyed.where(~is_hot).drop(weight)
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
