@@ -1,9 +1,7 @@
 """Problem 3: splits that keep related records together.
 
-Related records are found by a distributed union-find: every task builds the forest of its own edges,
-and forests are merged level by level in fewer and fewer tasks.  A forest never has more edges than nodes.
-Where even the merged forest is too large for one task, star contraction finishes the work with
-aggregations and joins alone, so no task ever holds an unbounded group.
+Related records are found by the distributed union-find of operators.graph: every task builds the forest of
+its own edges, and forests are merged level by level in fewer and fewer tasks.
 
 Groups are then assigned largest first to the split that is furthest below its target, in rows and in
 positive labels.  Large groups are assigned one by one; small ones, of which there are very many alike, by
@@ -12,102 +10,15 @@ the classes of equal size and labels, whose members are interchangeable.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graph import components
+from corpusloom.operators.splits import LARGE_SHARE, by_spans, numbered, spans_of
 from corpusloom.plans.durable import join_skewed, keep
 
-#: Edges that one task may hold in its forest.
-EDGES_PER_TASK = 500_000
-#: Forests merged into one at each level.
-FAN_IN = 8
-#: Groups that hold this share of all rows, or more, are assigned one by one; there are at most as many.
-LARGE_SHARE = 2000
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one task; gives each node but the roots with its root, the least node of its tree."""
-    parent: dict = {}
-
-    def find(x):
-        root = x
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    schema = None
-    for b in batches:
-        schema = b.schema
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            parent.setdefault(x, x)
-            parent.setdefault(y, y)
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    if schema is not None:
-        nodes = [x for x in parent if parent[x] != x]
-        for i in range(0, len(nodes), 100_000):
-            part = nodes[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], schema.field(0).type), pa.array(part, schema.field(1).type)], names=["a", "b"])
-
-
-def components(edges: DataFrame, edges_per_task: int | None = None) -> DataFrame:
-    """(node, root) of each node of an edge; root is the least node of its component.
-
-    edges: a, b of one type.  Edges with a null end are left out; loops, repeats and both directions are fine.
-    An empty table gives an empty one.
-    """
-    per_task = edges_per_task or EDGES_PER_TASK
-    kind = edges.schema["a"].dataType.simpleString()
-    now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null")
-    nodes = None
-    loops = now.where("a = b").select(F.col("a").alias("node")).distinct()
-    now = keep(now.where("a < b").distinct(), "edges")
-    n = now.count()
-    parts = -(-n // per_task)
-    while True:
-        parts = max(1, parts)
-        if parts == 1 and n > per_task:
-            now = _stars(now, per_task)
-            break
-        # Edges meet by their smaller end: trees that share a root meet in one task.
-        now = (now.repartition(parts, "a") if parts > 1 else now.coalesce(1)).mapInArrow(_forest, f"a {kind}, b {kind}")
-        if parts == 1:
-            break
-        now = keep(now, "forest")
-        n = now.count()
-        parts = -(-parts // FAN_IN)
-    stars = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    stars = keep(stars, "roots")
-    nodes = stars.select(F.col("root").alias("node")).unionByName(loops).distinct().join(stars.select("node"), "node", "left_anti")
-    return stars.unionByName(nodes.select("node", F.col("node").alias("root")))
-
-
-def _stars(edges: DataFrame, per_task: int) -> DataFrame:
-    """Alternate large-star and small-star rounds until each component is a star around its least node."""
-    now = edges
-    while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # large star: neighbours above u go to the least of u's neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        large = keep(large, "large")
-        # small star: neighbours below u, and u itself, go to the least of them
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(down.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        small = keep(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "small")
-        # stars: no node is both a centre and a leaf, and no leaf has two centres
-        chained = small.select(F.col("b").alias("n")).intersect(small.select(F.col("a").alias("n"))).isEmpty()
-        single = small.groupBy("b").count().where("count > 1").isEmpty()
-        now = small
-        if chained and single:
-            return now
-
+#: Splits that may be wanted; a longer table is refused.
+MOST_SPLITS = 1000
 
 # How an absent link is written.
 NO_LINK = ("", "na", "n/a", "none", "nan", "null", "-", "?")
@@ -174,16 +85,23 @@ def greedy(groups: list[tuple[int, int, int]], ratios: dict[str, float]) -> list
     return out
 
 
-def assign(corpus: DataFrame, pairs: DataFrame, ratios: DataFrame, buckets: int = 256) -> DataFrame:
+def wanted_shares(ratios: DataFrame) -> dict[str, float]:
+    """The positive ratios by split; none, or more than MOST_SPLITS, is an error."""
+    rows = ratios.select("split_name", "ratio").where("split_name is not null and ratio > 0").limit(MOST_SPLITS + 1).collect()
+    if not 0 < len(rows) <= MOST_SPLITS:
+        raise ValueError(f"between 1 and {MOST_SPLITS} splits with a positive ratio are needed")
+    return {r["split_name"]: float(r["ratio"]) for r in rows}
+
+
+def assign(corpus: DataFrame, pairs: DataFrame, ratios: DataFrame) -> DataFrame:
     """(id, split): every row gets a split; rows tied by dup_cluster_id or by pairs share it.
 
     A row without a cluster is a group of its own unless a pair ties it.  Null labels count as no positive.
-    Shares come close to the ratios as far as the largest group allows.
+    Shares come close to the ratios as far as the largest group allows.  The driver sees the large groups, of which
+    there are LARGE_SHARE at most, and the classes of the small ones, some thousands whatever the corpus.
     """
     spark: SparkSession = corpus.sparkSession
-    wanted = {r["split_name"]: float(r["ratio"]) for r in ratios.select("split_name", "ratio").where("split_name is not null and ratio > 0").limit(1000).collect()}
-    if not wanted:
-        raise ValueError("no split with a positive ratio")
+    wanted = wanted_shares(ratios)
     roots = components(link_edges(corpus, pairs, lone_rows=True)).where("node not like 'x%'")
     rows = corpus.select(
         F.col("id"), F.coalesce(F.concat(F.lit("c"), F.col("dup_cluster_id").cast("string")), F.concat(F.lit("r"), F.col("id"))).alias("node"), (F.col("label") == 1).cast("int").alias("pos")
@@ -198,37 +116,21 @@ def assign(corpus: DataFrame, pairs: DataFrame, ratios: DataFrame, buckets: int
     # Small groups by class: exact up to 32 rows, by steps of a tenth in size and positives beyond, so classes are few.
     size = F.when(F.col("n") <= 32, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log(1.1, F.col("n").cast("double"))))
     share = F.when(F.col("n") <= 32, F.col("p")).otherwise(F.round(F.col("p") * 10 / F.col("n")))
-    rest = rest.withColumn("c1", size.cast("long")).withColumn("c2", share.cast("long")).withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets)))
-    rest = keep(rest, "classes")
-    counts = rest.groupBy("c1", "c2", "bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
-    classes: dict[tuple[int, int], list] = {}
-    for r in counts:
-        classes.setdefault((r["c1"], r["c2"]), []).append((r["bucket"], r["k"], r["n"], r["p"]))
+    rest = rest.withColumn("c1", size.cast("long")).withColumn("c2", share.cast("long")).withColumn("h", F.md5("root"))
     plan = [(r["n"], r["p"], 1, ("large", r["root"])) for r in large]
-    for key, found_ in classes.items():
-        k = sum(x[1] for x in found_)
-        plan.append((sum(x[2] for x in found_) / k, sum(x[3] for x in found_) / k, k, ("class", key)))
+    in_classes = 0
+    for r in rest.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("p").alias("p")).collect():
+        plan.append((r["n"] / r["k"], r["p"] / r["k"], r["k"], ("class", (r["c1"], r["c2"]))))
+        in_classes += r["k"]
     plan.sort(key=lambda x: (-x[0], -x[1], str(x[3])))
-    given = greedy([x[:3] for x in plan], wanted)
-    # Within a class, groups are numbered bucket by bucket; a split gets a range of the numbers.
+    # Within a class, groups are numbered; each split gets a range of the numbers.
     big, spans = [], []
-    for (_, _, _, (kind, key)), got in zip(plan, given):
+    for (_, _, _, (kind, key)), got in zip(plan, greedy([x[:3] for x in plan], wanted)):
         if kind == "large":
             big.append((key, next(s for s, c in got.items() if c)))
-            continue
-        start = 0
-        for bucket, k, _, _ in sorted(classes[key]):
-            at = 0
-            for s in sorted(got):
-                lo, hi = max(at, start), min(at + got[s], start + k)
-                if lo < hi:
-                    spans.append((key[0], key[1], bucket, lo - start, hi - start, s))
-                at += got[s]
-            start += k
-    # One window partition is a bucket of a class: 1/256 of its groups.
-    number = F.row_number().over(Window.partitionBy("c1", "c2", "bucket").orderBy("root")) - 1
-    spans_df = spark.createDataFrame(spans, "c1 long, c2 long, bucket long, lo long, hi long, split string")
-    small = rest.withColumn("i", number).join(F.broadcast(spans_df), ["c1", "c2", "bucket"]).where("i >= lo and i < hi").select("root", "split")
-    by_root = small.unionByName(spark.createDataFrame(big, "root string, split string"))
-    by_node = keep(nodes.join(by_root, "root").select("node", "n", "split"), "assigned")
+        else:
+            spans += [(*key, *span) for span in spans_of(dict(sorted(got.items())))]
+    small = by_spans(numbered(rest.select("root", "c1", "c2", "h"), ["c1", "c2"], ["h", "root"], in_classes), spans, "c1 long, c2 long").select("root", "split_to")
+    by_root = small.unionByName(spark.createDataFrame(big, "root string, split_to string"))
+    by_node = keep(nodes.join(by_root, "root").select("node", "n", F.col("split_to").alias("split")), "assigned")
     return join_skewed(rows.select("node", "id"), by_node, ["node"], "n").select("id", "split")
