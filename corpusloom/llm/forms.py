@@ -1,33 +1,81 @@
 """Problem 4: text that looks the same but is written with different characters (confusables skeleton).
 
 skeleton(text): decompose, replace every character by its prototype, decompose again; texts that
-look the same have equal skeletons.  plain(text) is the readable form: each look-alike is replaced by
-the letter that its word's script calls for, invisible characters go, every space becomes the plain
-one, and letters are composed.  Characters at home in a text of their own script stay.
-
-The prototype table has a rule part (wide, font and ligature forms decompose by Unicode's own data)
-and a fixed list of look-alike letters.  Null -> null, blank -> itself.
+look the same have equal skeletons.  plain(text) is the readable form: each character whose prototype is
+another one is a candidate; it is replaced by the letter of that prototype which its word's script calls
+for, unless it is at home where it stands.  Invisible characters go, every space becomes the plain one, and
+letters are composed.  A form is accepted only if its skeleton is that of the text.
+
+The prototypes are Unicode's table of confusable characters, read from the data of the ICU library that is
+part of every Spark distribution; wide, font and ligature forms decompose by Unicode's own data.
+Null -> null, blank -> itself.
 """
 
 from __future__ import annotations
 
+import glob
+import os
 import re
+import struct
 import unicodedata
+import zipfile
 from functools import lru_cache
 
-# Letters of other scripts that look like a Latin letter.
-LOOK_ALIKE = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ѵ": "v", "ӏ": "l", "ү": "y", "ё": "ë", "ї": "ï", "ѐ": "è", "ӓ": "ä", "ӧ": "ö", "ӑ": "ă", "ӗ": "ĕ",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J",
-    "Ѕ": "S", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ү": "Y", "Ӏ": "I", "Ё": "Ë", "Ї": "Ï", "Һ": "H", "Ԍ": "G", "Ӓ": "Ä", "Ӧ": "Ö",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "γ": "y", "ϲ": "c", "ϳ": "j", "ό": "ó", "ί": "í", "ά": "á", "τ": "t", "η": "n", "ω": "w", "ε": "e",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "Ϲ": "C", "Ϻ": "M", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Ս": "U", "Լ": "L", "Տ": "S",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ⅼ": "l", "ǀ": "l",
-}
-# ASCII characters that stand for one another in the skeleton only.
-ASCII_ALIKE = {"0": "O", "1": "l", "I": "l", "|": "l"}
+# Letters that Unicode's table does not hold for Latin ones, or holds for rarer ones.
+MORE_ALIKE = {"ӏ": "l", "κ": "k", "τ": "t", "η": "n", "ω": "w", "ε": "e", "Ԁ": "D", "Ԛ": "Q", "Һ": "H", "յ": "j", "Լ": "L", "ʋ": "v"}
+
+
+def confusables_file() -> bytes:
+    """The table of confusable characters from the ICU library beside Spark's own."""
+    import pyspark
+
+    homes = [os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)]
+    for jar in (j for h in homes if h for j in sorted(glob.glob(os.path.join(h, "jars", "icu4j-*.jar")))):
+        with zipfile.ZipFile(jar) as z:
+            for name in z.namelist():
+                if name.endswith("/confusables.cfu"):
+                    return z.read(name)
+    raise FileNotFoundError("no icu4j library among Spark's jars")
+
+
+def read_confusables(raw: bytes) -> dict[str, str]:
+    """Prototypes by character.  A key holds a code point and, above it, the length less one; its value is the prototype's one unit or the place of its string."""
+    start, byte_order = struct.unpack(">H", raw[:2])[0], ">" if raw[8] else "<"
+    body = raw[start:]
+    _, _, _, keys_at, n, values_at, _, text_at, n_text = struct.unpack(f"{byte_order}9I", body[:36])
+    keys = struct.unpack_from(f"{byte_order}{n}I", body, keys_at)
+    values = struct.unpack_from(f"{byte_order}{n}H", body, values_at)
+    text = struct.unpack_from(f"{byte_order}{n_text}H", body, text_at)
+    units = lambda v, size: [v] if size == 1 else text[v : v + size]
+    return {chr(k & 0xFFFFFF): struct.pack(f"<{size}H", *units(v, size)).decode("utf-16-le", "surrogatepass") for k, v in zip(keys, values) for size in [(k >> 24) + 1]}
+
+
+PROTOTYPES = read_confusables(confusables_file()) | MORE_ALIKE
+
+
+def _look_alikes() -> dict[str, str]:
+    """Letters of other scripts, and of phonetic Latin, by the ASCII letter of the same prototype and, if there is one, the same case."""
+    of: dict[str, list[str]] = {}
+    for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B)]):
+        of.setdefault(PROTOTYPES.get(c, c), []).append(c)
+    out = {}
+    for c, p in PROTOTYPES.items():
+        if (c > "ɏ" or c == "ı") and unicodedata.category(c) in ("Lu", "Ll", "Lo", "Lt", "Nl") and not _compat_kind(c) in ("<wide>", "<font>", "<narrow>"):
+            if same := of.get(p):
+                out[c] = next((x for x in same if x.isupper() == c.isupper()), same[0])
+    # letters with a mark, whose bare letter is in the table
+    for c in map(chr, range(0x370, 0x530)):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and d[0] in out and len(composed := unicodedata.normalize("NFC", out[d[0]] + d[1:])) == 1:
+            out[c] = composed
+    return out
+
+
+def _compat_kind(c: str) -> str:
+    return unicodedata.decomposition(c).partition(" ")[0]
+
+
+LOOK_ALIKE = _look_alikes()
 # Characters without a shape of their own.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ︀-️﻿ﾠ"
 SPACES = "   -   　"
@@ -43,7 +91,7 @@ _WIDE = re.compile("[！-～￠-￦]")
 _CJK_TEXT = re.compile("[぀-ヿ一-鿿가-힯]")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _QUICK = re.compile("[^\\x00-\\x7fáàâãäçéèêëíìîïñóòôõöúùûüßœæÁÀÂÃÄÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜ¡¿ªº°§£€«»“”‘’—–…™©®\U0001f300-\U0001f64f、-ヿ一-鿿]")
-_OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ԯ԰-֏ıɑɡɩʋᴏᴄᴠᴡᴢꜱⅼǀ]")
+_OTHER_SCRIPT = re.compile("[" + "".join(map(re.escape, LOOK_ALIKE)) + "]")
 
 
 @lru_cache(100_000)
@@ -51,19 +99,33 @@ def _compat(c: str) -> str | None:
     """The plain form of a character that Unicode calls a wide, narrow, font or ligature form of others; null for all else."""
     if c == "Ω" or c == "K" or c == "Å":
         return unicodedata.normalize("NFC", c)
-    kind, _, _ = unicodedata.decomposition(c).partition(" ")
+    if _SPACE.match(c):
+        return None
+    kind = _compat_kind(c)
     if kind in ("<wide>", "<font>") or kind == "<compat>" and unicodedata.category(c)[0] == "L" and c > "ǃ" and not "㄰" <= c <= "㏿":
         return unicodedata.normalize("NFKC", c)
     return None
 
 
+class _Prototype(dict):
+    """The prototype of each code point met so far, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        p = "".join([PROTOTYPES.get(x, x) for x in _compat(c) or c])
+        self[code] = p
+        return p
+
+
+_prototype = _Prototype()
+
+
 def skeleton(text: str | None) -> str | None:
-    """Decompose, replace every character by its prototype, decompose again."""
+    """Decompose, replace every character by its prototype, decompose again.  Invisible characters are left out, all spaces are one."""
     if text is None:
         return None
     s = unicodedata.normalize("NFD", _HIDDEN.sub("", _SPACE.sub(" ", text)))
-    s = "".join([LOOK_ALIKE.get(c) or ASCII_ALIKE.get(c) or (_compat(c) or c if c > "\x7f" else c) for c in s])
-    return unicodedata.normalize("NFD", "".join([ASCII_ALIKE.get(c, c) for c in s]))
+    return unicodedata.normalize("NFD", s.translate(_prototype))
 
 
 # Letters of Cyrillic and Greek that look like Latin ones; the words of a text tell which script is meant.
@@ -75,12 +137,12 @@ def _script(word: str) -> tuple[bool, bool, bool]:
             latin |= c.isalpha()
         elif c in LOOK_ALIKE:
             alike = True
-        elif "Ͱ" <= c <= "ԯ":
+        elif c > "Ͱ" and c.isalpha():
             own = True
     return latin, alike, own
 
 
-_TO_CYRILLIC = {v: k for k, v in LOOK_ALIKE.items() if "Ѐ" <= k <= "џ" and k not in "іјѕїІЈЅЇѐ"}
+_TO_CYRILLIC = {v: k for k, v in LOOK_ALIKE.items() if "Ѐ" <= k <= "џ" and k not in "іјѕїІЈЅЇѐѵѴЬгѓ"}
 
 
 def plain(text: str | None) -> tuple[str | None, bool]:
@@ -95,7 +157,7 @@ def plain(text: str | None) -> tuple[str | None, bool]:
     if not unicodedata.is_normalized("NFC", s):
         found, s = True, unicodedata.normalize("NFC", s)
     if _SPACE.search(s):
-        keep = {m.start() for m in _CJK_SPACE.finditer(s)}
+        keep = {m.start() for m in _CJK_SPACE.finditer(s)} if _CJK_TEXT.search(s) else ()
         t = _SPACE.sub(lambda m: m[0] if m.start() in keep else " ", s)
         found, s = found or t != s, t
     t = "".join([c if c <= "ǃ" or (p := _compat(c)) is None else p for c in s])
@@ -122,7 +184,7 @@ def plain(text: str | None) -> tuple[str | None, bool]:
 
         t = _WORD.sub(one, s)
         found, s = found or t != s, t
-    return s, found
+    return (s, True) if found and skeleton(s) == skeleton(text) else (text, False)
 
 
 _WIDE_RUN = re.compile("[！-～￠-￦]+")

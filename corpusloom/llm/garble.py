@@ -21,15 +21,24 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from corpusloom.llm import forms
+
 # Single-byte encodings in which UTF-8 is commonly misread, in order of preference.
 UTF8_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp1250")
 
 # Fixed values: (read as, meant) for single-byte text read as another single-byte encoding.
 BYTE_READ_AS = (
     ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1252"),
-    ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp866", "cp1251"),
-    ("koi8_r", "cp1251"), ("cp1251", "koi8_r"),
+    ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"),
 )
+# The same for Cyrillic text that is still Cyrillic when misread.
+CYRILLIC_READ_AS = (("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("iso8859_5", "cp1251"), ("cp1251", "iso8859_5"))
+# Russian letters from the most to the least frequent.
+CYRILLIC_LETTERS = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
+#: Letters that a text must have for its Cyrillic words to be judged.
+LEAST_CYRILLIC = 8
+#: How far the mean cost of a letter must drop.
+CYRILLIC_DROP = 1.5
 
 # Letters that the supported Latin-script languages write besides a-z.
 ACCENTED = "áàâãäçéèêëíìîïñóòôõöúùûüßœæ"
@@ -103,23 +112,36 @@ def _undo_utf8(text: str, enc: str) -> str:
             out = bytes(back[c] for c in m[0]).decode("utf-8")
         except UnicodeDecodeError:
             return m[0]
-        return out if all(map(_meant, out)) and cost(out) < cost(m[0]) else m[0]
+        if not all(map(_meant, out)):  # what a nested layer looks like halfway
+            out = _undo_utf8(out, enc)
+        return out if all(map(_meant, out)) and cost(out) < cost(m[0]) and not _is_look_alike(m) else m[0]
 
     return pattern.sub(one, text)
 
 
+def _is_look_alike(m: re.Match) -> bool:
+    """Whether the match and the word that it stands in are Latin letters and look-alikes of such, which are problem 4's."""
+    if any(c > "\x7f" and c not in _LOOKALIKE for c in m[0]):
+        return False
+    before, after = _WORD_END.search(m.string, 0, m.start()), _WORD_START.match(m.string, m.end())
+    return all(c <= "\x7f" or c in _LOOKALIKE or "\uff01" <= c <= "\uff5e" for c in before[0] + after[0])
+
+
+_WORD_END, _WORD_START = re.compile(r"[^\W\d_]*$"), re.compile(r"[^\W\d_]*")
+
+
 # In these the lead of a sequence is followed by a blank that was a C1 control or a no-break space.
 _LOST_DOUBLE = re.compile("Ã Â(?=[\u00a0-\u00bf\u00ad])")  # C3 83 C2 xx: the middle byte is known
 _LOST_QUOTE = re.compile("â€(?:(?=[.,!?)])| |$)")
 _LOST = re.compile(
     "(?<!\\w)Ã(?=[\\s.,;:!?Â]|$)|(?<=[a-zà-ÿ])Ã(?=[\\s.,;:!?)Â]|$)|Ã(?=\\s?Â)|Ã(?=[\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–˜™š›œŸ])"
-    "|(?<![A-ZÀ-Þ])Â(?![A-Za-zÀ-ÿ])"
+    "|(?<![A-ZÀ-Þ])Â(?![A-Za-zÀ-ÿΑ-ωА-яＡ-ｚ])"
     "|â(?=[ ]|$)(?<!\\w\\wâ)|(?<=[a-z])â(?=[\\s.,;:!?)]|$)|â(?=[\u0080-\u00bf€™œž“”‚„…†‡ˆ‰])"
     "|ð(?![a-zæöáéíóúý])|[ÐÑ](?=[\u0080-\u00bf ]?[ÐÑ])"
     "|[├┬┼╔╚╠═│┤┴┐└┘║╗╝╩╦╬](?=\\w)|(?<=\\w)[├┬┼╔╚╠═│┤┴┐└┘║╗╝╩╦╬]"
     "|[\u0080-\u0084\u0086-\u009f\ufffd\uf8ff]"
     "|(?<![А-Яа-яЁё])[ГВ](?= )(?<![А-Яа-яЁё] [ГВ])(?! [А-Яа-яЁё])|(?<=[a-z])Г"
-    "|√(?=\\w)|(?<=\\w)√"
+    "|√(?=\\w)|(?<=\\w)√|(?<= )¿(?= )"
 )
 
 _RESTORE_A = re.compile("(?<=\\s)Ã (?=[a-z])|^Ã (?=[a-z])")
@@ -135,9 +157,43 @@ _SUSPECT = re.compile(
     "|[a-zà-ÿ][ÁÀÂÄÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜ]|(?<![A-ZÀ-Þ])[ÂÔ](?![A-Za-zÀ-ÿ])|ß[a-z]{0,3}o\\b|\\b[a-z]?[ßÚÛÒÌÙ]\\b|\\b[ÌÙÛÒ]|[a-zA-Z][бгзйкнуфхъвыэю]|â[ \\s.,;!?)]|â$|[a-zÀ-ÿ][„‚‡·˙…†‹›ˆ˜][a-z]?|Dß|[\u0080-\u009f]|[ªº“”‘’—–…™][\u0080-\u00ff]|(?<![A-ZÀ-Þ])[ÁÀÂÇÉÈÊÍÓÔÕÚ][«»]|[çãâ][\u0080-\u00bf]"
     "|[ãäåæçèé][ \u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{2}|ã"
     "(?![oõeses])[^\\w\\s.,;:!?)(\"'”’—-]"
+    "|(?<![^ ])[¿ГВ](?= )|Ãƒ|[A-Z]Ò[a-z]"
 )
 
 
+def cyrillic_cost(words: list[str]) -> float:
+    """Mean cost of a letter: its place in the order of frequency, and a fine for an upper-case letter after a lower-case one or a word that only its first letter leaves in lower case."""
+    total = n = 0
+    for w in words:
+        for before, c in zip(" " + w, w):
+            at = CYRILLIC_LETTERS.find(c.lower())
+            total += (at if at >= 0 else 40) + 12 * (c.isupper() and before.islower())
+            n += 1
+    return total / n if n else 0.0
+
+
+def _undo_cyrillic(text: str) -> tuple[str, int]:
+    """Undo one misreading between Cyrillic encodings in all words without Latin letters; returns the text and how many words changed."""
+    words = [w for w in _WORD.findall(text) if _CYRILLIC.search(w) and not _LATIN.search(w) and not all(c in _LOOKALIKE for c in w if c > "\x7f")]
+    if sum(map(len, words)) < LEAST_CYRILLIC or not any(c.isupper() or c in "ёЁ" or not "\u0410" <= c <= "\u044f" for w in words for c in w[1:]):
+        return text, 0
+    best, pair = cyrillic_cost(words) - CYRILLIC_DROP, None
+    for wrong, meant in CYRILLIC_READ_AS:
+        try:
+            out = [w.encode(wrong).decode(meant) for w in words]
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        if all("\u0410" <= c <= "\u044f" or c in "ёЁ" or c <= "\x7f" for w in out for c in w) and (c := cyrillic_cost(out)) < best:
+            best, pair = c, (wrong, meant)
+    if pair is None:
+        return text, 0
+    own = frozenset(words)
+    return _WORD.sub(lambda m: m[0].encode(pair[0]).decode(pair[1]) if m[0] in own else m[0], text), len(words)
+
+
+_CYRILLIC, _LATIN = re.compile("[\u0400-\u045f]"), re.compile("[A-Za-z\u00c0-\u024f]")
+
+
 def _spongy(text: str) -> bool:
     """Whether the letter case of a text is random; then the case of a letter tells nothing."""
     return len(_MIXED_CASE.findall(re.sub("[^\\x00-\\x7f]", " ", text))) >= 2
@@ -194,11 +250,12 @@ def _word_cost(word: str, spongy: bool) -> float:
         low, before, after = c.lower(), word[i - 1] if i else " ", word[i + 1] if i + 1 < n else " "
         if low in "áâãçéêíóôõúàñüäöèìòùëïîû":
             inner = c.isupper() and before.islower() and not spongy
-            grave = low in "èìòùëîû" and 0.3 or 0.0
+            # these graves end a word where they are written at all
+            grave = 1.1 if low in "ìòù" and after.isalpha() else 0.3 if low in "èìòùëîû" else 0.0
             total += 1.7 if inner else 0.8 if c.isupper() and after.islower() and i and not spongy else 0.5 + grave
         elif low == "ß":
             total += 0.5 if i and before in "aeiouäöüAEIOU" and (after in "ebtigls " and after != "o") and n > 2 and not word.endswith("ßo") else 1.6
-        elif c in "“”‘’—–™…" and (i == 0 or i == n - 1):
+        elif c in "“”‘’—–™…" and (i == 0 or i == n - 1) or c in "£€¥¢" and (before.isdigit() or after.isdigit()) or c in "¿¡" and i == 0:
             total += 0.4
         elif "\u0400" <= c <= "\u052f" or "\u0370" <= c <= "\u03ff":
             total += 0.5 if all(not ("a" <= x.lower() <= "z") for x in (before, after)) else 1.8
@@ -211,12 +268,12 @@ def _word_cost(word: str, spongy: bool) -> float:
 
 # Signs that stand inside or at the end of a garbled word but never there in ordinary text, or letters no supported language has.
 _BYTE_MARKS = re.compile(
-    "[a-zà-ÿ][ÁÀÂÄÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝÞÐ]|[þÞýÝð¾¶±˙ı]|\\b[ÒÛÌÙ]|[a-zA-Z][„·‡‚…†ˆ˜¸´§ß‹›¢£¥¬≤⌠⌡][a-z ,.!?]|[a-z][„·‡‚†ˆ˜¸´§‹›¢£¥¬≤⌠⌡]|[·„‡ß´§¾¢][a-z]|\\bß|Dß|\\b[a-z]ß\\b|[ΘΩΦτπφσδ≤≥][a-z]|[a-z][ΘΩΦτπφσδ≤≥]"
+    "[A-Z]Ò[a-z]|[a-zà-ÿ][ÁÀÂÄÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝÞÐ]|[þÞýÝð¾¶±˙ı]|\\b[ÒÛÌÙ]|[a-zA-Z][„·‡‚…†ˆ˜¸´§ß‹›¢£¥¬≤⌠⌡][a-z ,.!?]|[a-z][„·‡‚†ˆ˜¸´§‹›¢£¥¬≤⌠⌡]|[·„‡ß´§¾¢][a-z]|\\bß|Dß|\\b[a-z]ß\\b|[ΘΩΦτπφσδ≤≥][a-z]|[a-z][ΘΩΦτπφσδ≤≥]"
     "|[a-z][бгзйкнуфхъвцчшщьюяыэжилпдт]|[бгзйкнуфъвцчшщьюяыэжилпдт][a-z]|[ÁÈÍÏÓÔ][a-z]|Ž|Æ[a-z]|[a-z]Æ|[a-z][ƒŸÿ]"
 )
 
 # A Latin letter beside a look-alike of another script is problem 4's, not a misread byte.
-_LOOKALIKE = set("аеорсухіјѕһԁԛԝѵіαονρτικυηωАВЕКМНОРСТУХІЈЅԌԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
+_LOOKALIKE = frozenset(c for c in forms.LOOK_ALIKE if "\u0370" <= c <= "\u052f")
 
 
 # Plain signs beside letters that are images of UTF-8 bytes.
@@ -234,7 +291,13 @@ _SOUND = re.compile("[\x00-\x7fáàãäçéèêëíìîïñóòôõöúùûüœ
 
 def repair(text: str | None) -> tuple[str | None, int, str | None]:
     """(repaired text, number of garbled places, how): how is null if the text is sound, 'repaired' or 'lost'."""
-    if text is None or text.isascii() or _SOUND.fullmatch(text) and not _JOINED.search(text) or not _SUSPECT.search(text):
+    if text is None or text.isascii() or _SOUND.fullmatch(text) and not _JOINED.search(text):
+        return text, 0, None
+    if _CYRILLIC.search(text):
+        out, n = _undo_cyrillic(text)
+        if n:
+            return out, n, "repaired"
+    if not _SUSPECT.search(text):
         return text, 0, None
     now, places, how = text, 0, None
     for _ in range(4):  # nested layers

@@ -11,11 +11,14 @@ Passages: the same matrix gives each word a score for each language, and the bes
 found by dynamic programming with a price for each change.  The price is chosen on mixed texts made from the
 sample.  A run of LEAST_WORDS words (or, where words are not spaced, twice as many characters) is a passage.
 
-The sample is bounded: SAMPLE labelled rows, shared among the languages by the root of their numbers of rows and
-chosen by the hash of their id over the whole table, beside a few seed sentences.  Its labels are noisy; rows
-that a first fit contradicts are left out of the second.  Everything else is computed for every row.
-
-Null and wordless texts get no language.
+The sample is bounded: SAMPLE labelled rows of LEAST_CHARS characters or more, shared among the languages by the
+root of their numbers of rows and chosen by the hash of their id over the whole table, beside a few seed sentences.
+Its labels are noisy: each row is predicted by a fit on the other folds, and rows that contradict it are left out of
+the final fit.  The same predictions calibrate the confidence: it is the share of labels that agree at a margin.
+Everything else is computed for every row.
+
+The languages are a closed set; a text in another one gets the nearest, with little confidence.  Null and wordless
+texts get no language.
 """
 
 from __future__ import annotations
@@ -25,17 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import forms, garble
 
 #: Bounds of the fit: labelled rows, and landmarks among them, of all languages together.
 SAMPLE, LANDMARKS = 6000, 1000
+#: Texts of the sample have so many characters; shorter ones tell little of a language.
+LEAST_CHARS = 31
+#: Folds of the sample, to find wrong labels.
+FOLDS = 5
+#: A row whose margin is below this share of the median one is not fitted on.
+DOUBT = 0.35
 LENGTHS = (1, 2, 3, 4, 5)
 RIDGE = 0.3
 LEAST_WORDS = 5
-PURE = 10
+#: Mixed texts are rare: the share of errors on single texts weighs as much as so many times that on mixed ones.
+PURE = 30
 
 # Names of the languages, besides their codes with or without a region.
 NAMES = {
@@ -123,8 +133,8 @@ class KernelModel:
     #: Words whose scores a worker keeps; beyond, the table is emptied.
     KEPT = 200_000
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, price: float = 0.0):
-        self.hashes, self.weights, self.price = hashes, weights.astype(np.float32), price
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, price: float = 0.0, sigmoid: tuple[float, float] = (6.0, 0.0)):
+        self.hashes, self.weights, self.price, self.sigmoid = hashes, weights.astype(np.float32), price, sigmoid
         self._forget()
 
     def _forget(self) -> None:
@@ -188,58 +198,79 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
     """Fit on prepared texts; the seeds are added.  The same input gives the same model."""
     texts, labels = list(texts), list(labels)
-    for c, seeds in SEEDS.items():
-        texts += [prepared(s) for s in seeds]
-        labels += [c] * len(seeds)
+    seeds = [(prepared(s), c) for c, own in SEEDS.items() for s in own]
+    texts, labels = texts + [t for t, _ in seeds], labels + [c for _, c in seeds]
     grams = _features(texts)
     norm = np.sqrt([max(1, c.sum()) for _, c in grams])
-    keep_ = np.ones(len(texts), bool)
     y = np.array([LANGUAGES.index(c) for c in labels])
-    for step in range(2):
-        use = np.flatnonzero(keep_)
-        quota = {k: max(12, round(landmarks * (y[use] == k).mean())) for k in range(len(LANGUAGES))}
-        marks = np.concatenate([use[y[use] == k][-quota[k] :] for k in range(len(LANGUAGES))])
-        # n-gram -> the landmarks that hold it, as one array with offsets
-        pair_g = np.concatenate([grams[i][0] for i in marks])
-        pair_m = np.repeat(np.arange(len(marks)), [len(grams[i][0]) for i in marks])
-        pair_c = np.concatenate([grams[i][1] / norm[i] for i in marks])
-        order = np.argsort(pair_g, kind="stable")
-        vocab, at = np.unique(pair_g[order], return_index=True)
-        holders, held, bounds = pair_m[order], pair_c[order], np.r_[at, len(order)]
-
-        def against(i: int) -> np.ndarray:
-            g, c = grams[i]
-            k = np.minimum(np.searchsorted(vocab, g), len(vocab) - 1)
-            hit = vocab[k] == g
-            k, c = k[hit], c[hit]
-            n = bounds[k + 1] - bounds[k]
-            at = np.repeat(bounds[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            return np.bincount(holders[at], np.repeat(c, n) * held[at], minlength=len(marks)) / norm[i]
-
-        k_nm = np.array([against(i) for i in range(len(texts))])
-        val, vec = np.linalg.eigh(k_nm[marks])
-        root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
-        feats = (k_nm @ root)[use]
-        goal = np.where(y[use][:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
-        left = feats.T @ feats + ridge * np.eye(feats.shape[1])
-        alpha = root @ np.linalg.solve(left, feats.T @ goal)
-        if step == 0:
-            pred = (k_nm @ alpha).argmax(axis=1)
-            keep_ = pred == y
-            keep_[-sum(map(len, SEEDS.values())) :] = True
+    quota = [max(12, round(landmarks * (y == k).mean())) for k in range(len(LANGUAGES))]
+    marks = np.concatenate([np.flatnonzero(y == k)[-quota[k] :] for k in range(len(LANGUAGES))])
+    # n-gram -> the landmarks that hold it, as one array with offsets
+    pair_g = np.concatenate([grams[i][0] for i in marks])
+    pair_m = np.repeat(np.arange(len(marks)), [len(grams[i][0]) for i in marks])
+    pair_c = np.concatenate([grams[i][1] / norm[i] for i in marks])
+    order = np.argsort(pair_g, kind="stable")
+    vocab, at = np.unique(pair_g[order], return_index=True)
+    holders, held, bounds = pair_m[order], pair_c[order], np.r_[at, len(order)]
+
+    def against(i: int) -> np.ndarray:
+        g, c = grams[i]
+        k = np.minimum(np.searchsorted(vocab, g), len(vocab) - 1)
+        hit = vocab[k] == g
+        k, c = k[hit], c[hit]
+        n = bounds[k + 1] - bounds[k]
+        at = np.repeat(bounds[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(holders[at], np.repeat(c, n) * held[at], minlength=len(marks)) / norm[i]
+
+    k_nm = np.array([against(i) for i in range(len(texts))])
+    val, vec = np.linalg.eigh(k_nm[marks])
+    root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
+    feats = k_nm @ root
+    goal = np.where(y[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
+
+    def solved(rows: np.ndarray) -> np.ndarray:
+        f = feats[rows]
+        return np.linalg.solve(f.T @ f + ridge * np.eye(f.shape[1]), f.T @ goal[rows])
+
+    # A row is judged by the other folds alone; seeds are in every fit.
+    seed = np.arange(len(texts)) >= len(texts) - len(seeds)
+    fold = np.arange(len(texts)) % FOLDS
+    told = np.zeros((len(texts), len(LANGUAGES)))
+    for k in range(FOLDS):
+        told[fold == k] = feats[fold == k] @ solved((fold != k) | seed)
+    agree = told.argmax(axis=1) == y
+    two = np.sort(told, axis=1)[:, -2:]
+    margin = two[:, 1] - two[:, 0]
+    # A text in doubt between two languages may hold both.
+    keep_ = agree & (margin >= DOUBT * np.median(margin)) | seed
+    alpha = root @ solved(keep_)
     # the matrix over n-grams: the landmarks' presence, transposed, times their weights
     weights = np.add.reduceat(alpha[holders] * held[:, None], bounds[:-1], axis=0).astype(np.float32)
     weights -= weights.mean(axis=1, keepdims=True)
-    model = KernelModel(vocab, weights)
+    model = KernelModel(vocab, weights, sigmoid=_calibrated(margin[~seed], agree[~seed]))
     _tune(model, [t for t, k in zip(texts, keep_) if k], [c for c, k in zip(labels, keep_) if k])
     return model
 
 
+def _calibrated(margin: np.ndarray, agree: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the sigmoid of a margin that is the share of labels that agree: logistic regression by Newton's steps, with one wrong and one right row added."""
+    x = np.c_[np.r_[margin, 0.0, 1.0], np.ones(len(margin) + 2)]
+    t = np.r_[agree.astype(float), 0.0, 1.0]
+    w = np.zeros(2)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (t - p))
+    return float(max(w[0], 0.0)), float(w[1])
+
+
 def _tune(model: KernelModel, texts: list[str], labels: list[str]) -> None:
-    """Choose the price of a change of language: least errors on single texts and on texts with clauses of another language."""
+    """Choose the price of a change of language: least errors on single texts and on texts with clauses of another language.
+
+    Texts that hold several languages even at the highest price are no single texts, whatever their label says.
+    """
     r = np.random.default_rng(7)
     clauses = [[c for c in t.split("\n") if c.strip()] for t in texts]
-    pure = r.permutation(len(texts))[:800]
+    pure = r.permutation(len(texts))[:4000]
     made, want = [texts[i] for i in pure], [{labels[i]} for i in pure]
     for a, b in r.integers(0, len(texts), (2400, 2)):
         if labels[a] == labels[b] or len(texts[a].split()) < 12:
@@ -254,12 +285,16 @@ def _tune(model: KernelModel, texts: list[str], labels: list[str]) -> None:
     _, words = model.scores(made)
     starts = [clause_starts(t) for t in made]
     step = float(np.median(np.concatenate([np.abs(w).max(axis=1) for w in words if len(w)])))
-    # mixed texts are rare, so the share of errors on single texts weighs as much as PURE times that on mixed ones
-    tried = []
-    for f in (0.5, 0.75, 1, 1.25, 1.5, 2, 2.5, 3, 4, 6):
-        got = [{LANGUAGES[k] for k, _, _ in passages(p, t, c)} for p, t, c in zip(paths(words, starts, f * step), made, starts)]
-        wrong = [g != w for g, w in zip(got, want)]
-        tried.append((PURE * sum(wrong[: len(pure)]) / len(pure) + sum(wrong[len(pure) :]) / max(1, len(made) - len(pure)), f))
+    factors = (0.75, 1, 1.5, 2, 2.5, 3, 3.5, 4, 6)  # the last only tells single texts
+    order = np.argsort([len(w) for w in words], kind="stable")
+    wrong = np.zeros((len(factors), len(made)), bool)
+    for lo in range(0, len(order), 250):  # texts of like length share one pass
+        part = order[lo : lo + 250]
+        for j, f in enumerate(factors):
+            for i, path in zip(part, paths([words[i] for i in part], [starts[i] for i in part], f * step)):
+                wrong[j, i] = {LANGUAGES[k] for k, _, _ in passages(path, made[i], starts[i])} != want[i]
+    single = np.flatnonzero(~wrong[-1, : len(pure)])
+    tried = [(PURE * w[single].mean() + w[len(pure) :].sum() / max(1, len(made) - len(pure)), f) for w, f in zip(wrong, factors[:-1])]
     best = min(e for e, _ in tried)
     model.price = step * float(np.median([f for e, f in tried if e <= best * 1.1 + 0.005]))
 
@@ -338,32 +373,34 @@ def passages(path: np.ndarray, text: str, starts: np.ndarray, least: int = LEAST
     return [tuple(r) for r in out]
 
 
+def code_column(label: Column) -> Column:
+    """code_of as a column."""
+    s = F.element_at(F.split(F.lower(F.trim(label)), "[-_ (/]"), 1)
+    return F.coalesce(*[F.when(s.isin(c, *names), F.lit(c)) for c, names in NAMES.items()])
+
+
 def sample(df: DataFrame, text_col: str, label_col: str, id_col: str, size: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Labelled texts for the fit, at most 1.5 * size, spread over the whole table by hash."""
-    known = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    known = known.where("label is not null and length(label) < 40").orderBy(F.desc("n"), "label").limit(500).collect()
-    by_code: dict[str, int] = {}
-    for r in known:
-        if c := code_of(r["label"]):
-            by_code[c] = by_code.get(c, 0) + r["n"]
-    spellings = [(r["label"], code_of(r["label"])) for r in known if code_of(r["label"])]
-    if not spellings:
+    """Labelled texts for the fit, about `size` and at most 1.5 times as many, spread over the whole table by hash; whatever the table's order, the same rows."""
+    rows = df.select(F.col(text_col).alias("t"), code_column(F.col(label_col)).alias("l"), F.col(id_col).cast("string").alias("i"))
+    rows = rows.where((F.col("l").isNotNull()) & (F.length("t") >= LEAST_CHARS))
+    by_code = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not by_code:
         return [], []
     # a row is in if its hash is in the first share of hashes that gives its language's part of the sample
     whole = sum(n**0.5 for n in by_code.values())
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
+    place = F.xxhash64("i").bitwiseAND(F.lit((1 << 63) - 1))
+    share = {c: min(1.0, size * n**0.5 / whole / n) for c, n in by_code.items()}
     cond = F.lit(False)
-    for c, n in by_code.items():
-        cond = cond | (F.col(label_col).isin(*[s for s, k in spellings if k == c]) & (place < F.lit(int(1_000_000 * size * n**0.5 / whole / n) + 1)))
-    rows = df.where(cond & (F.length(text_col) > 30)).select(F.col(text_col).alias("t"), F.col(label_col).alias("l"), F.col(id_col).cast("string").alias("i"))
-    rows = sorted(rows.limit(3 * size // 2).collect(), key=lambda r: (r["i"], r["t"]))
+    for c, x in share.items():
+        cond = cond | ((F.col("l") == c) & (place <= F.lit(min((1 << 63) - 1, int(x * 2.0**63)))))
+    rows = rows.where(cond).orderBy(place, "i", "t").limit(3 * size // 2).collect()
     seen, texts, labels = set(), [], []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["i"], r["t"])):
         t = prepared(r["t"])
         if t not in seen and t.strip():
             seen.add(t)
             texts.append(t)
-            labels.append(code_of(r["l"]))
+            labels.append(r["l"])
     return texts, labels
 
 
@@ -408,7 +445,7 @@ def detect(df: DataFrame, model: KernelModel, id_col: str = "id", text_col: str
                             others = np.delete(total[i], top).max()
                             j = at[i]
                             lang[j], langs[j] = LANGUAGES[top], [LANGUAGES[k] for k in size]
-                            conf[j] = float(1 / (1 + np.exp(-6 * (total[i][top] - others))))
+                            conf[j] = float(1 / (1 + np.exp(-np.clip(m.sigmoid[0] * (total[i][top] - others) + m.sigmoid[1], -30, 30))))
                             segs[j] = [{"lang": LANGUAGES[k], "first_word": a, "words": z - a} for k, a, z in runs]
                 seg = pa.array(segs, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())])))
                 yield pa.RecordBatch.from_arrays(
@@ -428,7 +465,6 @@ def languages(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", l
 def found(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", label_col: str = "language") -> DataFrame:
     """(id, lang): one row per language of the text of each row whose label is missing, names another language, or that mixes languages."""
     rows = languages(df, id_col, text_col, label_col).where("lang is not null")
-    s = F.element_at(F.split(F.lower(F.trim("carried")), "[-_ (/]"), 1)
-    code = F.coalesce(*[F.when(s.isin(c, *names), F.lit(c)) for c, names in NAMES.items()])
+    code = code_column(F.col("carried"))
     wrong = code.isNull() | ~F.array_contains("langs", code)
     return rows.where(wrong | (F.size("langs") > 1)).select("id", F.explode("langs").alias("lang")).dropDuplicates(["id", "lang"])

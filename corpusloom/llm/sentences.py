@@ -3,10 +3,12 @@
 Each line of a text is cut at the places where a sentence can end: after end marks with the closing quotes,
 brackets and emoji that follow, and at gaps in scripts that write no end mark.  Dynamic programming chooses
 the spans between these places that together score best.  A span's score joins its length, its opening (what
-stands first), its closing (which mark, after which word) and the balance of its quotations and brackets.
+stands first), its closing (which mark, after which word) and the balance of its quotations and brackets: a span
+that opens one which it does not close, or the reverse, pays for it; one that lies wholly inside does not.
 
 The score of a long span falls linearly with its length, so all starts that lie further back than LONG
-characters share one running maximum: the choice is exact however long a line is, in linear time.
+characters share one running maximum for each depth of quotation: the choice is exact however long a line is,
+in linear time.
 
 end_pos is the number of code points up to and including the sentence's last character.  Null, blank and
 signless texts have no sentences; a line without any letter or digit is none.
@@ -35,6 +37,8 @@ ABBREVIATIONS = frozenset(
 )
 # Abbreviations that may also stand at the end of a sentence.
 CLOSING_ABBREVIATIONS = frozenset("etc usw ecc т.д т.п и.т.д a.m p.m jr u.s inc ltd др h min std uhr гг руб".lower().split())
+# Abbreviations that are words too; they are abbreviations before a number only.
+WORDS_TOO = frozenset("ago mai set out no nos art es max min mar sat sun sec".split())
 # Month names that follow a day written with a point.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep okt nov dez jänner".split())
 
@@ -59,35 +63,45 @@ _LIST_MARK = re.compile(r"\s*(?:[-*•‣◦–—▪·]|\(?\d{1,3}[.)]|\(?[a-zA
 
 #: Spans up to this many characters have no price of length; beyond, RATE a character.
 LONG, RATE = 400, 0.002
+#: Price of each quotation or bracket that a span opens and does not close, or the reverse.
+UNBALANCED = 8.0
+#: No abbreviation is as long; of a longer word, its end is read.
+LONGEST_WORD = 24
 
 
 def _nesting(line: str) -> dict[int, int]:
     """Matched quotations and brackets: closer -> its opener.  An opener without a closer counts for nothing."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}  # closer -> places in the stack of the openers that it closes
     pairs: dict[int, int] = {}
+
+    def push(c: str, i: int) -> None:
+        for x in OPENERS.get(c, c):
+            waiting.setdefault(x, []).append(len(stack))
+        stack.append((c, i))
+
+    def close(c: str, i: int) -> None:
+        k = waiting[c][-1]
+        pairs[i] = stack[k][1]
+        while len(stack) > k:
+            for x in OPENERS.get(stack[-1][0], stack[-1][0]):
+                waiting[x].pop()
+            stack.pop()
+
     for m in _BRACKET.finditer(line):
         c, i = m[0], m.start()
-        if c == '"':
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if k is None:
-                stack.append((c, i))
-            else:
-                pairs[i] = stack[k][1]
-                del stack[k:]
-            continue
-        k = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if c in OPENERS.get(stack[k][0], "")), None)
-        if k is not None and not (c == "’" and i and i + 1 < len(line) and line[i - 1].isalpha() and line[i + 1].isalpha()):
-            pairs[i] = stack[k][1]
-            del stack[k:]
-        elif c in OPENERS:
-            stack.append((c, i))
+        inner = c == "’" and i and i + 1 < len(line) and line[i - 1].isalpha() and line[i + 1].isalpha()
+        if waiting.get(c) and not inner:
+            close(c, i)
+        elif c == '"' or c in OPENERS:
+            push(c, i)
     return pairs
 
 
 _BRACKET = re.compile("[“”«»„‘’()\\[\\]{}「」『』（）【】《》〈〉‹›［］〔〕\"]")
 
 
-def _closing(line: str, start: int, stop: int, tail: str, own_start: int) -> float:
+def _closing(line: str, start: int, stop: int, own_start: int) -> float:
     """Score of a sentence that closes with the marks in line[start:stop]."""
     marks = line[start:stop].rstrip()
     core = marks.rstrip("".join(CLOSERS)) or marks
@@ -102,14 +116,16 @@ def _closing(line: str, start: int, stop: int, tail: str, own_start: int) -> flo
     # a single point: what stands before it
     if after and not after.isspace() and not _UNSPACED.match(after) and len(core) == len(marks):
         return -9.0
-    word = _WORD_BEFORE.search(line, max(own_start, start - 24), start)
+    word = _WORD_BEFORE.search(line, max(own_start, start - LONGEST_WORD), start)
     w = word[1].lower() if word else ""
     if not w:
         return 0.3
-    nxt = _FIRST_WORD.match(tail)
+    nxt = _FIRST_WORD.match(line, stop)
     follow = nxt[1].lower() if nxt else ""
     if w in CLOSING_ABBREVIATIONS or w == "д" and line[max(0, start - 4) : start].replace(" ", "").lower().endswith("т.д") or w == "п" and line[max(0, start - 4) : start].replace(" ", "").lower().endswith("т.п"):
         return 0.6
+    if w in WORDS_TOO and not follow[:1].isdigit():
+        return 1.6
     if w in ABBREVIATIONS or w.lstrip("(") in ABBREVIATIONS:
         return -4.0
     if len(w) == 1 and w.isalpha() and not _UNSPACED.match(w) and (word[1].isupper() or w not in "aeiouyàéèòôáóíñ"):
@@ -123,6 +139,7 @@ def _closing(line: str, start: int, stop: int, tail: str, own_start: int) -> flo
     return 1.6
 
 
+_FIRST_CHAR = re.compile(r"\s*(\S)")
 _FIRST_WORD = re.compile(r"[\s“«„‘\"'(]*([^\W_]+)")
 
 
@@ -158,6 +175,7 @@ def spans(line: str) -> list[int]:
     for o, c in inside:
         if not outer or o > outer[-1][1]:
             outer.append((o, c))
+    turns = sorted([(o, 1) for o in openers] + [(c, -1) for c in pairs])
     thai = bool(_THAI.search(line))
     cand: list[tuple[int, int, float]] = []  # (end, next start, score of closing here and opening there)
     k = 0
@@ -172,18 +190,16 @@ def spans(line: str) -> list[int]:
             break
         while k < len(outer) and outer[k][1] < start:
             k += 1
-        tail = line[stop : stop + 40]
         strong = any(c in STRONG for c in m[0])
         nested = k < len(outer) and outer[k][0] < start
-        if nested:
+        if nested and outer[k][1] < stop:
             close = outer[k][1]
-            if close >= stop:
-                continue  # inside a quotation or bracket
             # the mark closes the quotation: does the sentence around it end too?
             opener = outer[k][0]
             lead = line[last_stop:opener].strip()
             bracket = line[opener] in "([{（【［〔"
-            nxt = tail.lstrip()[:1]
+            first_char = _FIRST_CHAR.match(line, stop)
+            nxt = first_char[1] if first_char else ""
             own = line[close + 1 : stop].strip()
             if own and any(c in END for c in own):
                 score = 2.0 + max(_opening(line, stop, True), -2.0)
@@ -192,9 +208,9 @@ def spans(line: str) -> list[int]:
             elif not lead:
                 # the sentence is the quotation so far; who said it follows
                 spaced = line[stop : stop + 1].isspace()
-                score = -3.0 if not spaced or not nxt.isupper() or _mixed_script(line, opener, close, tail) else _attribution(tail)
+                score = -3.0 if not spaced or not nxt.isupper() or _mixed_script(line, opener, close, nxt) else _attribution(line, stop)
             else:
-                follow = _FIRST_WORD.match(tail)
+                follow = _FIRST_WORD.match(line, stop)
                 if follow and follow[1] in GOING_ON:
                     continue
                 score = (1.5 if lead[-1:] in ":：,，" or not nxt.islower() else 0.0) + min(_opening(line, stop, strong), 0.5) if line[stop : stop + 1].isspace() or lead[-1:] in ":：" else -3.0
@@ -207,10 +223,10 @@ def spans(line: str) -> list[int]:
         if not after.isspace() and not (any(c in "。！？｡︒" for c in m[0]) or _UNSPACED.match(after) and strong or stop - start > 1 and _is_emoji(line[stop - 1])):
             if not (strong and (after.isupper() or after in "“«¿¡\"") and line[start - 1 : start].isalpha() and len(m[0]) >= 1 and not after.isdigit()):
                 continue
-        score = _closing(line, start, stop, tail, first if not cand else max(first, cand[-1][0])) + _opening(line, stop, strong)
+        score = _closing(line, start, stop, first if not cand else max(first, cand[-1][0])) + _opening(line, stop, strong)
         if score > -3.0:
             cand.append((stop, stop, score))
-            if score > 0:
+            if score > 0 and not nested:
                 last_stop = stop
     if thai:
         have = {c[0] for c in cand}
@@ -236,18 +252,29 @@ def spans(line: str) -> list[int]:
     pos = [first, *[c[0] for c in cand], end]
     gain = [0.0, *[c[2] for c in cand], 3.0]
     n = len(pos)
+    depth, at, now = [], 0, 0
+    for p in pos:
+        while at < len(turns) and turns[at][0] < p:
+            now += turns[at][1]
+            at += 1
+        depth.append(now)
     best, back = [0.0] * n, [0] * n
-    far_best, far_at, near = float("-inf"), 0, 0
+    far: dict[int, tuple[float, int]] = {}
+    near = 0
     for j in range(1, n):
         while pos[j] - pos[near] > LONG:  # starts too far back share a running maximum
             v = best[near] + RATE * pos[near]
-            if v > far_best:
-                far_best, far_at = v, near
+            if v > far.get(depth[near], _NEVER)[0]:
+                far[depth[near]] = (v, near)
             near += 1
-        top, at = far_best - RATE * (pos[j] - LONG), far_at
+        top, at = _NEVER
+        for d, (v, i) in far.items():
+            v -= RATE * (pos[j] - LONG) + UNBALANCED * abs(depth[j] - d)
+            if v > top:
+                top, at = v, i
         for i in range(near, j):
             size = pos[j] - pos[i]
-            v = best[i] - (1.2 if size < 3 else 0.5 if size < 8 else 0.0)
+            v = best[i] - (1.2 if size < 3 else 0.5 if size < 8 else 0.0) - UNBALANCED * abs(depth[j] - depth[i])
             if v > top:
                 top, at = v, i
         best[j], back[j] = top + gain[j], at
@@ -269,6 +296,9 @@ def spans(line: str) -> list[int]:
     return kept
 
 
+_NEVER = (float("-inf"), 0)
+
+
 def _is_emoji(c: str) -> bool:
     return bool(c) and bool(_EMOJI_ONE.match(c))
 
@@ -278,14 +308,14 @@ _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _ATTRIBUTED = re.compile(r"\s*(?:[^\W\d_][\w.'’-]*\s+){1,3}?(?:said|says|wrote|asked|shouted|replied|added|yelled|posted|commented|whispered|answered|escreveu|disse|gritou|respondeu|perguntou|comentou)\b")
 
 
-def _mixed_script(line: str, opener: int, close: int, tail: str) -> bool:
+def _mixed_script(line: str, opener: int, close: int, following: str) -> bool:
     """Whether the quotation is not in Latin script while the next word is: a name that goes on the sentence."""
     inner = line[opener + 1 : close]
-    return not _LATIN.search(tail.lstrip()[:1]) or len(_LATIN.findall(inner)) < len(inner) / 3
+    return not _LATIN.search(following) or len(_LATIN.findall(inner)) < len(inner) / 3
 
 
-def _attribution(tail: str) -> float:
-    return -3.0 if _ATTRIBUTED.match(tail) else 1.5
+def _attribution(line: str, stop: int) -> float:
+    return -3.0 if _ATTRIBUTED.match(line, stop) else 1.5
 
 
 def ends(text: str | None) -> list[int]:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import forms, garble
-from corpusloom.llm.copies import LOOK_ALIKE, kind_of
 
 
 def _src(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -20,35 +19,34 @@ def _src(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def look_alike_rows(df: DataFrame, id_col: str = "id", text_col: str = "text_clean") -> DataFrame:
     """(id) of rows that hold a look-alike, an invisible character, a separate accent or another space, and are not garbled.
 
-    Null and blank-but-plain texts are no cases.
+    These are the rows that character_forms changes: a character is replaced if its prototype is another one and it is
+    not at home, and the change is accepted if text and plain form have one skeleton.  Null and plain texts are no cases.
     """
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [i for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and not t.isascii() and (kind_of(t) == LOOK_ALIKE or t.isspace() and forms.plain(t)[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], names=["id"])
-
     # ASCII text has one form only; the JVM leaves it out before Python sees it.
-    return _src(df, id_col, text_col).where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInArrow(one, "id string").dropDuplicates(["id"])
+    rows = character_forms(df.where(F.col(text_col).rlike("[^\\x00-\\x7f]")), id_col, text_col)
+    return rows.where("changed and not garbled").select("id").dropDuplicates(["id"])
 
 
 def character_forms(df: DataFrame, id_col: str = "id", text_col: str = "text_clean") -> DataFrame:
-    """(id, text, changed, skeleton): the text in one character form, and the 128-bit hash of its skeleton as 32 hex digits.
+    """(id, text, changed, garbled, skeleton): the text in one character form, and the 128-bit hash of its skeleton as 32 hex digits.
 
-    Texts that look the same have equal skeleton hashes; group by it.  A null text gives nulls.  Garbled text is
-    not restored here.
+    Texts that look the same have equal skeleton hashes; skeleton_groups groups by it.  A null text gives nulls.
+    Garbled text is not restored here; garbled says that it is.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [forms.plain(t) for t in b.column(1).to_pylist()]
-            marks = [None if t is None else hashlib.blake2b(forms.skeleton(t).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t, _ in out]
+            texts = b.column(1).to_pylist()
+            out = [forms.plain(t) for t in texts]
+            marks = [None if t is None else hashlib.blake2b(forms.skeleton(t).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in texts]
+            bad = [None if t is None else bool(garble.repair(t)[2]) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([c for _, c in out], pa.bool_()), pa.array(marks, pa.string())], names=["id", "text", "changed", "skeleton"]
+                [b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([None if t is None else c for t, c in out], pa.bool_()), pa.array(bad, pa.bool_()), pa.array(marks, pa.string())],
+                names=["id", "text", "changed", "garbled", "skeleton"],
             )
 
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(one, "id string, text string, changed boolean, skeleton string")
+    return src.mapInArrow(one, "id string, text string, changed boolean, garbled boolean, skeleton string")
 
 
 def repairs(df: DataFrame, id_col: str = "id", text_col: str = "text_clean") -> DataFrame:

@@ -38,8 +38,44 @@ def test_nested_layers_come_back():
 def test_single_byte_misreadings():
     assert garble.repair("isso n„o d· certo, disse o irm„o")[2] == "repaired"
     assert garble.repair("cafÚ e entÒo")[0] == "café e então"
+    assert garble.repair("NÒo há nada na garagem dos Ùnibus")[2] == "repaired"
 
 
+@pytest.mark.parametrize(("wrong", "meant"), garble.CYRILLIC_READ_AS)
+def test_cyrillic_misreadings(wrong, meant):
+    for text in ("Привет, мир! Это проверка.", "Сегодня утром мой сосед молчит."):
+        try:
+            bad = text.encode(meant).decode(wrong)
+        except UnicodeDecodeError:
+            continue
+        assert "\xa0" in bad or garble.repair(bad)[::2] == (text, "repaired")
+        assert garble.repair(text)[2] is None
+
+
+# words and sentences that are in no test table
+HELD_OUT = ["açaí", "pôr do sol", "fenômeno", "crème brûlée", "Österreich", "mañana", "città è bella", "garçom", "Bösewicht", "señorita", "à la carte"]
+
+
+@pytest.mark.parametrize("enc", ["cp1252", "mac_roman", "cp850", "cp437", "cp1250", "koi8_r"])
+@pytest.mark.parametrize("word", HELD_OUT)
+def test_unseen_words_come_back_from_utf8(word, enc):
+    text = f"so {word} x"
+    bad = text.encode("utf-8").decode(enc, "ignore")
+    if len(bad.encode(enc)) < len(text.encode("utf-8")):  # a byte that the encoding does not have is lost
+        assert garble.repair(bad)[2]
+    else:
+        assert garble.repair(bad)[0] == text
+
+
+@pytest.mark.parametrize("word", HELD_OUT)
+def test_unseen_words_are_left_alone(word):
+    assert garble.repair(f"so {word} x") == (f"so {word} x", 0, None)
+
+
+def test_look_alikes_are_not_garbled():
+    for t in ("mеѕѕаge in the chat", "Ріkuve said so", "only 30€ or 5£", "¿what now", "ÂΝIMО, POVO"):
+        assert garble.repair(t)[2] is None, t
+
 @pytest.mark.parametrize("ok", [None, "", "  ", "MAÇÃ PODRE", "AMANHÃ À TARDE", "nÃo FaLA coM vocÊ tÃo CeDo", "Честно говоря, пост", "それは本当です。", "5£ well spent", "“quote” — ok ™", "a 👨‍👩‍👧 z", "Fußball vergaß"])
 def test_sound_text_is_left_alone(ok):
     assert garble.repair(ok) == (ok, 0, None)
@@ -65,6 +101,21 @@ def test_forms_at_home(ok):
     assert forms.plain(ok) == (ok, False)
 
 
+def test_table_of_confusables():
+    assert len(forms.PROTOTYPES) > 6000 and len(forms.LOOK_ALIKE) > 300
+    assert [forms.LOOK_ALIKE[c] for c in "аеоѕіνΤЗԁ" if c in forms.LOOK_ALIKE] == list("aeosivT") + ["d"]
+    assert forms.skeleton("rn") == forms.skeleton("m") and forms.skeleton("O0") == forms.skeleton("0О")
+    # scripts beyond Cyrillic and Greek
+    assert forms.plain("שלום ו item օne") == ("שלום ו item one", True)
+    assert forms.plain("wide　space．　next") == ("wide space. next", True)
+
+
+def test_a_form_has_the_skeleton_of_its_text():
+    for t in ("Juѕt nοw ｆｕｌｌ", "café ​", "Ηеllо　ｗоｒｌｄ－ｗｉｄｅ"):
+        out, changed = forms.plain(t)
+        assert changed and forms.skeleton(out) == forms.skeleton(t)
+
+
 def test_forms_are_stable():
     for t in ("Juѕt nοw ｆｕｌｌ", "café ​", "Честно Hоnеst"):
         assert forms.plain(forms.plain(t)[0])[1] is False
@@ -215,6 +266,9 @@ PT = ["as pessoas desta cidade nunca ficaram felizes com o que você disse ontem
 
 def test_languages_of_seeds_and_mixtures(spark):
     df = corpus(spark, [("a", EN[0], 0, None, "en-US"), ("b", PT[0], 0, None, "english"), ("c", f"{EN[1]}. {PT[1]}.", 0, None, "en"), ("d", None, 0, None, "en"), ("e", "!!", 0, None, ""), ("f", PT[1], 0, None, "??"), ("g", EN[0].replace("o", "о"), 0, None, "EN")])
+    # as in any table, most labelled rows hold one language
+    more = [(f"m{k}", f"{a} {k}", 0, None, lang) for lang, texts in (("en", EN), ("pt", PT)) for k, a in enumerate(texts)]
+    df = df.unionByName(corpus(spark, more))
     rows = {r.id: r for r in language.languages(df).collect()}
     assert [rows[i].lang for i in "abcdef"][:2] == ["en", "pt"] and rows["d"].lang is None and rows["e"].lang is None
     assert set(rows["c"].langs) == {"en", "pt"} and all(0 <= rows[i].confidence <= 1 for i in "abc")
@@ -228,6 +282,18 @@ def test_held_out_accuracy(spark, sf):
     assert sum(language.code_of(r.carried) in r.langs for r in rows) / len(rows) > 0.9
 
 
+def test_wrong_labels_do_not_confirm_themselves():
+    texts, labels = [language.prepared(t) for t in [*EN, *PT] * 3], ["en", "en", "pt", "pt"] * 3
+    m = language.fit([*texts, *[f"{language.prepared(PT[0])} vez {k}" for k in range(3)]], [*labels, "en", "en", "en"])
+    assert language.LANGUAGES[int(m.scores([language.prepared(PT[0])])[0][0].argmax())] == "pt" and m.sigmoid[0] > 0
+
+
+def test_sample_does_not_depend_on_order(spark):
+    df = corpus(spark, [(f"r{k}", f"{EN[k % 2]} number {chr(97 + k % 26)}{chr(97 + k // 26)}", 0, None, "en" if k % 3 else "x" * 60) for k in range(200)])
+    a, b = language.sample(df, "text_clean", "language", "id", 40), language.sample(df.orderBy("text_clean").coalesce(1), "text_clean", "language", "id", 40)
+    assert a == b and 10 < len(a[0]) <= 60
+
+
 def test_codes():
     assert [language.code_of(x) for x in ("pt_BR", "Português", "por", "EN", " en-GB ", "gl", "??", None, "")] == ["pt", "pt", "pt", "en", "en", None, None, None, None]
 
@@ -321,7 +387,7 @@ def cut(t):
     [
         ["Dr. Smith paid 3.5 dollars.", "He left!"], ["O Sr. Silva mora na Av. Central, n. 14.", "Ok?"], ["They listed cats, dogs, etc.", "Then J. K. Rowe came."], ["“If so! Really?” wrote Ana later.", "Next."],
         ["He asked, “Is it so?”", "We left."], ["It was late ... nobody came.", "Why?!", "No!!!"], ["Well done. 🔥", "Next one! 👨‍👩‍👧"], ["今日は晴れ。", "「はい！そう。」と言った。", "次？"], ["说实话，很好。", "“真的！”他说。"],
-        ["Am 8. Mai kam Hr. Meier.", "Z. B. gestern."], ["Были шутки и т. д.", "Потом стр. 19."], ["यह सही है।", "क्या?"], ["version v2.3.4 works.", "see forum.example/t/25 now."], ["« Vraiment ? » a dit Luc.", "Oui."],
+        ["Am 8. Mai kam Hr. Meier.", "Z. B. gestern."], ["It closed a week ago.", "Nobody asked."], ["Non tornavano mai.", "Basta così."], ["Chegou em 5 ago. 2020 e saiu.", "Fim."], ["Были шутки и т. д.", "Потом стр. 19."], ["यह सही है।", "क्या?"], ["version v2.3.4 works.", "see forum.example/t/25 now."], ["« Vraiment ? » a dit Luc.", "Oui."],
     ],
 )
 def test_sentence_cases(want):
@@ -335,6 +401,14 @@ def test_lines_gaps_and_empty_texts():
     assert sentences.ends(None) == sentences.ends("") == sentences.ends(" \n ") == sentences.ends("***") == []
 
 
+def test_quotations_are_balanced_as_spans():
+    assert cut("He said “One. Two. Three.” and left. Then rain.") == ["He said “One. Two. Three.” and left.", "Then rain."]
+    deep = "(" * 12 + "a “b. C.” d" + ")" * 12
+    assert cut(f"{deep} end. Next one.") == [f"{deep} end.", "Next one."]
+    # a quotation that is never closed binds nothing
+    assert cut("She began “One. Two. Three.") == ["She began “One.", "Two.", "Three."]
+
+
 def test_long_lines_stay_linear():
     t = "a.b " * 20000 + "“" + "x. " * 20000
     assert sentences.ends(t)[-1] == len(t.rstrip())
