@@ -14,7 +14,12 @@ Skew: signatures are made for one representative of each set of formatting copie
 holds a third of all rows is one text here.  Buckets are counted by an aggregation that combines on the map
 side and also carries the two ends of each bucket, so a bucket of two, the usual case, is a pair at once.
 Buckets of up to SMALL texts are listed; the texts of larger ones are spread over pairs of blocks, and each
-task compares the signatures of its two blocks and emits only pairs that survive.  No bucket is capped.
+task compares the signatures of its two blocks and emits only pairs that survive, each in the first band that it
+shares.  No bucket is capped.
+
+Classes need not all pairs.  Each text is first compared with one representative of each of its buckets; the links
+so found make classes, and then only texts of one bucket and different classes are compared.  What is not compared
+is in one class already, so the classes are those of all pairs, without quadratic work in a large bucket of copies.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import forms, garble
 from corpusloom.llm.copies import SOUND, content_rows, representatives
 from corpusloom.operators.graph import components
-from corpusloom.plans.durable import join_skewed, keep
+from corpusloom.plans.durable import discard, join_skewed, keep
 
 BANDS, ROWS = 48, 8
 #: Hashes of the signature that candidates are compared by, in batches; pairs below 0.6 or so never outlast them.
@@ -140,36 +145,39 @@ def _sketch(batches: Iterator[pa.RecordBatch], least_words: int, repair: bool =
 
 
 def _sig_matrix(col: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.uint8).reshape(len(col), COMPARED)
+    return np.frombuffer(b"".join(col), np.uint8).reshape(len(col), -1)
 
 
-def _exact(ids_a: list, ids_b: list, el_a: list[bytes], el_b: list[bytes], share: float) -> list[tuple]:
+def _exact(at: np.ndarray, ids_a: list, ids_b: list, el_a: list[bytes], el_b: list[bytes], share: float) -> list[tuple]:
     out = []
-    for ia, ib, ea, eb in zip(ids_a, ids_b, el_a, el_b):
+    for i in at:
+        ea, eb = el_a[i], el_b[i]
         la, lb = len(ea) // 6, len(eb) // 6
         need = ceil(share * max(la, lb) - 1e-9)
         if min(la, lb) >= need and (s := shared(unpacked(ea), unpacked(eb))) >= need:
-            out.append((min(ia, ib), max(ia, ib), s / max(la, lb)))
+            out.append((min(ids_a[i], ids_b[i]), max(ids_a[i], ids_b[i]), s / max(la, lb)))
     return out
 
 
-def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
+def _pairs_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["id_a", "id_b", "similarity"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64())], names=["id_a", "id_b", "similarity"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Listed candidates: id_a, sig_a, el_a, id_b, sig_b, el_b."""
+    """Listed candidates: id_a, sig_a, el_a, id_b, sig_b, el_b; of signatures the first COMPARED hashes."""
     for b in batches:
         if not b.num_rows:
             continue
         ia, sa, ea, ib, sb, eb = (c.to_pylist() for c in b.columns)
-        at = survivors(_sig_matrix(sa), _sig_matrix(sb), _jaccard(share))
-        yield _pairs_batch(_exact([ia[i] for i in at], [ib[i] for i in at], [ea[i] for i in at], [eb[i] for i in at], share))
+        yield _pairs_batch(_exact(survivors(_sig_matrix(sa), _sig_matrix(sb), _jaccard(share)), ia, ib, ea, eb, share), b.schema.field(0).type)
 
 
 def _verify_blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Rows of one task, sorted by grp: (grp, side, id, sig, el).  A group is two blocks of a large bucket, or one with itself."""
+    """Rows of one task, sorted by grp: (grp, side, band, cls, id, sig, el) with whole signatures.  A group is two blocks of a large bucket, or one with itself.
+
+    Pairs of one class, other than class 0, are left out, and such as share an earlier band.
+    """
     grp, held = None, ([], [])
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -178,23 +186,28 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[
             return
         same = not right
         other = left if same else right
-        sigs = _sig_matrix([x[1] for x in other])
-        for k, (i, sig, el) in enumerate(left):
-            start = k + 1 if same else 0
-            if start >= len(other):
+        sigs, classes = _sig_matrix([x[3] for x in other]), np.array([x[1] for x in other])
+        for k, (band, cls, i, sig, el) in enumerate(left):
+            at = np.arange(k + 1 if same else 0, len(other))
+            at = at[classes[at] != cls] if cls else at
+            if not len(at):
                 continue
-            one = np.broadcast_to(np.frombuffer(sig, np.uint8), (len(other) - start, COMPARED))
-            at = survivors(one, sigs[start:], _jaccard(share)) + start
-            found = _exact([i] * len(at), [other[j][0] for j in at], [el] * len(at), [other[j][2] for j in at], share)
+            own = np.frombuffer(sig, np.uint8)
+            one = np.broadcast_to(own[:COMPARED], (len(at), COMPARED))
+            at = at[survivors(one, sigs[at, :COMPARED], _jaccard(share))]
+            if band:
+                at = at[~(sigs[at, : band * ROWS].reshape(len(at), band, ROWS) == own[: band * ROWS].reshape(band, ROWS)).all(axis=2).any(axis=1)]
+            found = _exact(np.arange(len(at)), [i] * len(at), [other[j][2] for j in at], [el] * len(at), [other[j][4] for j in at], share)
             if found:
-                yield _pairs_batch(found)
+                yield _pairs_batch(found, kind)
 
     for b in batches:
-        for g, side, i, sig, el in zip(*(c.to_pylist() for c in b.columns)):
+        kind = b.schema.field("id").type
+        for g, side, *row in zip(*(c.to_pylist() for c in b.columns)):
             if g != grp:
                 yield from flush()
                 grp, held = g, ([], [])
-            held[side].append((i, sig, el))
+            held[side].append(row)
     yield from flush()
 
 
@@ -207,40 +220,94 @@ def sketches(texts: DataFrame, least_words: int = 1, repair: bool = False) -> Da
     return keep(made.withColumn("n", F.monotonically_increasing_id()), "sketches")
 
 
-def similar_pairs(sketch: DataFrame, share: float = 0.9, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b, of all pairs whose shared words make up `share` of the longer text.
-
-    sketch: a written table of sketches; id is unique.
-    """
+def _buckets(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (bucket, size, a, b: its least and greatest n) of buckets of two texts or more, and (bucket, size, first: its least n, band, n) of the texts of larger ones."""
     # A band is the 8 bytes of its 8 hashes; the JVM cuts bands out of the signature.
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    bands = sketch.select("n", "sig", band).select("n", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket"))
+    bands = sketch.select("n", "sig", band).select("n", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket"))
     counts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("a"), F.max("n").alias("b")).where("size > 1")
     counts = keep(counts, "buckets")
-    two = counts.where("size = 2").select("a", "b")
-    more = keep(bands.join(counts.where("size > 2").select("bucket", "size"), "bucket"), "members")
-    # Lists of at most `small` numbers; larger buckets do not reach this aggregation.
-    listed = more.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("n")).alias("m"))
-    listed = listed.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    pairs = two.unionByName(listed).where("a < b").distinct()
-    slim = sketch.select("n", "id", F.expr(f"substring(sig, 1, {COMPARED})").alias("sig"), "el")
+    more = keep(join_skewed(bands, counts.where("size > 2").select("bucket", "size", F.col("a").alias("first"), F.col("size").alias("weight")), ["bucket"], "weight"), "members")
+    return counts, more
+
+
+def _listed(members: DataFrame) -> DataFrame:
+    """(first, x, y) with x, y structs (n, cls), x.n < y.n, of the pairs of each bucket.  members: bucket, first, n, cls; SMALL texts a bucket at most."""
+    lists = members.groupBy("bucket", "first").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("m"))
+    return lists.select("first", F.posexplode("m").alias("i", "x"), "m").select("first", "x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
+
+
+def _compare(pairs: DataFrame, sketch: DataFrame, name: str, share: float) -> DataFrame:
+    """(id_a, id_b, similarity) of the pairs (a, b) of n that are similar; the ids are those of column `name`."""
+    slim = sketch.select("n", F.col(name).alias("id"), F.expr(f"substring(sig, 1, {COMPARED})").alias("sig"), "el")
     left = slim.select(F.col("n").alias("a"), F.col("id").alias("id_a"), F.col("sig").alias("sig_a"), F.col("el").alias("el_a"))
     right = slim.select(F.col("n").alias("b"), F.col("id").alias("id_b"), F.col("sig").alias("sig_b"), F.col("el").alias("el_b"))
     full = pairs.join(left, "a").join(right, "b").select("id_a", "sig_a", "el_a", "id_b", "sig_b", "el_b")
-    out = full.mapInArrow(lambda it: _verify(it, share), "id_a string, id_b string, similarity double")
-    large = more.where(F.col("size") > small)
-    if large.isEmpty():
-        return out
-    # Each text of a large bucket goes to the block pairs that its own block is part of.
+    kind = sketch.schema[name].dataType.simpleString()
+    return full.mapInArrow(lambda it: _verify(it, share), f"id_a {kind}, id_b {kind}, similarity double")
+
+
+def _compare_blocks(members: DataFrame, sketch: DataFrame, name: str, share: float, block: int) -> DataFrame:
+    """The same for all pairs of each large bucket.  members: bucket, size, band, n, cls.  Each text goes to the block pairs that its own block is part of."""
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    large = large.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("n"), F.col("k").cast("long")).cast("int"))
+    large = members.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("n"), F.col("k").cast("long")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    large = large.select(F.xxhash64("bucket", lo, hi).alias("grp"), F.when(lo == hi, 0).otherwise((F.col("own") == hi).cast("int")).alias("side"), "n")
-    large = large.join(slim, "n").select("grp", "side", "id", "sig", "el")
-    tasks = large.repartition("grp").sortWithinPartitions("grp")
-    wide = tasks.mapInArrow(lambda it: _verify_blocks(it, share), "id_a string, id_b string, similarity double")
-    return out.unionByName(wide).dropDuplicates(["id_a", "id_b"])
+    large = large.select(F.xxhash64("bucket", lo, hi).alias("grp"), F.when(lo == hi, 0).otherwise((F.col("own") == hi).cast("int")).alias("side"), "band", "cls", "n")
+    large = large.join(sketch.select("n", F.col(name).alias("id") if name != "n" else F.col("n").alias("id"), "sig", "el"), "n").select("grp", "side", "band", "cls", "id", "sig", "el")
+    kind = sketch.schema[name].dataType.simpleString()
+    return large.repartition("grp").sortWithinPartitions("grp").mapInArrow(lambda it: _verify_blocks(it, share), f"id_a {kind}, id_b {kind}, similarity double")
+
+
+def similar_pairs(sketch: DataFrame, share: float = 0.9, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b, of all pairs whose shared words make up `share` of the longer text.
+
+    sketch: a written table of sketches; id is unique.
+    """
+    counts, more = _buckets(sketch)
+    more = more.withColumn("cls", F.lit(0).cast("long"))
+    # Lists of at most `small` numbers; larger buckets do not reach this aggregation.
+    listed = _listed(more.where(F.col("size") <= small)).select(F.col("x.n").alias("a"), F.col("y.n").alias("b"))
+    pairs = counts.where("size = 2").select("a", "b").unionByName(listed).where("a < b").distinct()
+    out = _compare(pairs, sketch, "id", share)
+    large = more.where(F.col("size") > small)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_compare_blocks(large, sketch, "id", share, block)).dropDuplicates(["id_a", "id_b"])
+
+
+def similar_classes(sketch: DataFrame, share: float = 0.9, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """(n, root) of all texts that are similar to another, directly or through others; root is the least n of its class.
+
+    sketch: a written table of sketches.  The classes are those of similar_pairs.
+    """
+    counts, more = _buckets(sketch)
+    # Each text against the first of its bucket.
+    star = counts.where("size = 2").select("a", "b").unionByName(more.where("n > first").select(F.col("first").alias("a"), F.col("n").alias("b"))).distinct()
+    star = keep(star, "star")
+    # The first of a bucket may stand for very many texts.
+    firsts = star.groupBy("a").agg(F.count(F.lit(1)).alias("k")).join(sketch.select(F.col("n").alias("a"), F.expr(f"substring(sig, 1, {COMPARED})").alias("sig_a"), F.col("el").alias("el_a")), "a")
+    firsts = keep(firsts, "firsts")
+    right = sketch.select(F.col("n").alias("b"), F.expr(f"substring(sig, 1, {COMPARED})").alias("sig_b"), F.col("el").alias("el_b"))
+    full = join_skewed(star, firsts, ["a"], "k").join(right, "b").select("a", "sig_a", "el_a", "b", "sig_b", "el_b")
+    links = keep(full.mapInArrow(lambda it: _verify(it, share), "id_a long, id_b long, similarity double").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "links")
+    discard(star, firsts, counts)
+    roots = keep(components(links), "classes")
+    # Buckets whose texts are not all of one class; a class, plus 1, that is not 0.
+    named = more.join(roots.select(F.col("node").alias("n"), "root"), "n", "left").withColumn("cls", F.coalesce("root", "n") + 1).drop("root")
+    apart = named.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("bucket")
+    # The first of the bucket has been compared with all others.
+    left_over = keep(named.join(apart, "bucket").where("n > first"), "apart")
+    discard(more)
+    listed = _listed(left_over.where(F.col("size") <= small)).where("x.cls <> y.cls").select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
+    late = _compare(listed, sketch, "n", share)
+    large = left_over.where(F.col("size") > small)
+    if not large.isEmpty():
+        late = late.unionByName(_compare_blocks(large, sketch, "n", share, block))
+    late = keep(late.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "late")
+    if late.isEmpty():
+        return roots.select(F.col("node").alias("n"), "root")
+    return components(links.unionByName(late)).select(F.col("node").alias("n"), "root")
 
 
 def _set_texts(df: DataFrame, id_col: str, text_col: str, least_words: int, repair: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -265,22 +332,17 @@ def found(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", least
 
 
 def clusters(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", share: float = 0.9) -> DataFrame:
-    """(id, class_id, links, restored_links): the near-duplicate class of every row, and how many other texts it links to.
+    """(id, class_id, class_texts): the near-duplicate class of every row, by the least id of its rows, and how many different texts it holds.
 
     Garbled and look-alike text is first restored, and texts of any length take part.  Copies that differ only in
-    formatting are in one class.  links counts different texts of which the table has a sound copy, restored_links those
-    of which it has none.  A row without a letter or digit is a class of its own.
+    formatting are one text.  A row without a letter or digit is a class of its own, of no text.
     """
     rows, sets, texts = _set_texts(df, id_col, text_col, 1, repair=True)
-    pairs = keep(similar_pairs(sketches(texts, 1, repair=True), share), "pairs")
-    roots = components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    sketch = sketches(texts, 1, repair=True)
+    classes = similar_classes(sketch, share).join(sketch.select("n", "id"), "n")
+    named = classes.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_texts"))
+    member = classes.join(named, "root").select(F.col("id").alias("first_id"), "class_id", "class_texts")
+    by_key = sets.join(member, "first_id", "left").select("key", "check", "n", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_texts", F.lit(1)).alias("class_texts"))
     worded = rows.where(f"kind = {SOUND}")
-    sound = sets.join(worded.where("not restored").select("key", "check").distinct(), ["key", "check"]).select(F.col("first_id").alias("other"), F.lit(1).alias("sound")).distinct()
-    ends = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")))
-    ends = ends.join(sound, "other", "left").groupBy("id").agg(F.count("sound").alias("links"), (F.count(F.lit(1)) - F.count("sound")).alias("restored_links"))
-    member = roots.join(ends, F.col("node") == F.col("id")).select(F.col("node").alias("first_id"), F.col("root").alias("class_id"), "links", "restored_links")
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "restored_links")]
-    by_key = keep(sets.join(member, "first_id", "left").select("key", "check", "n", F.coalesce("class_id", "first_id").alias("class_id"), *counts), "classes")
-    out = join_skewed(worded.select("key", "check", "id"), by_key, ["key", "check"], "n").select("id", "class_id", "links", "restored_links")
-    none = F.lit(0).cast("bigint")
-    return out.unionByName(rows.where(f"kind <> {SOUND}").select("id", F.col("id").alias("class_id"), none.alias("links"), none.alias("restored_links")))
+    out = join_skewed(worded.select("key", "check", "id"), keep(by_key, "by_key"), ["key", "check"], "n").select("id", "class_id", "class_texts")
+    return out.unionByName(rows.where(f"kind <> {SOUND}").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("class_texts")))

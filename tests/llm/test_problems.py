@@ -204,12 +204,41 @@ def test_pairs_against_brute_force(spark, small, block):
     assert got == brute(texts, 0.9, 12)
 
 
+def joined(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize(("small", "block"), [(24, 2000), (2, 3)])
+def test_classes_are_those_of_all_pairs(spark, small, block):
+    # short and long texts, and a chain whose neighbours alone are similar
+    texts = made_texts(200, 4) | {f"s{k:02}": " ".join(f"c{j}" for j in range(k, k + 20)) for k in range(12)}
+    sk = neardup.sketches(spark.createDataFrame(list(texts.items()), "id string, text string"), 1)
+    ids = {r.n: r.id for r in sk.select("n", "id").collect()}
+    groups_ = {}
+    for r in neardup.similar_classes(sk, 0.9, small, block).collect():
+        groups_.setdefault(r.root, set()).add(ids[r.n])
+    want = {}
+    for x, r in joined(brute(texts, 0.9, 1)).items():
+        want.setdefault(r, set()).add(x)
+    assert sorted(map(sorted, groups_.values())) == sorted(map(sorted, want.values()))
+
+
 def test_found_stands_for_sets(spark):
     long = " ".join(f"w{k}" for k in range(40))
     df = corpus(spark, [("b", long), ("a", long.upper() + "!"), ("c", long.replace("w7 ", "v7 ")), ("d", "short one"), ("e", None), ("f", long.replace("w3", "ѕ3")), ("g", long.replace("w1 ", "nÃ£o "))])
     assert {(r.id_a, r.id_b) for r in neardup.found(df).collect()} == {("a", "c")}
     rows = {r.id: r for r in neardup.clusters(df).collect()}
-    assert rows["a"].class_id == rows["b"].class_id == rows["c"].class_id and rows["c"].links == 1
+    assert rows["a"].class_id == rows["b"].class_id == rows["c"].class_id and rows["c"].class_texts >= 2
     assert neardup.found(df.limit(0)).count() == 0
 
 
@@ -219,7 +248,7 @@ def test_every_row_has_a_class(spark):
     rows = {r.id: r for r in neardup.clusters(corpus(spark, list(texts.items()))).collect()}
     assert rows.keys() == texts.keys()
     assert {k: r.class_id for k, r in rows.items()} == dict(zip("abcdefghijkl", "aaaaefghhhkl"))
-    assert {k: (r.links, r.restored_links) for k, r in rows.items()} == dict.fromkeys("efgkl", (0, 0)) | dict.fromkeys("abc", (1, 1)) | {"d": (2, 0)} | dict.fromkeys("hij", (1, 0))
+    assert {k: r.class_texts for k, r in rows.items()} == dict.fromkeys("efg", 0) | dict.fromkeys("kl", 1) | dict.fromkeys("abcd", 3) | dict.fromkeys("hij", 2)
 
 
 def test_pruning_keeps_pairs_at_the_threshold():
