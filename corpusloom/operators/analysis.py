@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluate as E
+from corpusloom.operators import features as X
 
 # Neutral identity terms by group and language.
 IDENTITY_TERMS = {
-    "gender": {"en": "women woman girl girls female feminist feminists", "pt": "mulher mulheres menina feminista feministas"},
-    "sexual_orientation": {"en": "gay gays lesbian lesbians homosexual bisexual trans transgender", "pt": "gay gays lésbica lésbicas homossexual bissexual trans transgênero"},
-    "race_ethnicity": {"en": "black white asian latino latina arab", "pt": "negro negra negros preto preta branco branca asiático indígena índio"},
-    "religion": {"en": "muslim muslims islam jew jewish christian catholic", "pt": "muçulmano muçulmana islã judeu judia cristão católico evangélico umbanda candomblé"},
-    "nationality_immigration": {"en": "immigrant immigrants refugee refugees foreigner mexican", "pt": "imigrante imigrantes refugiado refugiados estrangeiro nordestino venezuelano"},
-    "disability": {"en": "disabled autistic deaf blind", "pt": "deficiente autista surdo cego"},
+    "gender": {
+        "en": ["women", "woman", "girl", "girls", "female", "feminist", "feminists"],
+        "pt": ["mulher", "mulheres", "menina", "feminista", "feministas"],
+    },
+    "sexual_orientation": {
+        "en": ["gay", "gays", "lesbian", "lesbians", "homosexual", "bisexual", "trans", "transgender"],
+        "pt": ["gay", "gays", "lésbica", "lésbicas", "homossexual", "bissexual", "trans", "transgênero"],
+    },
+    "race_ethnicity": {
+        "en": ["black", "white", "asian", "latino", "latina", "arab"],
+        "pt": ["negro", "negra", "negros", "preto", "preta", "branco", "branca", "asiático", "indígena", "índio"],
+    },
+    "religion": {
+        "en": ["muslim", "muslims", "islam", "jew", "jewish", "christian", "catholic"],
+        "pt": ["muçulmano", "muçulmana", "islã", "judeu", "judia", "cristão", "católico", "evangélico", "umbanda", "candomblé"],
+    },
+    "nationality_immigration": {
+        "en": ["immigrant", "immigrants", "refugee", "refugees", "foreigner", "mexican"],
+        "pt": ["imigrante", "imigrantes", "refugiado", "refugiados", "estrangeiro", "nordestino", "venezuelano"],
+    },
+    "disability": {
+        "en": ["disabled", "autistic", "deaf", "blind"],
+        "pt": ["deficiente", "autista", "surdo", "cego"],
+    },
 }
 
 
@@ -40,16 +61,17 @@ def length_histogram(df: DataFrame, by: str, text: str = "text_clean", clip: int
     b = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))).cast("int")
     # Lengths are counted first: at most clip + 1 rows a group meet the ends.
     counted = x.groupBy(by, "x").agg(F.count(F.lit(1)).alias("k"))
-    out = counted.join(ends, F.expr(f"{by} <=> {by}") if False else [by]).withColumn("bin", b)
+    out = counted.join(ends.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).withColumn("bin", b)
     return out.groupBy(by, "bin").agg(F.sum("k").alias("n"), F.round(F.sum("k") / (F.max("total") * (F.max("hi") - F.max("lo")) / bins), 9).alias("density"))
 
 
 def class_signals(df: DataFrame, lexicon_tokens: DataFrame, by: str = "label_original", text: str = "text_clean") -> DataFrame:
     """(by, n, share, mean_chars, mean_tokens, rates of profanity, capitals, exclamation marks and mentions)."""
-    words = [r["token"] for r in lexicon_tokens.limit(10_000).collect()]  # a fixed resource of some hundred words
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(
-        by, F.length(t).alias("chars"), T.token_count(t).alias("toks"), F.arrays_overlap(T.tokens(F.lower(t)), F.array(*[F.lit(w) for w in words])).cast("int").alias("prof"),
+    words = X.words_of(lexicon_tokens)
+    t = F.coalesce(F.col("t"), F.lit(""))
+    rows = df.select(by, F.col(text).alias("t"), T.tokens(F.lower(F.col(text))).alias("w"))
+    rows = rows.select(
+        by, F.length(t).alias("chars"), F.size("w").alias("toks"), (F.size(F.array_intersect("w", X.strings(words))) > 0).cast("int").alias("prof"),
         t.rlike(r"(^|[^\p{L}\p{M}\p{N}_])[A-Z]{3,}([^\p{L}\p{M}\p{N}_]|$)").cast("int").alias("caps"), t.contains("!").cast("int").alias("bang"), t.contains("<user>").cast("int").alias("user"),
     )
     mean = lambda c: F.round(F.sum(c) / F.count(F.lit(1)), 4)
@@ -98,22 +120,22 @@ def bias_probe(predictions: DataFrame, corpus: DataFrame, by: Sequence[str] = ("
     for g, by_lang in terms.items():
         any_lang = F.lit(False)
         for lang, words in by_lang.items():
-            any_lang = any_lang | (F.coalesce(F.col("language") == lang, F.lit(False)) & T.contains_word(F.col(text), words.split()))
+            any_lang = any_lang | (F.coalesce(F.col("language") == lang, F.lit(False)) & T.contains_word(F.col(text), words))
         groups.append(F.when(any_lang, g))
     rows = rows.withColumn("group", F.explode(F.filter(F.concat(F.array(F.lit("")), F.array(*groups)), lambda x: x.isNotNull())))
     s = rows.groupBy(*by, "group").agg(F.count(F.lit(1)).alias("n"), F.sum("y_pred").alias("fp"), F.sum("y_score").alias("score"), F.count("y_score").alias("scored"))
     base = s.where("group = ''").select(*by, (F.col("fp") / F.col("n")).alias("bg"))
     fpr = F.col("fp") / F.col("n")
-    out = s.where("group <> ''").join(F.broadcast(base), list(by))
+    out = s.where("group <> ''").join(base, list(by))
     return out.select(*by, "group", F.col("n").alias("n_nonhate_mentions"), F.round(fpr, 4).alias("group_fpr"), F.round("bg", 4).alias("background_fpr"), F.round(fpr - F.col("bg"), 4).alias("fpr_gap"), F.round(F.col("score") / F.col("scored"), 4).alias("mean_score"))
 
 
 def error_frame(predictions: DataFrame, corpus: DataFrame, lexicon_tokens: DataFrame, text: str = "text_clean") -> DataFrame:
     """Predictions with kind of error and failure modes: implicit_hate, slur_overflag, is_short, langid_mismatch."""
-    words = [r["token"] for r in lexicon_tokens.limit(10_000).collect()]
+    words = X.words_of(lexicon_tokens)
     rows = with_text(predictions.where("y_pred is not null"), corpus, [text, "label_confidence", "lang_pred", "route"])
     kind = F.when((F.col("y_true") == 1) & (F.col("y_pred") == 0), "false_negative").when((F.col("y_true") == 0) & (F.col("y_pred") == 1), "false_positive").otherwise("correct")
-    prof = F.arrays_overlap(T.tokens(F.lower(F.coalesce(F.col(text), F.lit("")))), F.array(*[F.lit(w) for w in words]))
+    prof = F.size(F.array_intersect(T.tokens(F.lower(F.col(text))), X.strings(words))) > 0
     rows = rows.withColumn("kind", kind).withColumn("n_tokens", T.token_count(F.col(text))).withColumn("has_profanity", prof)
     return rows.withColumn("implicit_hate", (F.col("kind") == "false_negative") & ~prof).withColumn("slur_overflag", (F.col("kind") == "false_positive") & prof).withColumn(
         "is_short", F.col("n_tokens") < 4
@@ -161,20 +183,23 @@ def overlapping_slices(predictions: DataFrame, by: Sequence[str] = ("model_id",)
 def pareto_front(df: DataFrame, up: Sequence[str], down: Sequence[str]) -> DataFrame:
     """Rows that no other row dominates: at least as good on all axes and better on one.  Rows with a null axis are left out.
 
-    Meant for tables of models; the dominators are the distinct points, which are few.
+    Every task keeps the front of its own distinct points, and the fronts are merged in one; rows on the front come back by a semi-join.
     """
     axes = [*up, *down]
-    some = df.dropna(subset=axes)
-    points = some.select(*[F.col(c).alias(f"o_{c}") for c in axes]).distinct()
-    good = [F.col(f"o_{c}") >= F.col(c) for c in up] + [F.col(f"o_{c}") <= F.col(c) for c in down]
-    better = [F.col(f"o_{c}") > F.col(c) for c in up] + [F.col(f"o_{c}") < F.col(c) for c in down]
-    cond = good[0]
-    for c in good[1:]:
-        cond = cond & c
-    any_better = better[0]
-    for c in better[1:]:
-        any_better = any_better | c
-    return some.join(points, cond & any_better, "left_anti")
+    points = df.dropna(subset=axes).select(*[F.col(c).cast("double").alias(c) for c in axes]).distinct()
+    sign = np.array([1.0] * len(up) + [-1.0] * len(down))
+
+    def front(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = np.zeros((0, len(axes)))
+        for pdf in parts:
+            for p in pdf.to_numpy(float) * sign:
+                if not ((kept >= p).all(axis=1) & (kept > p).any(axis=1)).any():
+                    kept = np.vstack([kept[~((kept <= p).all(axis=1) & (kept < p).any(axis=1))], p])
+        yield pd.DataFrame(kept * sign, columns=axes)
+
+    schema = ", ".join(f"`{c}` double" for c in axes)
+    best = points.mapInPandas(front, schema).coalesce(1).mapInPandas(front, schema)
+    return df.dropna(subset=axes).join(best.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(axes)]), [F.col(c).cast("double") == F.col(f"_o{k}") for k, c in enumerate(axes)], "left_semi")
 
 
 def hash_sample(df: DataFrame, by: str, k: int, seed: int = 42, id_col: str = "id", buckets: int = 64) -> DataFrame:

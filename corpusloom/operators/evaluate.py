@@ -4,13 +4,15 @@ A prediction table has y_true, y_pred (0 or 1), y_score (any real number) and wh
 by.  Model, split and slice are columns, never loops.  Rows with a null among the columns that a metric reads
 take no part in that metric.  A ratio with denominator 0 is 0; an area needs both classes and is null otherwise.
 
-Scores are first counted by distinct value within a group, with map-side combining, so windows run over
-distinct scores and ties need no special care.
+Scores are first counted by distinct value within a group, with map-side combining, so ties need no special care.
+Cumulative counts are then taken in two steps: within each of PIECES ranges of a group's scores, and over the
+sums of the ranges, so no group is sorted in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+from corpusloom.plans.durable import keep
+
+#: Ranges of about equally many distinct scores into which a group is cut.
+PIECES = 256
+#: Groups whose ranges are broadcast, PIECES numbers for each.
+FEW_GROUPS = 10_000
+
+
+def same(a: Sequence[str], b: Sequence[str]) -> Column:
+    """Whether columns are equal one by one, nulls among them."""
+    out = F.lit(True)
+    for x, y in zip(a, b):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
+
+
+def running(df: DataFrame, by: Sequence[str], x: str, sums: Sequence[str], pieces: int = PIECES) -> DataFrame:
+    """Adds, for each column c of sums, c_below: its sum over rows of the group with smaller x, c_all: over the whole group; and x_next, the next greater x.
+
+    (by, x) is unique and x not null.
+    """
+    names = [f"_g{k}" for k in range(len(by))]
+    df = keep(df, "scores")
+    cuts = F.percentile_approx(x, [k / pieces for k in range(1, pieces)], 10 * pieces)
+    bounds = keep(df.groupBy(*by).agg(cuts.alias("_cuts")).select(*[F.col(c).alias(n) for c, n in zip(by, names)], "_cuts"), "ranges")
+    few = bounds.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    rows = df.join(F.broadcast(bounds) if few else bounds, same(by, names)).drop(*names)
+    rows = rows.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    parts = rows.groupBy(*by, "_piece").agg(F.min(x).alias("_first"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    w = Window.partitionBy(*by)
+    before = w.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_piece").alias("_p"), F.lead("_first").over(w.orderBy("_piece")).alias("_after"),
+        *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums], *[F.sum(f"_{c}").over(w).alias(f"{c}_all") for c in sums],
+    )
+    rows = rows.join(parts, same([*by, "_piece"], [*names, "_p"]))
+    inner = Window.partitionBy(*by, "_piece").orderBy(x)
+    out = rows
+    for c in sums:
+        out = out.withColumn(f"{c}_below", F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = out.withColumn("x_next", F.coalesce(F.lead(x).over(inner), "_after"))
+    return out.select(*df.columns, *[f"{c}_below" for c in sums], *[f"{c}_all" for c in sums], "x_next")
+
+
 def ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
@@ -69,13 +115,10 @@ def _by_score(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def areas(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, roc_auc, pr_auc): the area under the ROC curve, ties counting half, and average precision (step sum)."""
-    s = _by_score(df, by)
-    up = Window.partitionBy(*by).orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc("y_score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0.0)))
-    s = s.withColumn("tp", F.sum("pos").over(down)).withColumn("all", F.sum(F.col("pos") + F.col("neg")).over(down))
+    s = running(_by_score(df, by), by, "y_score", ["pos", "neg"])
+    tp, fp = F.col("pos_all") - F.col("pos_below"), F.col("neg_all") - F.col("neg_below")
     out = s.groupBy(*by).agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("a")
+        F.max("pos_all").alias("p"), F.max("neg_all").alias("q"), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.sum(F.col("pos") * tp / (tp + fp)).alias("a")
     )
     both = (F.col("p") > 0) & (F.col("q") > 0)
     return out.select(*by, F.when(both, F.col("u") / (F.col("p") * F.col("q"))).alias("roc_auc"), F.when(both, F.col("a") / F.col("p")).alias("pr_auc"))
@@ -88,30 +131,26 @@ def quantiles(df: DataFrame, by: Sequence[str], probs: Sequence[float], col: str
     no group is collected.
     """
     s = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*by)
-    s = s.withColumn("to", F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    s = s.withColumn("next", F.lead("v").over(w.orderBy("v")))
+    s = running(s, by, "v", ["k"])
     q = s.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    rank = F.col("q") * (F.col("n") - 1)
-    q = q.withColumn("r", rank).where((F.floor("r") >= F.col("to") - F.col("k")) & (F.floor("r") < F.col("to")))
-    after = F.when(F.floor("r") + 1 < F.col("to"), F.col("v")).otherwise(F.coalesce("next", "v"))
+    to = F.col("k_below") + F.col("k")
+    q = q.withColumn("r", F.col("q") * (F.col("k_all") - 1)).where((F.floor("r") >= F.col("k_below")) & (F.floor("r") < to))
+    after = F.when(F.floor("r") + 1 < to, F.col("v")).otherwise(F.coalesce("x_next", "v"))
     return q.select(*by, "q", (F.col("v") + (F.col("r") - F.floor("r")) * (after - F.col("v"))).alias("value"))
 
 
 def threshold_scan(df: DataFrame, by: Sequence[str], cuts: DataFrame) -> DataFrame:
     """(by, cut, macro_f1) for each cut: predict 1 where y_score >= cut.  cuts: by, cut.
 
-    Scores and cuts are merged in one ordered pass of cumulative counts instead of one scan per cut.
+    Scores and cuts are merged in one pass of cumulative counts instead of one scan per cut.
     """
-    s = _by_score(df, by).select(*by, F.col("y_score").alias("x"), "pos", "neg", F.lit(1).alias("is_score"))
-    c = cuts.where("cut is not null").select(*by, F.col("cut").alias("x"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0).alias("is_score")).distinct()
-    w = Window.partitionBy(*by)
-    both = s.unionByName(c)
-    down = w.orderBy(F.desc("x"), F.desc("is_score")).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    both = both.withColumn("p", F.sum("pos").over(w)).withColumn("q", F.sum("neg").over(w)).where("is_score = 0")
-    fn, tn = F.col("p") - F.col("tp"), F.col("q") - F.col("fp")
-    f1 = (ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + fn) + ratio(2 * tn, 2 * tn + fn + F.col("fp"))) / 2
+    s = _by_score(df, by).select(*by, F.col("y_score").alias("x"), "pos", "neg", F.lit(0).alias("is_cut"))
+    c = cuts.where("cut is not null").select(*by, F.col("cut").alias("x"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(1).alias("is_cut"))
+    both = s.unionByName(c).groupBy(*by, "x").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("is_cut").alias("is_cut"))
+    both = running(both, by, "x", ["pos", "neg"]).where("is_cut = 1 and pos_all + neg_all > 0")
+    fn, tn = F.col("pos_below"), F.col("neg_below")
+    tp, fp = F.col("pos_all") - fn, F.col("neg_all") - tn
+    f1 = (ratio(2 * tp, 2 * tp + fp + fn) + ratio(2 * tn, 2 * tn + fn + fp)) / 2
     return both.select(*by, F.col("x").alias("cut"), f1.alias("macro_f1"))
 
 
@@ -130,10 +169,16 @@ def best_threshold(df: DataFrame, by: Sequence[str], probs: Sequence[float] | No
 
 
 def scaled(df: DataFrame, by: Sequence[str], col: str = "y_score") -> DataFrame:
-    """Adds p: the score scaled to 0..1 over its group; 0.5 where all scores are equal."""
-    ends = df.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    some = df.where(F.col(col).isNotNull()).join(F.broadcast(ends) if not by else ends, list(by)) if by else df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(ends))
-    return some.withColumn("p", F.when(F.col("hi") > F.col("lo"), (F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)).drop("lo", "hi")
+    """Adds p: the score scaled to 0..1 over its group; 0.5 where all scores are equal.  Rows without a score are left out."""
+    some = df.where(F.col(col).isNotNull())
+    if not by:
+        lo, hi = some.agg(F.min(col), F.max(col)).first()
+        some = some.withColumn("_lo", F.lit(lo).cast("double")).withColumn("_hi", F.lit(hi).cast("double"))
+    else:
+        names = [f"_g{k}" for k in range(len(by))]
+        ends = some.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")).select(*[F.col(c).alias(n) for c, n in zip(by, names)], "_lo", "_hi")
+        some = some.join(ends, same(by, names)).drop(*names)
+    return some.withColumn("p", F.when(F.col("_hi") > F.col("_lo"), (F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)).drop("_lo", "_hi")
 
 
 def calibration_bins(df: DataFrame, by: Sequence[str], n_bins: int = 10) -> DataFrame:
@@ -155,14 +200,39 @@ def calibration(df: DataFrame, by: Sequence[str], n_bins: int = 10) -> DataFrame
     return e.join(b, list(by))
 
 
-def binomial_p(b: Column, c: Column) -> Column:
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out, m = d, 1
+    while True:
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + num * d, 1 + num / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            return front * out
+        m += 1
+
+
+def two_sided_p(b: int, c: int) -> float:
     """Exact two-sided binomial p at one half of b against c discordant pairs; 1 if there are none."""
-    n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    # P(X <= k) by the ratio of neighbouring terms, in logarithms so that large counts do not vanish
-    start = F.struct((n.cast("double") * F.log(F.lit(0.5))).alias("t"), F.exp(n.cast("double") * F.log(F.lit(0.5))).alias("s"))
-    step = lambda acc, i: F.struct((acc["t"] + F.log((n - i + 1).cast("double") / i)).alias("t"), (acc["s"] + F.exp(acc["t"] + F.log((n - i + 1).cast("double") / i))).alias("s"))
-    tail = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["s"])
-    return F.when((n == 0) | (b == c), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    n, k = b + c, min(b, c)
+    return 1.0 if b == c else min(1.0, 2 * incomplete_beta(n - k, k + 1, 0.5))
+
+
+def binomial_p(b: Column, c: Column) -> Column:
+    """two_sided_p as a column; for tables of a few rows, such as pairs of models.  Counts of any size cost about their root."""
+
+    def one(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([two_sided_p(int(i), int(j)) for i, j in zip(x, y)], dtype=float)
+
+    return F.pandas_udf(one, "double")(b.cast("long"), c.cast("long"))
 
 
 def mcnemar(df: DataFrame, within: Sequence[str] = ("split",)) -> DataFrame:

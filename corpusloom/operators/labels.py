@@ -31,11 +31,6 @@ def three_way(code: Column, offensive: Column | None = None) -> Column:
     return F.when(c == "0", NEITHER).when(c == "-1", OFFENSIVE).when(c.isNotNull(), HATE)
 
 
-def vote(c: Column) -> Column:
-    """A vote count written in any notation; blank, null and unreadable ones are 0."""
-    return F.coalesce(F.expr(f"try_cast(trim({c._jc.toString()}) as double)") if False else F.try_to_number(F.trim(c), F.lit("9999.99")).cast("double"), F.lit(0.0))
-
-
 def votes_three_way(df: DataFrame, least: int = 2) -> Column:
     """Hate if any identity vote reaches `least`, else offensive if any offense vote does, else neither."""
     number = lambda c: F.coalesce(F.expr(f"try_cast(trim(`{c}`) as double)"), F.lit(0.0))

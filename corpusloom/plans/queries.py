@@ -443,7 +443,7 @@ def class_weights(spark, d):
 def _terms_sql() -> str:
     parts = []
     for g, by in A.IDENTITY_TERMS.items():
-        alt = " OR ".join(f"(language = '{lang}' AND regexp_matches(lower(coalesce(text_clean, '')), '{T.word_pattern(w.split())}'))" for lang, w in by.items())
+        alt = " OR ".join(f"(language = '{lang}' AND regexp_matches(lower(coalesce(text_clean, '')), '{T.word_pattern(w)}'))" for lang, w in by.items())
         parts.append(f"SELECT *, '{g}' AS \"group\" FROM n WHERE {alt}")
     return " UNION ALL ".join(parts)
 
