@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from time import perf_counter
 
 import numpy as np
 import pandas as pd
@@ -211,3 +212,70 @@ def hash_sample(df: DataFrame, by: str, k: int, seed: int = 42, id_col: str = "i
     rows = df.withColumn("_h", h).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(buckets)))
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_b").orderBy("_h", id_col))).where(F.col("_r") <= k)
     return first.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_h", id_col))).where(F.col("_r") <= k).drop("_h", "_b", "_r")
+
+
+def largest(df: DataFrame, by: str, k: int = 15, ties: Sequence[str] = ()) -> DataFrame:
+    """The k rows of the greatest value, nulls last, ties by further columns."""
+    return df.orderBy(F.col(by).desc_nulls_last(), *ties).limit(k)
+
+
+def flagged_and_sample(scored: DataFrame, flags: Sequence[str], by: str, k: int = 30, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """Adds `part`: every flagged row, and up to k unflagged ones of each group, chosen by the hash of their id."""
+    any_flag = F.lit(False)
+    for f in flags:
+        any_flag = any_flag | F.coalesce(F.col(f) == 1, F.lit(False))
+    some = hash_sample(scored.where(~any_flag), by, k, seed, id_col).withColumn("part", F.lit("unflagged_sample"))
+    return scored.where(any_flag).withColumn("part", F.lit("flagged")).unionByName(some)
+
+
+def sources_present(df: DataFrame, sets: dict[str, Sequence[str]], source: str = "source_dataset") -> DataFrame:
+    """(experiment, present): whether the table has any of an experiment's sources.  Sources are few; their set is made by an aggregation."""
+    have = df.agg(F.collect_set(source).alias("have"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("experiment"), F.array(*[F.lit(x) for x in v]).alias("want")) for k, v in sets.items()])).alias("e")
+    return have.select(each, "have").select("e.experiment", F.arrays_overlap("e.want", "have").alias("present"))
+
+
+def model_table(quality: DataFrame, *others: DataFrame) -> DataFrame:
+    """Quality of each model beside its calibration, bias, latency and size, where they are known: left joins on model_id."""
+    out = quality
+    for o in others:
+        out = out.join(o, "model_id", "left")
+    return out
+
+
+def latency(infer: Callable[[str], object], texts: Sequence[str], calls: int = 24) -> tuple[float, float]:
+    """(p50, p95) in milliseconds of calls of a scorer, one text each, after a warm-up; timed on the driver."""
+    infer(texts[0])
+    took = []
+    for k in range(calls):
+        began = perf_counter()
+        infer(f"{texts[k % len(texts)]} n{k}")
+        took.append(1000 * (perf_counter() - began))
+    return float(np.percentile(took, 50)), float(np.percentile(took, 95))
+
+
+def distinct_top(df: DataFrame, keys: Sequence[str], value: str, k: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The k best rows of different keys, the best row of each key."""
+    best = df.groupBy(*keys).agg(F.max(F.struct(value, *[c for c in df.columns if c != value and c not in keys])).alias("_b"))
+    return largest(best.select(*keys, "_b.*").select(*df.columns), value, k, ties or keys)
+
+
+def thresholds_by_language(predictions: DataFrame, whole: DataFrame, by: Sequence[str] = ("model_id",), fit_on: str = "val", judge_by: str = "test") -> DataFrame:
+    """(by, language, n, threshold, language_threshold, macro_f1 and recall with either, gain): a language's best cut on one split, applied to the other.
+
+    whole: (by, threshold), the cut for all languages.  Rows without a language take no part.
+    """
+    keys = [*by, "language"]
+    cuts = E.best_threshold(predictions.where((F.col("split") == fit_on) & F.col("language").isNotNull()), keys).select(*keys, F.col("threshold").alias("language_threshold"))
+    rows = predictions.where((F.col("split") == judge_by) & F.col("y_score").isNotNull()).join(whole, list(by)).join(cuts, keys)
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), (F.col("y_score") >= F.col(c)).cast("int").alias("y_pred")) for c in ("threshold", "language_threshold")])).alias("p")
+    m = E.classification(rows.select(*keys, "threshold", "language_threshold", "y_true", both).select(*keys, "threshold", "language_threshold", "y_true", "p.cut", "p.y_pred"), [*keys, "threshold", "language_threshold", "cut"])
+    at = lambda c, which: F.max(F.when(F.col("cut") == which, F.col(c)))
+    out = m.groupBy(*keys, "threshold", "language_threshold").agg(F.max("n").alias("n"), *[at(c, w).alias(f"{c}_{n}") for c in ("macro_f1", "recall_hate") for w, n in (("threshold", "whole"), ("language_threshold", "language"))])
+    return out.withColumn("gain", F.col("macro_f1_language") - F.col("macro_f1_whole"))
+
+
+def false_negative_quartiles(predictions: DataFrame, by: Sequence[str] = ("model_id", "language")) -> DataFrame:
+    """(by, p25, p50, p75) of the scores of false negatives."""
+    q = E.quantiles(predictions.where("y_true = 1 and y_pred = 0"), by, [0.25, 0.5, 0.75])
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])

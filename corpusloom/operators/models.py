@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from itertools import product
 from random import Random
 
 import numpy as np
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import PCA, CountVectorizer, IDF, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluate as E
+from corpusloom.operators import features as X
 from corpusloom.operators.splits import stratified_folds
 
 
@@ -40,6 +44,12 @@ class Config:
     lowercase: bool = True
     strip_accents: bool = False
     stop_words: str | None = None
+    sublinear: bool = True
+    binary: bool = False
+    #: light or heavy: clean the text first.
+    clean: str | None = None
+    #: Rows (lemma, category, level) of a lexicon; its 36 columns are a third block, not weighted.
+    lexicon: tuple = ()
     depth: int = 4
     params: dict = field(default_factory=dict)
 
@@ -47,7 +57,10 @@ class Config:
 def featurize(df: DataFrame, cfg: Config, text: str = "text_clean") -> DataFrame:
     """Adds the terms of both blocks: _w, one and two words, and _c, characters within what stands between white space."""
     t = F.coalesce(F.col(text), F.lit(""))
+    if cfg.clean:
+        t = T.clean(t, {"light": T.LIGHT, "heavy": T.HEAVY}[cfg.clean])
     t = T.strip_accents(t) if cfg.strip_accents else t
+    df, t = df.withColumn("_t", t), F.col("_t")
     words = T.word_tokens(t)
     stops = T.stop_words(cfg.stop_words)
     if stops:
@@ -59,47 +72,59 @@ def featurize(df: DataFrame, cfg: Config, text: str = "text_clean") -> DataFrame
         # A token that is shorter than n, blanks included, counts once, at the least n.
         return T.word_bounded_chars(spaced if n == low else F.filter(spaced, lambda w: F.length(w) + 2 >= n), n, n)
 
-    return df.withColumn("_w", T.ngrams(words, 1, 2)).withColumn("_c", F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)])))
+    out = df.withColumn("_w", T.ngrams(words, 1, 2)).withColumn("_c", F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)])))
+    if cfg.lexicon:
+        block = X.with_lexicon(out.withColumn("_tok", T.letter_tokens(t)), "_tok", cfg.lexicon)
+        names = [c for c in block.columns if c not in out.columns and c != "_tok"]
+        return block.withColumn("_l", F.array(*names)).drop("_t", "_tok", *names)
+    return out.withColumn("_l", F.array().cast("array<double>")).drop("_t")
 
 
 @dataclass
 class Features:
-    """The vocabulary and the smoothed idf (1 added) of both blocks."""
+    """The vocabulary and the smoothed idf (1 added) of both blocks, and how terms are weighted."""
 
     vocabularies: list[Model]
     idf: list[np.ndarray]
+    sublinear: bool = True
+    lexicon_columns: int = 0
 
 
 def fit_features(train: DataFrame, cfg: Config = Config()) -> Features:
     """From the training rows alone: terms of min_df rows or more, the most frequent first, and their weights."""
     vocabularies, idf = [], []
     for terms, size in (("_w", cfg.word_features), ("_c", cfg.char_features)):
-        v = CountVectorizer(inputCol=terms, outputCol=terms + "t", vocabSize=size, minDF=float(cfg.min_df)).fit(train)
+        v = CountVectorizer(inputCol=terms, outputCol=terms + "t", vocabSize=size, minDF=float(cfg.min_df), binary=cfg.binary).fit(train)
         vocabularies.append(v)
         idf.append(IDF(inputCol=terms + "t", outputCol=terms + "i").fit(v.transform(train)).idf.toArray() + 1.0)
-    return Features(vocabularies, idf)
+    return Features(vocabularies, idf, cfg.sublinear, len(X.CATEGORIES) * len(X.LEVELS) + 2 if cfg.lexicon else 0)
 
 
 def apply_features(df: DataFrame, fitted: Features) -> DataFrame:
-    """Adds features: in each block (1 + ln tf) * idf, brought to length 1."""
+    """Adds features: in each block (1 + ln tf) * idf, or tf * idf, brought to length 1; then the lexicon's columns as they are."""
     for v in fitted.vocabularies:
         df = v.transform(df)
     df = df.drop("_w", "_c")
     sizes = [len(i) for i in fitted.idf]
     weights = df.sparkSession.sparkContext.broadcast(fitted.idf)
+    sublinear, more = fitted.sublinear, fitted.lexicon_columns
 
     def with_features(row):
-        *rest, w, c = row
+        *rest, w, c, lex = row
         at, values = [], []
         for tf, idf, start in zip((w, c), weights.value, (0, sizes[0])):
-            x = (1.0 + np.log(tf.values)) * idf[tf.indices]
+            x = (1.0 + np.log(tf.values) if sublinear else tf.values) * idf[tf.indices]
             at.append(tf.indices + start)
             values.append(x / (np.sqrt(x @ x) or 1.0))
-        return (*rest, SparseVector(sum(sizes), np.concatenate(at), np.concatenate(values)))
+        if more:
+            there = np.flatnonzero(lex)
+            at.append(there + sum(sizes))
+            values.append(np.asarray(lex)[there])
+        return (*rest, SparseVector(sum(sizes) + more, np.concatenate(at), np.concatenate(values)))
 
     # A pass over rows: as a column, the optimizer would merge the function into expressions that cannot run it.
-    kept = df.drop("_wt", "_ct")
-    rows = df.select(*kept.columns, "_wt", "_ct").rdd.map(with_features)
+    kept = df.drop("_wt", "_ct", "_l")
+    rows = df.select(*kept.columns, "_wt", "_ct", "_l").rdd.map(with_features)
     return df.sparkSession.createDataFrame(rows, StructType([*kept.schema.fields, StructField("features", VectorUDT())]), verifySchema=False)
 
 
@@ -216,12 +241,119 @@ def stacked(df: DataFrame, weights: dict[str, float], bias: float, calibration:
     return df.withColumn("raw", raw).withColumn("prob", prob).withColumn("y_pred", (prob >= threshold).cast("int"))
 
 
+def save(model: Trained, folder: str) -> None:
+    """Vocabularies and members as Spark writes them, all else in one document beside them; the folder may be on any file system."""
+    spark = SparkSession.active()
+    for k, v in enumerate(model.features.vocabularies):
+        v.write().overwrite().save(f"{folder}/vocabulary{k}")
+    for k, (m, _) in enumerate(model.members):
+        m.write().overwrite().save(f"{folder}/member{k}")
+    doc = {
+        "config": asdict(model.cfg), "threshold": model.threshold, "sigmoids": [list(ab) if ab else None for _, ab in model.members], "idf": [i.tolist() for i in model.features.idf],
+        "sublinear": model.features.sublinear, "lexicon_columns": model.features.lexicon_columns,
+    }
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
+
+
+def load(spark: SparkSession, folder: str) -> Trained:
+    doc = json.loads(spark.read.text(f"{folder}/model", wholetext=True).first()[0])
+    tuples = {k: tuple(map(tuple, v)) if k == "lexicon" else tuple(v) if isinstance(v, list) else v for k, v in doc["config"].items()}
+    cfg = Config(**tuples)
+    kind = {"logreg": LogisticRegressionModel, "svm": LinearSVCModel, "gbt": GBTClassificationModel}[cfg.kind]
+    members = [(kind.load(f"{folder}/member{k}"), tuple(ab) if ab else None) for k, ab in enumerate(doc["sigmoids"])]
+    fitted = Features([CountVectorizerModel.load(f"{folder}/vocabulary{k}") for k in range(len(doc["idf"]))], [np.array(i) for i in doc["idf"]], doc["sublinear"], doc["lexicon_columns"])
+    return Trained(cfg, fitted, members, doc["threshold"])
+
+
+def linear_document(model: Trained, golden: Sequence[tuple[str, float]] = ()) -> dict:
+    """A linear model as plain values, for a scorer outside Spark: vocabulary, idf and coefficients of each block, intercept, threshold, and texts with their scores to check the scorer by."""
+    if model.cfg.kind != "logreg" or len(model.members) != 1:
+        raise ValueError("only a logistic regression is exported")
+    fitted, at, blocks = model.members[0][0], 0, []
+    w = fitted.coefficients.toArray()
+    for name, v, idf in zip(("word", "char"), model.features.vocabularies, model.features.idf):
+        blocks.append({"name": name, "vocabulary": list(v.vocabulary), "idf": idf.tolist(), "coefficients": w[at : at + len(idf)].tolist()})
+        at += len(idf)
+    return {"blocks": blocks, "lexicon": w[at:].tolist(), "sublinear": model.features.sublinear, "char_ngrams": list(model.cfg.char_ngrams), "intercept": float(fitted.intercept), "threshold": model.threshold, "golden": [[t, p] for t, p in golden]}
+
+
 def fit_stack(val: DataFrame, members: Sequence[str]) -> tuple[dict[str, float], float]:
+    """Weights and bias of a logistic regression over the members' scores, with C = 1."""
+    n = val.count()
     rows = VectorAssembler(inputCols=list(members), outputCol="features").transform(val.withColumn("label", F.col("y_true").cast("double")))
-    m = LogisticRegression(regParam=1e-4, maxIter=100, standardization=False).fit(rows)
+    m = LogisticRegression(regParam=1 / max(n, 1), maxIter=1000, standardization=False).fit(rows)
     return dict(zip(members, map(float, m.coefficients))), float(m.intercept)
 
 
+@dataclass(frozen=True)
+class Stack:
+    """A stack of members: weights, bias, sigmoid over the stacked score, threshold, and its area on the rows it was judged by."""
+
+    weights: dict
+    bias: float
+    sigmoid: tuple[float, float]
+    threshold: float
+    roc_auc: float
+
+    def score(self, wide: DataFrame) -> DataFrame:
+        return stacked(wide, self.weights, self.bias, self.sigmoid, self.threshold)
+
+
+#: Quantiles of the calibrated score among which a stack's threshold is chosen.
+STACK_CUTS = tuple(round(0.30 + (0.995 - 0.30) * k / 199, 12) for k in range(200))
+#: How much more area a larger stack must have to be worth its members.
+MIN_GAIN = 0.005
+
+
+def train_stack(predictions: DataFrame, members: Sequence[str], fit_on: str = "val", judge_by: str = "test") -> Stack:
+    """Fit weights, sigmoid and threshold on one split; the area is that on the other."""
+    val = member_scores(predictions.where(F.col("split") == fit_on), members)
+    w, b = fit_stack(val, members)
+    raw = stacked(val, w, b).select("y_true", F.col("raw").alias("y_score"))
+    ab = platt(raw)
+    prob = raw.withColumn("y_score", sigmoid(F.lit(ab[0]) * F.col("y_score") + F.lit(ab[1]))).withColumn("one", F.lit(1))
+    cut = E.best_threshold(prob, ["one"], STACK_CUTS).collect()
+    judged = stacked(member_scores(predictions.where(F.col("split") == judge_by), members), w, b, ab).select("y_true", F.col("prob").alias("y_score"), F.lit(1).alias("one"))
+    area = E.areas(judged, ["one"]).collect()
+    return Stack(w, b, ab, cut[0]["threshold"] if cut else 0.5, float(area[0]["roc_auc"] or 0.0) if area else 0.0)
+
+
+def choose_stack(predictions: DataFrame, small: Sequence[str], large: Sequence[str], min_gain: float = MIN_GAIN) -> tuple[Stack, Stack, Stack]:
+    """(chosen, small, large): the large stack only if its area is greater by min_gain."""
+    a, b = train_stack(predictions, small), train_stack(predictions, large)
+    return (b if b.roc_auc - a.roc_auc >= min_gain else a), a, b
+
+
+def isotonic_scores(model, df: DataFrame, score: str = "y_score") -> DataFrame:
+    """Adds p: the score as the isotonic model has it; rows without a score are left out."""
+    return model.transform(df.where(F.col(score).isNotNull()).withColumn("features", F.col(score))).withColumnRenamed("prediction", "p").drop("features")
+
+
+def isotonic_threshold(model, val: DataFrame, threshold: float, score: str = "y_score") -> float:
+    """The least calibrated score of the rows that are positive at the raw threshold; 1 if there are none."""
+    low = isotonic_scores(model, val.where(F.col(score) >= threshold), score).agg(F.min("p")).first()[0]
+    return 1.0 if low is None else float(low)
+
+
+def calibration_report(val: DataFrame, test: DataFrame, threshold: float) -> DataFrame:
+    """(method, threshold, ece, mce, brier, macro_f1) of raw, sigmoid and isotonic scores on test; both are fitted on val."""
+    a, b = platt(val)
+    iso = isotonic(val)
+    platted = lambda c: sigmoid(F.lit(a) * c + F.lit(b))
+    rows = test.where("y_score is not null and y_true is not null").select("y_true", "y_score")
+    kinds = {
+        "raw": (rows.withColumn("p", F.col("y_score")), threshold),
+        "platt": (rows.withColumn("p", platted(F.col("y_score"))), float(1 / (1 + np.exp(-(a * threshold + b))))),
+        "isotonic": (isotonic_scores(iso, rows), isotonic_threshold(iso, val, threshold)),
+    }
+    out = None
+    for name, (r, t) in kinds.items():
+        part = r.select("y_true", F.col("p").alias("y_score"), F.lit(name).alias("method"), F.lit(float(t)).alias("threshold"), (F.col("p") >= t).cast("int").alias("y_pred"))
+        out = part if out is None else out.unionByName(part)
+    by = ["method", "threshold"]
+    return E.calibration(out, by).join(E.classification(out, by).select(*by, "macro_f1"), by)
+
+
 def cross_validate(df: DataFrame, cfg: Config, k: int = 5, seed: int = 42) -> DataFrame:
     """(fold, metrics) of k stratified folds."""
     rows = stratified_folds(df.where("label is not null"), k=k, seed=seed).persist()
@@ -233,19 +365,53 @@ def cross_validate(df: DataFrame, cfg: Config, k: int = 5, seed: int = 42) -> Da
     return out
 
 
-def search(train_rows: DataFrame, val_rows: DataFrame, space: dict[str, Sequence], trials: int = 8, seed: int = 7) -> list[tuple[float, Config]]:
-    """Random search: (macro-F1 on val, configuration), best first; a configuration is tried once."""
+def validated(train_rows: DataFrame, val_rows: DataFrame, cfg: Config) -> dict:
+    """macro-F1 on val at the threshold chosen there, the threshold, and how many features there are."""
+    m = train(train_rows, val_rows, cfg)
+    rows = evaluate(m, val_rows.withColumn("one", F.lit(1)), ["one"]).collect()
+    return {"val_macro_f1": rows[0]["macro_f1"] if rows else 0.0, "threshold": m.threshold, "n_features": sum(map(len, m.features.idf)) + m.features.lexicon_columns}
+
+
+#: Variants of a configuration, one factor at a time.
+ABLATION = {"baseline_light": {}, "clean_heavy": {"clean": "heavy"}, "strip_accents": {"strip_accents": True}, "binary_tf": {"binary": True}, "no_sublinear": {"sublinear": False}, "heavy+accents": {"clean": "heavy", "strip_accents": True}}
+
+
+def ablation(train_rows: DataFrame, val_rows: DataFrame, base: Config = Config(clean="light"), variants: dict[str, dict] = ABLATION) -> list[dict]:
+    """One row for each variant, the best first."""
+    rows = [{"variant": name, **validated(train_rows, val_rows, replace(base, **delta))} for name, delta in variants.items()]
+    return sorted(rows, key=lambda r: (-r["val_macro_f1"], r["variant"]))
+
+
+def search(train_rows: DataFrame, val_rows: DataFrame, space: dict[str, Sequence], trials: int = 8, seed: int = 7, done: Sequence[dict] = ()) -> list[dict]:
+    """Random search: {params, val_macro_f1, ...} of each trial, best first.  done: trials of an earlier run, which are not made again."""
     every = [dict(zip(space, v)) for v in product(*space.values())]
     picked = Random(seed).sample(every, min(trials, len(every)))
+    known = {json.dumps(t["params"], sort_keys=True): t for t in done}
+    out = [known.get(json.dumps(p, sort_keys=True)) or {"params": p, **validated(train_rows, val_rows, Config(**p))} for p in picked]
+    return sorted(out, key=lambda t: (-t["val_macro_f1"], json.dumps(t["params"], sort_keys=True)))
+
+
+def distinct_best(trials: Sequence[dict], k: int) -> list[dict]:
+    """The k best trials of different parameters."""
+    best: dict[str, dict] = {}
+    for t in sorted(trials, key=lambda t: -t["val_macro_f1"]):
+        best.setdefault(json.dumps(t["params"], sort_keys=True), t)
+    return list(best.values())[:k]
+
+
+def rerank(df: DataFrame, trials: Sequence[dict], k: int = 3, folds: int = 5) -> list[dict]:
+    """The k best trials by their mean macro-F1 over folds, with its population deviation."""
     out = []
-    for p in picked:
-        cfg = Config(**p)
-        m = train(train_rows, val_rows, cfg)
-        rows = evaluate(m, val_rows.withColumn("one", F.lit(1)), ["one"]).collect()
-        out.append((rows[0]["macro_f1"] if rows else 0.0, cfg))
-    return sorted(out, key=lambda x: -x[0])
+    for t in distinct_best(trials, k):
+        r = cross_validate(df, Config(**t["params"]), folds).agg(F.avg("macro_f1").alias("m"), F.stddev_pop("macro_f1").alias("s")).first()
+        out.append({**t, "cv_mean": r["m"], "cv_std": r["s"]})
+    return sorted(out, key=lambda t: -t["cv_mean"])
 
 
 def reduce(df: DataFrame, k: int = 16, features: str = "features") -> DataFrame:
-    """Adds `reduced`: the k principal components of dense feature vectors."""
-    return PCA(k=k, inputCol=features, outputCol="reduced").fit(df).transform(df)
+    """Adds `reduced`: the first k coordinates of a singular value decomposition of the feature vectors, which may be sparse."""
+    rows = RowMatrix(df.select(features).rdd.map(lambda r: OldVectors.fromML(r[0])))
+    v = rows.computeSVD(k, computeU=False).V.toArray()  # features times k
+    shared = df.sparkSession.sparkContext.broadcast(v)
+    rows = df.rdd.map(lambda r: (*r, [float(x) for x in (shared.value[r[features].indices].T @ r[features].values if isinstance(r[features], SparseVector) else shared.value.T @ r[features].toArray())]))
+    return df.sparkSession.createDataFrame(rows, StructType([*df.schema.fields, StructField("reduced", ArrayType(DoubleType()))]), verifySchema=False)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.dedup import near_clusters, pair_links
+from corpusloom.operators.dedup import exact_duplicates, near_clusters, pair_links
 from corpusloom.operators.graph import components
 from corpusloom.plans.durable import join_skewed, keep
 
@@ -160,3 +160,18 @@ def stratified_group_split(df: DataFrame, groups: DataFrame, strata: Sequence[st
     small = by_spans(numbered(made, ["cls"], ["h", "grp"], sum(counted.values())), spans, "cls string").select("grp", "n", "split_to")
     alone = large.join(F.broadcast(spark.createDataFrame(one_by_one, "grp string, split_to string")), "grp").select("grp", "n", "split_to")
     return join_skewed(groups, keep(small.unionByName(alone), "assigned"), ["grp"], "n").select("id", "split_to")
+
+
+def make_splits(corpus: DataFrame, pairs: DataFrame, ratios: Sequence[tuple[str, float]], strata: Sequence[str] = ("language", "source_dataset", "label"), text: str = "text_clean", form: str = "NFKC") -> tuple[DataFrame, DataFrame]:
+    """(rows, statistics): exact duplicates go, near-duplicates and linked pairs are clustered, clusters are split with strata.
+
+    rows: (id, cluster, split_to) of the rows that are left.  statistics: (name, value) with rows_in, exact_removed,
+    rows_after_exact, near_clusters and split_<name> for each split.
+    """
+    left = keep(exact_duplicates(corpus, text=text, form=form), "left")
+    clusters = keep(near_clusters(left, text=text, links=pair_links(left, pairs), form=form).select("id", F.col("cluster").alias("grp")), "clusters")
+    rows = keep(clusters.join(stratified_group_split(left, clusters, strata, ratios), "id").select("id", F.col("grp").alias("cluster"), "split_to"), "splits")
+    n_in, n_left = corpus.count(), left.count()
+    counts = {"rows_in": n_in, "exact_removed": n_in - n_left, "rows_after_exact": n_left, "near_clusters": rows.select("cluster").distinct().count()}
+    whole = left.sparkSession.createDataFrame(list(counts.items()), "name string, value long")
+    return rows, whole.unionByName(rows.groupBy(F.concat(F.lit("split_"), "split_to").alias("name")).agg(F.count(F.lit(1)).alias("value")))

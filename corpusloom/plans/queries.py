@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import langid as I
 from corpusloom.functions import text as T
 from corpusloom.operators import analysis as A
 from corpusloom.operators import dedup as D
@@ -124,6 +125,19 @@ def language_route(spark, d):
     return A.route(corpus(spark, d)).select("id", "route_to")
 
 
+def _langid_sql() -> str:
+    lists = {c: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in I.function_words(c)) + "]" for c in I.LANGUAGES}
+    votes = ", ".join([f"len(list_filter(w, x -> list_contains({v}, x)))" for v in lists.values()] + ["len(list_filter(w, x -> regexp_full_match(x, '[\\x{0600}-\\x{06FF}]+')))"])
+    codes = "[" + ", ".join(f"'{c if c in I.OWN else 'other'}'" for c in [*I.LANGUAGES, "ar"]) + "]"
+    return f"""WITH w AS (SELECT id, regexp_extract_all(lower(coalesce(text_clean, '')), '\\p{{L}}+') AS w FROM corpus_strict), v AS (SELECT id, [{votes}] AS v FROM w)
+ SELECT id, CASE WHEN list_max(v) > 0 THEN {codes}[list_position(v, list_max(v))] ELSE 'other' END AS lang, CASE WHEN list_max(v) > 0 THEN round(list_max(v) / list_sum(v), 6) ELSE 0.0 END AS conf FROM v"""
+
+
+@query(_langid_sql())
+def language_id(spark, d):
+    return rounded(I.detect(corpus(spark, d)).select("id", "lang", "conf"), 6)
+
+
 # ---- labels ----
 @query("""WITH v AS (SELECT row_no, greatest(coalesce(try_cast(trim(homophobia) AS DOUBLE), 0), coalesce(try_cast(trim(racism) AS DOUBLE), 0), coalesce(try_cast(trim(misogyny) AS DOUBLE), 0), coalesce(try_cast(trim(xenophobia) AS DOUBLE), 0)) AS i,
  greatest(coalesce(try_cast(trim(obscene) AS DOUBLE), 0), coalesce(try_cast(trim(insult) AS DOUBLE), 0)) AS o FROM toldbr_votes)
@@ -150,17 +164,25 @@ def prefix_labels(spark, d):
     return c.select("id", L.map_label(F.col("label_original"), {"offensive": 1, "hate": 1, "nei": 0}, prefix=True).alias("label")).where("label is not null")
 
 
-@query("""WITH a AS (SELECT id, unnest([CASE WHEN label = 1 THEN 'hate' WHEN label = 0 THEN 'neither' END, CASE WHEN label_original = '1' THEN 'hate' WHEN label_original IN ('2') THEN 'offensive_nothate' WHEN label_original IN ('0', '3') THEN 'neither' ELSE label_original END,
- CASE WHEN label_confidence = 'high' THEN 'neither' WHEN label_confidence = 'low' THEN 'offensive_nothate' ELSE 'hate' END]) AS v FROM corpus_strict),
- n AS (SELECT id, v, count(*) AS k FROM a WHERE v IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC, v) AS rn FROM n)
- SELECT id, v AS label FROM r WHERE rn = 1 AND k >= 2""")
+_VOTE = lambda c: f"least(greatest(coalesce(try_cast(trim({c}) AS DOUBLE), 0), 0), 3)"
+
+
+@query(f"""WITH v AS (SELECT row_no, trunc(greatest({", ".join(map(_VOTE, L.IDENTITY_VOTES))}))::INTEGER AS h, trunc(greatest({", ".join(map(_VOTE, L.OFFENSE_VOTES))}))::INTEGER AS f FROM toldbr_votes), n AS (SELECT row_no, h, least(f, 3 - h) AS o FROM v)
+ SELECT row_no, CASE WHEN h >= 2 THEN 'hate' WHEN o >= 2 THEN 'offensive_nothate' WHEN 3 - h - o >= 2 THEN 'neither' END AS label FROM n""")
 def majority_vote(spark, d):
-    c, o = corpus(spark, d), F.col("label_original")
-    votes = F.array(
-        F.when(F.col("label") == 1, "hate").when(F.col("label") == 0, "neither"), F.when(o == "1", "hate").when(o == "2", "offensive_nothate").when(o.isin("0", "3"), "neither").otherwise(o),
-        F.when(F.col("label_confidence") == "high", "neither").when(F.col("label_confidence") == "low", "offensive_nothate").otherwise("hate"),
-    )
-    return c.select("id", L.majority(votes).alias("label")).where("label is not null")
+    v = _t(spark, d, "toldbr_votes")
+    return v.select("row_no", L.majority(L.annotators(v)).alias("label"))
+
+
+@query("SELECT vote, count(*) FILTER (v <> '' AND try_cast(v AS DOUBLE) IS NULL) AS n_unreadable, count(*) FILTER (try_cast(v AS DOUBLE) < 0 OR try_cast(v AS DOUBLE) > 3) AS n_out_of_range FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS vote, trim({c}) AS v FROM toldbr_votes" for c in (*L.IDENTITY_VOTES, *L.OFFENSE_VOTES)) + ") GROUP BY ALL")
+def vote_violations(spark, d):
+    return L.vote_violations(_t(spark, d, "toldbr_votes"))
+
+
+@query(f"""WITH m(source_dataset, policy, label_original, mapped) AS (VALUES {_MAPS}) SELECT source_dataset, policy, count(*) AS n, NOT (source_dataset IN ({", ".join(f"'{x}'" for x in L.PROBE_GATED)}) OR (source_dataset || ' ' || policy) IN ({", ".join(f"'{a} {b}'" for a, b in L.AUXILIARY)})) AS "primary"
+ FROM corpus_strict JOIN m USING (source_dataset, label_original) GROUP BY ALL""")
+def gated_corpus(spark, d):
+    return L.gated(corpus(spark, d)).groupBy("source_dataset", "policy", "primary").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT id, CASE WHEN trim(text_clean) <> '' THEN text_clean WHEN trim(text) <> '' THEN text ELSE '' END AS text FROM corpus_strict")
@@ -168,14 +190,14 @@ def coalesce_nonblank(spark, d):
     return corpus(spark, d).select("id", L.first_nonblank(F.col("text_clean"), F.col("text")).alias("text"))
 
 
-@query("SELECT id, CASE WHEN trim(label_original) = '0' THEN 'neither' WHEN trim(label_original) = '-1' THEN 'offensive_nothate' WHEN label_original IS NOT NULL THEN 'hate' END AS three_way FROM corpus_strict WHERE source_dataset = 'pt_fortuna'")
+@query("SELECT id, CASE WHEN trim(label_original) = '0' THEN 'neither' WHEN trim(label_original) = '-1' THEN 'offensive_nothate' WHEN label_original IS NOT NULL THEN 'hate' END AS three_way FROM corpus_strict")
 def code_three_way(spark, d):
-    return corpus(spark, d).where("source_dataset = 'pt_fortuna'").select("id", L.three_way(F.col("label_original")).alias("three_way"))
+    return corpus(spark, d).select("id", L.three_way(F.col("label_original")).alias("three_way"))
 
 
-@query("SELECT label, count(*) AS n FROM vidgen_pairs WHERE label IS NULL OR label NOT IN ('hate', 'nothate') GROUP BY ALL")
+@query("SELECT label_original AS label, count(*) AS n FROM corpus_strict WHERE label_original IS NULL OR label_original NOT IN ('hate', 'neither', 'offensive_nothate') GROUP BY ALL")
 def unknown_labels(spark, d):
-    return L.unknown_labels(_t(spark, d, "vidgen_pairs"), ["hate", "nothate"])
+    return L.unknown_labels(corpus(spark, d), ["hate", "neither", "offensive_nothate"], "label_original").select("label", "n")
 
 
 @query("""SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(id) - count(DISTINCT id) AS duplicate_ids, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty_text, count(*) FILTER (label_original IS NULL) AS null_label FROM corpus_strict""")
@@ -239,13 +261,13 @@ def mojibake_audit(spark, d):
     return corpus(spark, d).groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("text_clean").rlike(T.MOJIBAKE).cast("long")), F.lit(0)).alias("garbled"))
 
 
-@query("""SELECT id, sha256(coalesce(text_clean, '')) AS sha256, sha1(coalesce(text_clean, '')) AS text_key, length(strip_accents('')) = 0 AS ok FROM corpus_strict""")
+@query("""SELECT id, sha256(coalesce(text_clean, '')) AS sha256, sha1(coalesce(text_clean, '')) AS text_key FROM corpus_strict""")
 def text_hashes(spark, d):
     t = F.coalesce("text_clean", F.lit(""))
-    return corpus(spark, d).select("id", F.sha2(t, 256).alias("sha256"), T.text_key(t).alias("text_key"), F.lit(True).alias("ok"))
+    return corpus(spark, d).select("id", F.sha2(t, 256).alias("sha256"), T.text_key(t).alias("text_key"))
 
 
-@query("""SELECT id, translate(text_clean, 'áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN') AS plain FROM corpus_strict""")
+@query()
 def accent_stripping(spark, d):
     return corpus(spark, d).select("id", T.strip_accents(F.col("text_clean")).alias("plain"))
 
@@ -267,16 +289,55 @@ def exact_dedup(spark, d):
     return D.exact_duplicates(c, form="NFC").select("id", "label", "label_confidence")
 
 
-@query()
+_NEAR = f"""k AS (SELECT {_KEY} AS text, min(id) AS id FROM corpus_strict GROUP BY 1 HAVING {_KEY} <> ''),
+ s AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), i -> substr(text, i, 5)))) AS g FROM k), z AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+ f AS (SELECT s.*, row_number() OVER (PARTITION BY s.id ORDER BY q.df, s.g) AS r, z.n FROM s JOIN (SELECT g, count(*) AS df FROM s GROUP BY g) q USING (g) JOIN z ON z.id = s.id),
+ c AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb FROM f a JOIN f b ON a.g = b.g AND a.id < b.id WHERE a.r <= a.n - ceil(0.9 * a.n) + 1 AND b.r <= b.n - ceil(0.9 * b.n) + 1 AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)),
+ j AS (SELECT id_a, id_b, count(*) AS i, max(na) AS na, max(nb) AS nb FROM c JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b AND x.g = y.g GROUP BY id_a, id_b),
+ np AS (SELECT id_a, id_b, i / (na + nb - i) AS jaccard FROM j WHERE i / (na + nb - i) >= 0.9)"""
+
+
+@query(f"WITH {_NEAR} SELECT id_a, id_b, round(jaccard, 9) AS jaccard FROM np")
 def near_dup_pairs(spark, d):
-    c = corpus(spark, d).select("id", T.dedup_key(F.col("text_clean")).alias("text")).where("text <> ''").groupBy("text").agg(F.min("id").alias("id"))
-    return D.near_pairs(c)
+    c = corpus(spark, d).select("id", T.dedup_key(F.col("text_clean"), "NFC").alias("text")).where("text <> ''").groupBy("text").agg(F.min("id").alias("id"))
+    return rounded(D.near_pairs(c))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR}, m AS (SELECT c.id, coalesce(k.id, c.id) AS first FROM corpus_strict c LEFT JOIN k ON k.text = {_KEY.replace("text_clean", "c.text_clean")}),
+ p AS (SELECT DISTINCT 'vidgen_' || row_no AS id, trim(acl_id) AS own, trim(acl_id_matched) AS m FROM vidgen_pairs WHERE 'vidgen_' || row_no IN (SELECT id FROM corpus_strict)),
+ l AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.m = y.own WHERE lower(coalesce(x.m, '')) NOT IN ('', 'na', 'n/a', 'none', 'nan', 'null')),
+ e AS (SELECT id_a AS a, id_b AS b FROM np UNION SELECT x.first, y.first FROM l JOIN m x ON x.id = l.a JOIN m y ON y.id = l.b), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r AS (SELECT a AS n, a AS root FROM u UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.root), t AS (SELECT n, min(root) AS root FROM r GROUP BY n)
+ SELECT m.id, coalesce(t.root, m.first) AS cluster FROM m LEFT JOIN t ON t.n = m.first""")
 def near_dup_clusters(spark, d):
     c = corpus(spark, d)
-    return D.near_clusters(c, links=D.pair_links(c, _t(spark, d, "vidgen_pairs")))
+    return D.near_clusters(c, links=D.pair_links(c, _t(spark, d, "vidgen_pairs")), form="NFC")
+
+
+@query(f"SELECT count(*) AS rows_in, count(*) - count(DISTINCT {_KEY}) AS exact_removed, count(DISTINCT {_KEY}) AS rows_after_exact FROM corpus_strict")
+def dedup_counts(spark, d):
+    c = corpus(spark, d)
+    left = D.exact_duplicates(c.select("id", "text_clean", "label_confidence"), form="NFC").agg(F.count(F.lit(1)).alias("rows_after_exact"))
+    return c.agg(F.count(F.lit(1)).alias("rows_in")).join(left).select("rows_in", (F.col("rows_in") - F.col("rows_after_exact")).alias("exact_removed"), "rows_after_exact")
+
+
+RATIOS = [("train", 0.7), ("val", 0.15), ("test", 0.15)]
+
+
+@query()
+def make_splits(spark, d):
+    return S.make_splits(corpus(spark, d), _t(spark, d, "vidgen_pairs"), RATIOS)[0]
+
+
+@query()
+def split_statistics(spark, d):
+    return S.make_splits(corpus(spark, d), _t(spark, d, "vidgen_pairs"), RATIOS)[1]
+
+
+@query("SELECT concat_ws('|', coalesce(language, '?'), coalesce(source_dataset, '?'), coalesce(label::VARCHAR, '?')) AS stratum, count(*) AS n FROM corpus_strict GROUP BY ALL")
+def stratum_counts(spark, d):
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("language", "source_dataset", "label")])
+    return corpus(spark, d).groupBy(key.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH p AS (SELECT DISTINCT 'vidgen_' || row_no AS id, trim(acl_id) AS own, trim(acl_id_matched) AS m FROM vidgen_pairs WHERE 'vidgen_' || row_no IN (SELECT id FROM corpus_strict))
@@ -297,14 +358,14 @@ _U = "('0x' || substr(md5('42|' || coalesce(dup_cluster_id::VARCHAR, id)), 1, 8)
 @query(f"SELECT id, CASE WHEN {_U} < 0.7 THEN 'train' WHEN {_U} < 0.85 THEN 'val' ELSE 'test' END AS split_to FROM corpus_strict")
 def group_split(spark, d):
     group = F.coalesce(F.col("dup_cluster_id").cast("string"), F.col("id"))
-    return S.group_split(corpus(spark, d), group, [("train", 0.7), ("val", 0.15), ("test", 0.15)]).select("id", "split_to")
+    return S.group_split(corpus(spark, d), group, RATIOS).select("id", "split_to")
 
 
 @query()
 def stratified_group_split(spark, d):
     c = corpus(spark, d)
     groups = keep(S.related(c, _t(spark, d, "vidgen_pairs")), "related")
-    return S.stratified_group_split(c, groups, ["language", "source_dataset", "label"], [("train", 0.7), ("val", 0.15), ("test", 0.15)])
+    return S.stratified_group_split(c, groups, ["language", "source_dataset", "label"], RATIOS)
 
 
 @query("""WITH r AS (SELECT substr(md5(id), 1, 2) AS bucket, md5(id || ':' || coalesce(split, '')) AS h FROM corpus_strict)
@@ -391,7 +452,7 @@ def holm(spark, d):
 _PROBS = [0.025, 0.25, 0.5, 0.75, 0.95]
 
 
-@query(f"""{PL}, q AS (SELECT unnest([{", ".join(f"({p})::DOUBLE" for p in _PROBS)}]) AS q) SELECT model_id, split, q, round(CASE q """ + " ".join(f"WHEN {p} THEN quantile_cont(y_score, {p})" for p in _PROBS) + " END, 9) AS value FROM pl CROSS JOIN q WHERE y_score IS NOT NULL GROUP BY ALL")
+@query(f"{PL} SELECT model_id, split, q, round(value, 9) AS value FROM (" + " UNION ALL ".join(f"SELECT model_id, split, ({p})::DOUBLE AS q, quantile_cont(y_score, {p}) AS value FROM pl WHERE y_score IS NOT NULL GROUP BY model_id, split" for p in _PROBS) + ")")
 def score_quantiles(spark, d):
     return rounded(E.quantiles(preds(spark, d), ["model_id", "split"], _PROBS))
 
@@ -421,6 +482,28 @@ def threshold_per_language(spark, d):
     return out.withColumn("language", F.when(F.col("language") != "\x00", F.col("language")))
 
 
+@query(f"{PL}, {_threshold_sql(_QCUTS('model_id, split', 200, 0.30, 0.695 / 199))}")
+def threshold_stack_cuts(spark, d):
+    return rounded(E.best_threshold(preds(spark, d), ["model_id", "split"], [round(0.30 + 0.695 / 199 * k, 6) for k in range(200)]))
+
+
+_VAL_CUT = _threshold_sql(_QCUTS("model_id, language", 97, 0.02, 0.01), "model_id, language").replace("FROM pl WHERE", "FROM pl WHERE split = 'val' AND language IS NOT NULL AND")
+
+
+@query(f"""{PL}, {_VAL_CUT.replace(" SELECT model_id, language, cut AS threshold, macro_f1 FROM r WHERE rn = 1", ", lt AS (SELECT model_id, language, cut AS language_threshold FROM r WHERE rn = 1)")},
+ te AS (SELECT p.*, g.threshold, lt.language_threshold FROM pl p JOIN registry g USING (model_id) JOIN lt ON lt.model_id = p.model_id AND lt.language = p.language WHERE p.split = 'test' AND p.y_score IS NOT NULL AND p.y_true IS NOT NULL),
+ q AS (SELECT model_id, language, threshold, language_threshold, count(*) AS n, {", ".join(f"count(*) FILTER (y_true = {t} AND (y_score >= {c})::INTEGER = {v}) AS {n}_{k}" for k, c in (("w", "threshold"), ("l", "language_threshold")) for n, t, v in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)))} FROM te GROUP BY ALL)
+ SELECT model_id, language, n, threshold, language_threshold, {", ".join(f"round(({R(f'2*tp_{k}', f'2*tp_{k}+fp_{k}+fn_{k}')} + {R(f'2*tn_{k}', f'2*tn_{k}+fn_{k}+fp_{k}')}) / 2, 6) AS macro_f1_{n}, round({R(f'tp_{k}', f'tp_{k}+fn_{k}')}, 6) AS recall_hate_{n}" for k, n in (("w", "whole"), ("l", "language")))},
+ round(({R("2*tp_l", "2*tp_l+fp_l+fn_l")} + {R("2*tn_l", "2*tn_l+fn_l+fp_l")}) / 2 - ({R("2*tp_w", "2*tp_w+fp_w+fn_w")} + {R("2*tn_w", "2*tn_w+fn_w+fp_w")}) / 2, 6) AS gain FROM q""")
+def language_threshold_gap(spark, d):
+    return rounded(A.thresholds_by_language(preds(spark, d), _t(spark, d, "registry").select("model_id", "threshold")), 6)
+
+
+@query(f"{PL} SELECT model_id, language, round(quantile_cont(y_score, 0.25), 9) AS p25, round(quantile_cont(y_score, 0.5), 9) AS p50, round(quantile_cont(y_score, 0.75), 9) AS p75 FROM pl WHERE y_true = 1 AND y_pred = 0 AND y_score IS NOT NULL GROUP BY ALL")
+def fn_quartiles(spark, d):
+    return rounded(A.false_negative_quartiles(preds(spark, d)))
+
+
 _GRID = [round(0.05 + 0.005 * k, 3) for k in range(181)]
 
 
@@ -440,9 +523,19 @@ def class_weights(spark, d):
 
 
 # ---- analyses ----
-def _terms_sql() -> str:
+# Groups that the tables speak of.
+GROUP_TERMS = {
+    "velmari": {"en": ["velmari", "velmaris"], "pt": ["velmari", "velmaris"]},
+    "quilarian": {"en": ["quilarian", "quilarians"], "pt": ["quilário", "quilários"]},
+    "tamberite": {"en": ["tamberite", "tamberites"], "pt": ["tamberita", "tamberitas"]},
+    "drovian": {"en": ["drovian", "drovians"], "pt": ["droviano", "drovianos"]},
+    "norvic": {"en": ["norvic", "norvics", "norviches"], "pt": ["norvic", "norviches"]},
+}
+
+
+def _terms_sql(terms: dict = GROUP_TERMS) -> str:
     parts = []
-    for g, by in A.IDENTITY_TERMS.items():
+    for g, by in terms.items():
         alt = " OR ".join(f"(language = '{lang}' AND regexp_matches(lower(coalesce(text_clean, '')), '{T.word_pattern(w)}'))" for lang, w in by.items())
         parts.append(f"SELECT *, '{g}' AS \"group\" FROM n WHERE {alt}")
     return " UNION ALL ".join(parts)
@@ -455,12 +548,17 @@ _BIAS = f"""{PL}, n AS (SELECT pl.*, c.text_clean FROM pl LEFT JOIN corpus_stric
 
 @query(f"{_BIAS} SELECT * FROM o")
 def bias_probe(spark, d):
-    return A.bias_probe(preds(spark, d), corpus(spark, d))
+    return A.bias_probe(preds(spark, d), corpus(spark, d), terms=GROUP_TERMS)
+
+
+@query(f"{_BIAS} SELECT * FROM o ORDER BY fpr_gap DESC NULLS LAST, model_id, \"group\" LIMIT 15")
+def bias_top_gaps(spark, d):
+    return A.largest(A.bias_probe(preds(spark, d), corpus(spark, d), terms=GROUP_TERMS), "fpr_gap", 15, ["model_id", "group"])
 
 
 @query(f"{_BIAS} SELECT model_id, round(avg(fpr_gap), 9) AS mean_gap FROM o GROUP BY ALL")
 def mean_bias_gap(spark, d):
-    return A.bias_probe(preds(spark, d), corpus(spark, d)).groupBy("model_id").agg(F.round(F.avg("fpr_gap"), 9).alias("mean_gap"))
+    return A.bias_probe(preds(spark, d), corpus(spark, d), terms=GROUP_TERMS).groupBy("model_id").agg(F.round(F.avg("fpr_gap"), 9).alias("mean_gap"))
 
 
 _ERR = f"""{PL}, {_PROF}, x AS (SELECT pl.*, c.text_clean, c.lang_pred, len({_TOK.replace("text_clean", "c.text_clean")}) AS n_tokens, list_has_any(list_transform({_TOK.replace("text_clean", "c.text_clean")}, x -> lower(x)), (SELECT list(token) FROM p)) AS prof,
@@ -510,7 +608,7 @@ def pivot_sources(spark, d):
 @query(f"""{PL}, c AS (SELECT source_dataset, count(*) FILTER (y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (y_true = 1) AS pos, count(*) FILTER (y_true = 1 AND y_pred = 0 AND abs(y_score - threshold) <= 0.1) AS near, count(*) FILTER (y_true = 1 AND y_pred = 0 AND y_score < 0.1) AS low,
  model_id FROM pl JOIN registry USING (model_id) WHERE y_pred IS NOT NULL GROUP BY ALL) SELECT model_id, source_dataset, fn, pos, near, low, round({R("fn", "pos")}, 9) AS fn_rate FROM c""")
 def fn_anatomy(spark, d):
-    p = preds(spark, d).where("y_pred is not null").join(F.broadcast(_t(spark, d, "registry").select("model_id", "threshold")), "model_id")
+    p = preds(spark, d).where("y_pred is not null").join(_t(spark, d, "registry").select("model_id", "threshold"), "model_id")
     fn = (F.col("y_true") == 1) & (F.col("y_pred") == 0)
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     out = p.groupBy("model_id", "source_dataset").agg(n(fn).alias("fn"), n(F.col("y_true") == 1).alias("pos"), n(fn & (F.abs(F.col("y_score") - F.col("threshold")) <= 0.1)).alias("near"), n(fn & (F.col("y_score") < 0.1)).alias("low"))
@@ -519,7 +617,7 @@ def fn_anatomy(spark, d):
 
 @query(f"""{PL}, v AS (SELECT model_id, id, split, y_true, (y_score >= threshold)::INTEGER AS y_new FROM pl JOIN registry USING (model_id) WHERE y_score IS NOT NULL) SELECT model_id, split, y_new, count(*) AS n, coalesce(sum(y_true), 0)::BIGINT AS n_hate FROM v GROUP BY ALL""")
 def thresholding(spark, d):
-    p = preds(spark, d).where("y_score is not null").join(F.broadcast(_t(spark, d, "registry").select("model_id", "threshold")), "model_id")
+    p = preds(spark, d).where("y_score is not null").join(_t(spark, d, "registry").select("model_id", "threshold"), "model_id")
     return p.withColumn("y_new", (F.col("y_score") >= F.col("threshold")).cast("int")).groupBy("model_id", "split", "y_new").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y_true"), F.lit(0)).alias("n_hate"))
 
 
@@ -538,21 +636,57 @@ def servable_best(spark, d):
     return r.groupBy("policy").agg(F.max_by("model_id", "test_macro_f1").alias("model_id"), F.max("test_macro_f1").alias("test_macro_f1"))
 
 
-@query("SELECT policy, count(DISTINCT seed) AS n_seeds, round(avg(test_macro_f1), 6) AS mean_f1, round(stddev_samp(test_macro_f1), 6) AS std_f1, round(stddev_pop(test_macro_f1), 6) AS std_pop FROM registry GROUP BY ALL")
+@query(f"""{PL}, c AS (SELECT model_id, {CELLS} FROM pl WHERE y_true IS NOT NULL AND y_pred IS NOT NULL AND split = 'test' GROUP BY ALL), r AS (SELECT regexp_extract(r.model_id, '^[a-z0-9]+_[a-z0-9]+') AS family, config, policy, seed, test_macro_f1, round({R("tp", "tp+fn")}, 9) AS recall FROM registry r LEFT JOIN c USING (model_id))
+ SELECT family, config, policy, count(DISTINCT seed) AS n_seeds, round(avg(test_macro_f1), 6) AS mean_f1, round(stddev_samp(test_macro_f1), 6) AS std_f1, round(stddev_pop(test_macro_f1), 6) AS std_pop, round(avg(recall), 6) AS mean_recall, round(stddev_samp(recall), 6) AS std_recall FROM r GROUP BY ALL""")
 def seed_aggregate(spark, d):
-    r = _t(spark, d, "registry").groupBy("policy")
-    return r.agg(F.countDistinct("seed").alias("n_seeds"), F.round(F.avg("test_macro_f1"), 6).alias("mean_f1"), F.round(F.stddev_samp("test_macro_f1"), 6).alias("std_f1"), F.round(F.stddev_pop("test_macro_f1"), 6).alias("std_pop"))
+    recall = rounded(E.classification(preds(spark, d).where("split = 'test'"), ["model_id"]).select("model_id", F.col("recall_hate").alias("recall")))
+    r = _t(spark, d, "registry").withColumn("family", F.regexp_extract("model_id", "^[a-z0-9]+_[a-z0-9]+", 0)).join(recall, "model_id", "left")
+    six = lambda c: F.round(c, 6)
+    return r.groupBy("family", "config", "policy").agg(
+        F.countDistinct("seed").alias("n_seeds"), six(F.avg("test_macro_f1")).alias("mean_f1"), six(F.stddev_samp("test_macro_f1")).alias("std_f1"), six(F.stddev_pop("test_macro_f1")).alias("std_pop"),
+        six(F.avg("recall")).alias("mean_recall"), six(F.stddev_samp("recall")).alias("std_recall"),
+    )
+
+
+@query("SELECT config, max(test_macro_f1) FILTER (policy = 'strict') AS strict, max(test_macro_f1) FILTER (policy = 'broad') AS broad FROM registry GROUP BY ALL")
+def pivot_policies(spark, d):
+    return _t(spark, d, "registry").groupBy("config").pivot("policy", ["strict", "broad"]).agg(F.max("test_macro_f1"))
 
 
-_SEL = f"""{_BIAS}, bm AS (SELECT model_id, avg(fpr_gap) AS bias_gap FROM o GROUP BY ALL), c AS (SELECT model_id, {CELLS} FROM pl WHERE y_true IS NOT NULL AND y_pred IS NOT NULL AND split = 'test' GROUP BY ALL),
- t AS (SELECT model_id, round(({F1H} + {F1N}) / 2, 9) AS macro_f1, round({R("tp", "tp+fn")}, 9) AS recall_hate, round(bias_gap, 9) AS bias_gap, threshold FROM c LEFT JOIN bm USING (model_id) LEFT JOIN registry USING (model_id))"""
+@query("SELECT model_id, config, policy, val_macro_f1 FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY val_macro_f1 DESC, model_id DESC) AS rn FROM registry) WHERE rn = 1 ORDER BY val_macro_f1 DESC, config LIMIT 3")
+def distinct_trials(spark, d):
+    return A.distinct_top(_t(spark, d, "registry").select("model_id", "config", "policy", "val_macro_f1"), ["config"], "val_macro_f1", 3)
+
+
+_EXPERIMENTS = {"en": ["vidgen", "hatexplain", "tweets_ip"], "pt": ["toldbr", "hatebr", "pt_fortuna"], "memes": ["memotion", "multioff"]}
+
+
+@query("SELECT experiment, count(*) > 0 AND max(hit) = 1 AS present FROM (SELECT e.experiment, (c.source_dataset IS NOT NULL)::INTEGER AS hit FROM (VALUES " + ", ".join(f"('{k}', '{x}')" for k, v in _EXPERIMENTS.items() for x in v) + ") e(experiment, source) LEFT JOIN (SELECT DISTINCT source_dataset FROM corpus_strict) c ON c.source_dataset = e.source) GROUP BY ALL")
+def sources_present(spark, d):
+    return A.sources_present(corpus(spark, d), _EXPERIMENTS)
+
+
+@query("SELECT r.model_id, policy, threshold, d.n AS n_test FROM registry r LEFT JOIN (SELECT model_id, count(*) AS n FROM predictions WHERE split = 'test' AND y_pred IS NOT NULL GROUP BY ALL) d USING (model_id)")
+def flat_leaderboard(spark, d):
+    m = _t(spark, d, "predictions").where("y_pred is not null").groupBy("model_id", "split").agg(F.count(F.lit(1)).alias("n"))
+    docs = _t(spark, d, "registry").join(m.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("split", F.struct("n")))).alias("splits")), "model_id", "left")  # a few splits a model
+    return docs.select("model_id", "policy", "threshold", F.col("splits")["test"]["n"].alias("n_test"))
+
+
+_SEL = f"""{_BIAS}, sc AS (SELECT model_id, min(y_score) AS lo, max(y_score) AS hi FROM pl WHERE y_true IS NOT NULL AND split = 'test' GROUP BY ALL),
+ p AS (SELECT model_id, y_true, CASE WHEN hi > lo THEN (y_score - lo) / (hi - lo) ELSE 0.5 END AS p FROM pl JOIN sc USING (model_id) WHERE y_score IS NOT NULL AND y_true IS NOT NULL AND split = 'test'),
+ b AS (SELECT model_id, len(list_filter({_EDGES}, x -> x <= p))::INTEGER AS bin, count(*) AS n, avg(p) AS confidence, avg(y_true) AS accuracy FROM p GROUP BY ALL),
+ e AS (SELECT model_id, sum(n * abs(confidence - accuracy)) / sum(n) AS ece FROM b GROUP BY ALL), bm AS (SELECT model_id, avg(fpr_gap) AS bias_gap FROM o GROUP BY ALL), c AS (SELECT model_id, {CELLS} FROM pl WHERE y_true IS NOT NULL AND y_pred IS NOT NULL AND split = 'test' GROUP BY ALL),
+ t AS (SELECT model_id, round(({F1H} + {F1N}) / 2, 9) AS macro_f1, round({R("tp", "tp+fn")}, 9) AS recall_hate, round(bias_gap, 9) AS bias_gap, round(e.ece, 9) AS ece, threshold FROM c LEFT JOIN bm USING (model_id) LEFT JOIN registry USING (model_id) LEFT JOIN e ON e.model_id = c.model_id)"""
 
 
 def selection(spark, d):
     p = preds(spark, d)
-    q = rounded(E.classification(p.where("split = 'test'"), ["model_id"]).select("model_id", "macro_f1", "recall_hate"))
-    gap = A.bias_probe(p, corpus(spark, d)).groupBy("model_id").agg(F.round(F.avg("fpr_gap"), 9).alias("bias_gap"))
-    return q.join(F.broadcast(gap), "model_id", "left").join(F.broadcast(_t(spark, d, "registry").select("model_id", "threshold")), "model_id", "left")
+    test = p.where("split = 'test'")
+    q = rounded(E.classification(test, ["model_id"]).select("model_id", "macro_f1", "recall_hate"))
+    gap = A.bias_probe(p, corpus(spark, d), terms=GROUP_TERMS).groupBy("model_id").agg(F.round(F.avg("fpr_gap"), 9).alias("bias_gap"))
+    ece = rounded(E.calibration(test, ["model_id"]).select("model_id", "ece"))
+    return A.model_table(q, gap, ece, _t(spark, d, "registry").select("model_id", "threshold"))
 
 
 @query(f"{_SEL} SELECT * FROM t")
@@ -560,15 +694,15 @@ def model_selection(spark, d):
     return selection(spark, d)
 
 
-@query(f"""{_SEL}, n AS (SELECT * FROM t WHERE macro_f1 IS NOT NULL AND recall_hate IS NOT NULL AND bias_gap IS NOT NULL) SELECT * FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.macro_f1 >= a.macro_f1 AND b.recall_hate >= a.recall_hate AND b.bias_gap <= a.bias_gap
- AND (b.macro_f1 > a.macro_f1 OR b.recall_hate > a.recall_hate OR b.bias_gap < a.bias_gap))""")
+@query(f"""{_SEL}, w AS (SELECT * FROM t WHERE macro_f1 IS NOT NULL AND recall_hate IS NOT NULL AND bias_gap IS NOT NULL AND ece IS NOT NULL) SELECT * FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.macro_f1 >= x.macro_f1 AND y.recall_hate >= x.recall_hate AND y.bias_gap <= x.bias_gap AND y.ece <= x.ece
+ AND (y.macro_f1 > x.macro_f1 OR y.recall_hate > x.recall_hate OR y.bias_gap < x.bias_gap OR y.ece < x.ece))""")
 def pareto_front(spark, d):
-    return A.pareto_front(selection(spark, d), ["macro_f1", "recall_hate"], ["bias_gap"])
+    return A.pareto_front(selection(spark, d), ["macro_f1", "recall_hate"], ["bias_gap", "ece"])
 
 
-@query("""SELECT coalesce(r.model_id, p.model_id) AS model_id, CASE WHEN p.model_id IS NOT NULL THEN 'new' ELSE r.config END AS config FROM (SELECT DISTINCT model_id FROM predictions WHERE starts_with(model_id, 'tfidf')) p FULL JOIN registry r USING (model_id)""")
+@query("""SELECT coalesce(r.model_id, p.model_id) AS model_id, CASE WHEN p.model_id IS NOT NULL THEN 'new' ELSE r.config END AS config FROM (SELECT DISTINCT model_id FROM predictions) p FULL JOIN registry r USING (model_id)""")
 def registry_upsert(spark, d):
-    new = _t(spark, d, "predictions").where("model_id like 'tfidf%'").select("model_id").distinct().withColumn("config", F.lit("new"))
+    new = _t(spark, d, "predictions").select("model_id").distinct().withColumn("config", F.lit("new"))
     return sinks.registry_upsert(_t(spark, d, "registry").select("model_id", "config"), new)
 
 
@@ -647,6 +781,32 @@ def page_blocks(spark, d):
     return html.stored_blocks(_t(spark, d, "field_pages")).select("page_id", "block")
 
 
+_BLOCKS = """b AS (SELECT page_id, blocks FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY fetched_at DESC NULLS LAST, received_at DESC NULLS LAST, blocks DESC) AS rn FROM field_pages WHERE status = 200 AND blocks IS NOT NULL) WHERE rn = 1),
+ u AS (SELECT DISTINCT page_id, unnest(blocks) AS block FROM b), t AS (SELECT page_id, md5(page_id || '_' || block) AS id, block FROM u WHERE trim(block) <> '')"""
+
+
+@query(f"""WITH {_PROF}, {_BLOCKS}, w AS (SELECT page_id, id, list_filter(regexp_split_to_array(lower(block), '{WS}+'), x -> x <> '') AS w FROM t),
+ s AS (SELECT page_id, id, CASE WHEN len(w) > 0 THEN len(list_filter(w, x -> list_contains(pl, x))) / len(w) ELSE 0 END AS first_score, CASE WHEN len(w) > 0 THEN len(list_filter(w, x -> length(x) > 7)) / len(w) ELSE 0 END AS second_score FROM w CROSS JOIN (SELECT list(token) AS pl FROM p)),
+ f AS (SELECT *, (first_score >= 0.02)::INTEGER AS first_flag, (second_score >= 0.6)::INTEGER AS second_flag FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY md5('42|' || id), id) AS rn FROM f WHERE first_flag = 0 AND second_flag = 0)
+ SELECT page_id, id, round(first_score, 6) AS first_score, first_flag, round(second_score, 6) AS second_score, second_flag, 'flagged' AS part FROM f WHERE first_flag = 1 OR second_flag = 1
+ UNION ALL SELECT page_id, id, round(first_score, 6), first_flag, round(second_score, 6), second_flag, 'unflagged_sample' FROM r WHERE rn <= 30""")
+def review_sheet(spark, d):
+    """Blocks scored by two scorers: all that either flags, and up to 30 others a page."""
+    blocks = html.stored_blocks(_t(spark, d, "field_pages")).select("page_id", F.md5(F.concat_ws("_", F.col("page_id").cast("string"), "block")).alias("id"), T.tokens(F.lower("block")).alias("w"))
+    words = X.words_of(X.profanity(_t(spark, d, "lexicon")))
+    share = lambda c: F.when(F.size("w") > 0, F.size(F.filter("w", c)) / F.size("w")).otherwise(F.lit(0.0))
+    s = blocks.select("page_id", "id", share(lambda x: x.isin(*words)).alias("first_score"), share(lambda x: F.length(x) > 7).alias("second_score"))
+    s = s.withColumn("first_flag", (F.col("first_score") >= 0.02).cast("int")).withColumn("second_flag", (F.col("second_score") >= 0.6).cast("int"))
+    return rounded(A.flagged_and_sample(s, ["first_flag", "second_flag"], "page_id"), 6)
+
+
+@query("SELECT key, list_sum(list_transform(vector, x -> round(x::DOUBLE, 4)))::DOUBLE AS total FROM (SELECT sha1(text) AS key, arg_min(embedding, doc_id) AS vector FROM (SELECT d.doc_id, d.text, e.embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.text IS NOT NULL) GROUP BY sha1(text))")
+def cache_seed(spark, d):
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    c = X.seed_cache(_t(spark, d, "documents"), v, "doc_id")
+    return c.select("key", F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.round(x.cast("double"), 4)).alias("total"))
+
+
 # ---- estimators: no SQL form; tests check their properties ----
 def _splits(spark, d):
     c = corpus(spark, d).where("label is not null").select("id", "text_clean", "label", "split", "source_dataset", "language")
@@ -668,28 +828,54 @@ def train_svm(spark, d):
     return _trained(spark, d, M.Config(kind="svm"))
 
 
+def _threshold(spark, d, model):
+    return _t(spark, d, "registry").where(F.col("model_id") == model).first()["threshold"]
+
+
 @query()
 def platt_calibration(spark, d):
-    p = preds(spark, d).where("model_id = 'tfidf_svm_strict_s7'")
-    a, b = M.platt(p.where("split = 'val'"))
-    out = p.where("split = 'test' and y_score is not null").withColumn("p", M.sigmoid(F.lit(a) * F.col("y_score") + F.lit(b)))
+    """Each model's scores on test by its own sigmoid."""
+    p = preds(spark, d)
+    out = None
+    for model in [r["model_id"] for r in _t(spark, d, "registry").select("model_id").orderBy("model_id").collect()]:  # as many as models
+        a, b = M.platt(p.where((F.col("split") == "val") & (F.col("model_id") == model)))
+        part = p.where((F.col("split") == "test") & (F.col("model_id") == model) & F.col("y_score").isNotNull()).withColumn("p", M.sigmoid(F.lit(a) * F.col("y_score") + F.lit(b)))
+        out = part if out is None else out.unionByName(part)
     return out.select("model_id", "id", "y_true", F.round("p", 6).alias("p"))
 
 
 @query()
 def isotonic_calibration(spark, d):
-    p = preds(spark, d).where("model_id = 'tfidf_logreg_strict_s7'")
-    m = M.isotonic(p.where("split = 'val'"))
-    out = m.transform(p.where("split = 'test' and y_score is not null").withColumn("features", F.col("y_score")))
-    return out.select("model_id", "id", "y_true", F.round("prediction", 6).alias("p"))
+    """Each model's scores on test by its own isotonic step function."""
+    p = preds(spark, d)
+    out = None
+    for model in [r["model_id"] for r in _t(spark, d, "registry").select("model_id").orderBy("model_id").collect()]:
+        own = p.where(F.col("model_id") == model)
+        part = M.isotonic_scores(M.isotonic(own.where("split = 'val'")), own.where("split = 'test'"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("model_id", "id", "y_true", F.round("p", 6).alias("p"))
+
+
+@query()
+def calibration_demo(spark, d):
+    model = "tfidf_logreg_strict_s7"
+    p = preds(spark, d).where(F.col("model_id") == model)
+    return rounded(M.calibration_report(p.where("split = 'val'"), p.where("split = 'test'"), _threshold(spark, d, model)), 6)
 
 
 @query()
 def stacking(spark, d):
-    wide = M.member_scores(preds(spark, d), list(_STACK))
-    w, b = M.fit_stack(wide.where("split = 'val'"), list(_STACK))
-    rows = M.stacked(wide.where("split = 'test'"), w, b).withColumn("y_score", F.col("prob"))
-    return rounded(E.classification(rows, ["split"]).join(E.areas(rows, ["split"]), "split"), 6)
+    """The stack of three members against that of all models, and which is chosen."""
+    p = preds(spark, d)
+    every = [r["model_id"] for r in _t(spark, d, "registry").select("model_id").orderBy("model_id").collect()]
+    chosen, small, large = M.choose_stack(p, list(_STACK), every)
+    out = None
+    for name, k in (("small", small), ("large", large)):
+        wide = M.member_scores(p, list(k.weights))
+        part = k.score(wide).select(F.lit(name).alias("stack"), F.lit(k is chosen).alias("chosen"), "split", "y_true", "y_pred", F.col("prob").alias("y_score"))
+        out = part if out is None else out.unionByName(part)
+    by = ["stack", "chosen", "split"]
+    return rounded(E.classification(out, by).join(E.areas(out, by), by), 6)
 
 
 @query()

@@ -32,6 +32,12 @@ def strings_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequen
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
+def raw_csv(spark: SparkSession, root: str, source: str, member: str, encoding: str = "utf-8", sep: str = ",") -> DataFrame:
+    """A member of a source below the root folder, with the columns of its own header."""
+    path = os.path.join(root, source, member)
+    return strings_csv(spark, path, csv_header(path, sep, encoding), sep, encoding)
+
+
 def union_members(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -66,8 +72,11 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.split("value", "\t")[0]).alias("url"), F.trim(F.get(F.split("value", "\t"), F.lit(1))).alias("note"))
 
 
-def zip_members(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """(archive, member, content, sha256) of the named members of zip archives; a wanted member that is absent has null content."""
+def zip_members(spark: SparkSession, path: str, names: Sequence[str], known: DataFrame | None = None) -> DataFrame:
+    """(archive, member, content, sha256) of the named members of zip archives; a wanted member that is absent has null content.
+
+    known: (sha256) of archives that were extracted before; they are left out.
+    """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,6 +88,8 @@ def zip_members(spark: SparkSession, path: str, names: Sequence[str]) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(names)), pa.array(list(names)), pa.array(data, pa.binary()), pa.array([digest] * len(names))], names=["archive", "member", "content", "sha256"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if known is not None:  # archives whose hash is known are not opened again
+        files = files.withColumn("sha256", F.sha2("content", 256)).join(known.select("sha256").distinct(), "sha256", "left_anti").select("path", "content")
     return files.mapInArrow(one, "archive string, member string, content binary, sha256 string")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,24 +49,67 @@ def markdown(df: DataFrame) -> str:
     return "\n".join(lines + ["| " + " | ".join(show(r[c]) for c in cols) + " |" for r in rows]) + "\n"
 
 
-def registry_upsert(old: DataFrame, new: DataFrame, key: str = "model_id") -> DataFrame:
-    """Rows of both; where a key is in both, the new row."""
+def registry_upsert(old: DataFrame, new: DataFrame, key: str = "model_id", family: str | None = None) -> DataFrame:
+    """Rows of both; where a key is in both, the new row.  With family, old rows of that column's values in new are replaced as a whole, all other families stay."""
+    if family:
+        old = old.join(new.select(family).distinct(), family, "left_anti").select(*old.columns)
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def export_linear(pipeline: PipelineModel, coefficients: Sequence[float], intercept: float, threshold: float, path: str, platt: tuple[float, float] | None = None) -> None:
-    """Vocabulary, idf and coefficients of each block, for a scorer outside Spark.  Vocabularies are bounded by their size limit."""
-    blocks, at = [], 0
-    for stage in pipeline.stages:
-        if hasattr(stage, "vocabulary"):
-            vocab = stage.vocabulary
-            blocks.append({"vocabulary": vocab, "coefficients": list(coefficients[at : at + len(vocab)])})
-            at += len(vocab)
-        elif hasattr(stage, "idf"):
-            blocks[-1]["idf"] = stage.idf.toArray().tolist()
-    doc = {"blocks": blocks, "intercept": intercept, "threshold": threshold, "platt": list(platt) if platt else None}
+def example_sheet(df: DataFrame, path: str, title: str = "Examples") -> None:
+    """A Markdown sheet of a small table, such as error_examples."""
+    _write(path, f"# {title}\n\n{markdown(df)}")
+
+
+def multi_table_csv(tables: Sequence[DataFrame], path: str) -> None:
+    """Several small tables in one CSV file, a blank line between them."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        w = csv.writer(f)
+        for k, t in enumerate(tables):
+            if k:
+                w.writerow([])
+            w.writerow(t.columns)
+            w.writerows(list(r.values()) for r in report_rows(t))
+
+
+def provenance(path: str, source: str, files: DataFrame, when: str) -> dict:
+    """Add the hashes of a source's files (member, sha256) to a provenance document and give it back."""
+    doc = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            doc = json.load(f)
+    doc[source] = {"at": when, "files": {r["member"]: r["sha256"] for r in report_rows(files.select("member", "sha256").distinct())}}
+    _write(path, json.dumps(doc, ensure_ascii=False, indent=2, sort_keys=True))
+    return doc
+
+
+def tracker_log(path: str, run: str, params: dict, metrics: dict) -> bool:
+    """Append a run to a log of JSON lines; a log that can't be written is no error."""
+    try:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(json.dumps({"run": run, "params": params, "metrics": metrics}, ensure_ascii=False, sort_keys=True, default=str) + "\n")
+        return True
+    except OSError:
+        return False
+
+
+def model_card(path: str, model_id: str, config: dict, metrics: DataFrame, notes: str = "") -> None:
+    """What a model is, how it was made and how well it does, as a Markdown page."""
+    lines = [f"# {model_id}", "", "## Configuration", "", *[f"- {k}: {v}" for k, v in sorted(config.items())], "", "## Metrics", "", markdown(metrics)]
+    _write(path, "\n".join(lines + (["## Notes", "", notes, ""] if notes else [])))
+
+
+def export_linear(document: dict, path: str) -> None:
+    """A linear model (models.linear_document) as a JSON file.  Vocabularies are bounded by their size limit."""
+    _write(path, json.dumps(document, ensure_ascii=False))
+
+
+def _write(path: str, text: str) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, ensure_ascii=False)
+        f.write(text)
 
 
 def manifest(df: DataFrame, id_col: str = "id", split: str = "split", buckets: int = 256) -> DataFrame:
