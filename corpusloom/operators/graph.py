@@ -59,7 +59,8 @@ def components(edges: DataFrame, edges_per_task: int | None = None) -> DataFrame
     """
     per_task = edges_per_task or EDGES_PER_TASK
     kind = edges.schema["a"].dataType.simpleString()
-    all_edges = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct(), "edges")
+    whole = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    all_edges = keep(whole.distinct(), "edges")
     now = all_edges.where("a < b")
     n = now.count()
     parts = max(1, -(-n // per_task))

@@ -5,7 +5,7 @@ executor.  The folder is the session's spark.checkpoint.dir; only where that is
 one machine, a folder of our own is made.
 
 All tables of a session stand in one folder below it.  A table that is not read again is deleted by discard;
-the folder goes when Python ends.
+the folder goes when the driver ends.
 """
 
 from __future__ import annotations
@@ -35,20 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system; one on this machine also after Spark has stopped."""
-    if path.startswith("file:"):
-        shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
-    elif spark.sparkContext._jsc is not None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _at(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) in the JVM's terms."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def _folder(spark: SparkSession) -> str:
     app = f"{spark.sparkContext.applicationId} {shared_dir(spark)}"
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, _FOLDERS[app])
+        fs, where = _at(spark, _FOLDERS[app])
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
     return _FOLDERS[app]
 
 
@@ -66,7 +65,8 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables made by keep; no DataFrame that is still to run may read them."""
     for t in tables:
         if path := getattr(t, "kept_at", None):
-            _delete(t.sparkSession, path)
+            fs, where = _at(t.sparkSession, path)
+            fs.delete(where, True)
 
 
 def join_skewed(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, share: int = 1000) -> DataFrame:
