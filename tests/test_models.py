@@ -31,3 +31,103 @@ def test_svm_scores_are_calibrated_out_of_fold(spark):
     assert len(m.members) == 3 and all(a > 0 for _, (a, _) in m.members)
     got = m.predict(df).select("y_score", "y_pred", "label").collect()
     assert all(0 < r.y_score < 1 for r in got) and sum(r.y_pred == r.label for r in got) > 110
+
+
+def toy(spark, n=90):
+    rows = [(f"i{k}", f"{'bad' if k % 3 == 0 else 'good'} thing w{k % 5} <user>", int(k % 3 == 0)) for k in range(n)]
+    return spark.createDataFrame(rows, "id string, text_clean string, label int")
+
+
+@pytest.fixture(scope="module")
+def linear(spark):
+    df = toy(spark)
+    return df, M.train(df, df, M.Config(max_iter=20, min_df=1, word_features=200, char_features=200, lexicon=(("bad", "an", "inclusive"),)))
+
+
+def test_save_load_score(spark, linear, tmp_path):
+    df, m = linear
+    M.save(m, str(tmp_path / "m"))
+    again = M.load(spark, str(tmp_path / "m"))
+    assert again.cfg == m.cfg and again.threshold == m.threshold
+    a, b = ({r.id: r.y_score for r in x.predict(df).collect()} for x in (m, again))
+    assert a == pytest.approx(b) and len(a) == 90
+
+
+def test_lexicon_block_is_part_of_the_features(linear):
+    df, m = linear
+    assert m.features.lexicon_columns == 36
+    v = M.apply_features(M.featurize(df.where("id = 'i0'"), m.cfg), m.features).first().features
+    assert v.size == sum(map(len, m.features.idf)) + 36 and v.toArray()[-36:].max() == 1.0
+
+
+def test_exported_document_scores_alike(linear, tmp_path):
+    from corpusloom.sources import sinks
+
+    df, m = linear
+    doc = M.linear_document(m, [("x", 0.5)])
+    sinks.export_linear(doc, str(tmp_path / "e.json"))
+    assert [len(b["vocabulary"]) == len(b["coefficients"]) == len(b["idf"]) for b in doc["blocks"]] == [True, True] and len(doc["lexicon"]) == 36
+    row = m.score(df.where("id = 'i0'")).first()
+    f = M.apply_features(M.featurize(df.where("id = 'i0'"), m.cfg), m.features).first().features
+    w = [c for b in doc["blocks"] for c in b["coefficients"]] + doc["lexicon"]
+    z = sum(w[int(i)] * x for i, x in zip(f.indices, f.values)) + doc["intercept"]
+    assert row.y_score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def members(spark):
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for k in range(600):
+        y = int(r.random() < 0.4)
+        for m, noise in (("a", 0.3), ("b", 0.3), ("c", 0.3), ("noise", 9.0)):
+            rows.append((m, "val" if k % 2 else "test", f"i{k}", y, 1 / (1 + math.exp(-(y - 0.5 + r.gauss(0, noise))))))
+    return spark.createDataFrame(rows, "model_id string, split string, id string, y_true int, y_score double")
+
+
+def test_larger_stack_must_gain(spark):
+    p = members(spark)
+    chosen, small, large = M.choose_stack(p, ["a", "b"], ["a", "b", "noise"])
+    assert chosen is small and 0 < small.threshold < 1 and small.sigmoid[0] > 0
+    chosen, small, large = M.choose_stack(p, ["noise"], ["a", "b", "c"])
+    assert chosen is large and large.roc_auc > small.roc_auc + M.MIN_GAIN
+    assert len(M.STACK_CUTS) == 200
+
+
+def test_isotonic_threshold_repeats_the_raw_decision(spark):
+    p = members(spark).where("model_id = 'a'")
+    val = p.where("split = 'val'")
+    iso = M.isotonic(val)
+    t = M.isotonic_threshold(iso, val, 0.5)
+    assert M.isotonic_scores(iso, val).where(f"(y_score >= 0.5) and p < {t!r}").count() == 0
+    assert M.isotonic_threshold(iso, val, 2.0) == 1.0
+    rows = {r.method: r for r in M.calibration_report(val, p.where("split = 'test'"), 0.5).collect()}
+    assert rows.keys() == {"raw", "platt", "isotonic"} and rows["platt"].macro_f1 == pytest.approx(rows["raw"].macro_f1)
+
+
+def test_ablation_and_search(spark):
+    df = toy(spark, 45)
+    base = M.Config(max_iter=5, min_df=1, word_features=50, char_features=50)
+    rows = M.ablation(df, df, base, {"base": {}, "binary_tf": {"binary": True}, "no_sublinear": {"sublinear": False}, "heavy": {"clean": "heavy"}})
+    assert len(rows) == 4 and rows[0]["val_macro_f1"] >= rows[-1]["val_macro_f1"] and len(M.ABLATION) == 6
+    done = [{"params": {"c": 1.0}, "val_macro_f1": 0.1, "threshold": 0.5, "n_features": 1}]
+    out = M.search(df, df, {"c": [1.0]}, trials=3, done=done)
+    assert out == done
+    best = M.distinct_best([*done, {"params": {"c": 1.0}, "val_macro_f1": 0.9}, {"params": {"c": 2.0}, "val_macro_f1": 0.5}], 2)
+    assert [t["val_macro_f1"] for t in best] == [0.9, 0.5]
+
+
+def test_reduced_vectors(linear):
+    df, m = linear
+    some = M.apply_features(M.featurize(df.limit(20), m.cfg), m.features).select("id", "features")
+    assert all(len(r.reduced) == 3 for r in M.reduce(some, 3).collect())
+
+
+def test_rerank_and_boosted_trees(spark):
+    df = toy(spark, 60)
+    small = {"max_iter": 2, "min_df": 1, "word_features": 20, "char_features": 20}
+    out = M.rerank(df, [{"params": small, "val_macro_f1": 0.5}], 1, 2)
+    assert 0 <= out[0]["cv_mean"] <= 1 and out[0]["cv_std"] >= 0
+    m = M.train(df, df, M.Config(kind="gbt", depth=2, **small))
+    assert m.predict(df).where("y_pred = label").count() > 50
