@@ -41,6 +41,8 @@ from corpusloom.operators.graph import components
 from corpusloom.plans.durable import discard, join_skewed, keep
 
 BANDS, ROWS = 48, 8
+#: Bands and rows where classes alone are wanted: a pair at the bound is missed with probability (1 - 0.818 ** 8) ** 36 = 3e-4, and its ends may still meet through others.
+CLASS_BANDS, CLASS_ROWS = 36, 8
 #: Hashes of the signature that candidates are compared by, in batches; pairs below 0.6 or so never outlast them.
 BATCH, COMPARED = 32, 128
 #: Probability at which a pair that reaches the threshold may be dropped while its signature is compared.
@@ -85,10 +87,10 @@ def _hashes() -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
 
 
-def signature(el: np.ndarray) -> bytes:
-    """One byte of each of BANDS * ROWS minima (multiply-shift hashing)."""
+def signature(el: np.ndarray, hashes: int = BANDS * ROWS) -> bytes:
+    """One byte of each of so many minima (multiply-shift hashing)."""
     a, b = _hashes()
-    h = ((el[:, None] * a[None, :] + b[None, :]) >> np.uint64(24)).min(axis=0)
+    h = ((el[:, None] * a[None, :hashes] + b[None, :hashes]) >> np.uint64(24)).min(axis=0)
     h ^= h >> np.uint64(17)
     return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
 
@@ -132,14 +134,14 @@ def _jaccard(share: float) -> float:
     return share / (2 - share)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], least_words: int, repair: bool = False) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], least_words: int, repair: bool, hashes: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, sigs, els = [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             e = elements(forms.plain(garble.repair(t)[0])[0] if repair else t)
             if len(e) >= least_words:
                 ids.append(i)
-                sigs.append(signature(e))
+                sigs.append(signature(e, hashes))
                 els.append(packed(e))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sigs, pa.binary()), pa.array(els, pa.binary())], names=["id", "sig", "el"])
 
@@ -173,7 +175,7 @@ def _verify(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Reco
         yield _pairs_batch(_exact(survivors(_sig_matrix(sa), _sig_matrix(sb), _jaccard(share)), ia, ib, ea, eb, share), b.schema.field(0).type)
 
 
-def _verify_blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+def _verify_blocks(batches: Iterator[pa.RecordBatch], share: float, rows: int) -> Iterator[pa.RecordBatch]:
     """Rows of one task, sorted by grp: (grp, side, band, cls, id, sig, el) with whole signatures.  A group is two blocks of a large bucket, or one with itself.
 
     Pairs of one class, other than class 0, are left out, and such as share an earlier band.
@@ -196,7 +198,7 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[
             one = np.broadcast_to(own[:COMPARED], (len(at), COMPARED))
             at = at[survivors(one, sigs[at, :COMPARED], _jaccard(share))]
             if band:
-                at = at[~(sigs[at, : band * ROWS].reshape(len(at), band, ROWS) == own[: band * ROWS].reshape(band, ROWS)).all(axis=2).any(axis=1)]
+                at = at[~(sigs[at, : band * rows].reshape(len(at), band, rows) == own[: band * rows].reshape(band, rows)).all(axis=2).any(axis=1)]
             found = _exact(np.arange(len(at)), [i] * len(at), [other[j][2] for j in at], [el] * len(at), [other[j][4] for j in at], share)
             if found:
                 yield _pairs_batch(found, kind)
@@ -211,23 +213,23 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[
     yield from flush()
 
 
-def sketches(texts: DataFrame, least_words: int = 1, repair: bool = False) -> DataFrame:
+def sketches(texts: DataFrame, least_words: int = 1, repair: bool = False, hashes: int = BANDS * ROWS) -> DataFrame:
     """A written table (id, sig, el, n) of each text with enough words; n is a number for the id.  texts: id, text.
 
     With repair, garbled and look-alike text is first restored.
     """
-    made = texts.mapInArrow(lambda it: _sketch(it, least_words, repair), "id string, sig binary, el binary")
+    made = texts.mapInArrow(lambda it: _sketch(it, least_words, repair, hashes), "id string, sig binary, el binary")
     return keep(made.withColumn("n", F.monotonically_increasing_id()), "sketches")
 
 
-def _buckets(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _buckets(sketch: DataFrame, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Written tables: (bucket, size, a, b: its least and greatest n) of buckets of two texts or more, and (bucket, size, first: its least n, band, n) of the texts of larger ones."""
-    # A band is the 8 bytes of its 8 hashes; the JVM cuts bands out of the signature.
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    bands = sketch.select("n", "sig", band).select("n", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket"))
-    counts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("a"), F.max("n").alias("b")).where("size > 1")
+    # A band is a byte for each of its hashes; the JVM cuts bands out of the signature.
+    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
+    cut = sketch.select("n", "sig", band).select("n", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {rows} + 1, {rows})")).alias("bucket"))
+    counts = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("a"), F.max("n").alias("b")).where("size > 1")
     counts = keep(counts, "buckets")
-    more = keep(join_skewed(bands, counts.where("size > 2").select("bucket", "size", F.col("a").alias("first"), F.col("size").alias("weight")), ["bucket"], "weight"), "members")
+    more = keep(join_skewed(cut, counts.where("size > 2").select("bucket", "size", F.col("a").alias("first"), F.col("size").alias("weight")), ["bucket"], "weight"), "members")
     return counts, more
 
 
@@ -237,6 +239,13 @@ def _listed(members: DataFrame) -> DataFrame:
     return lists.select("first", F.posexplode("m").alias("i", "x"), "m").select("first", "x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
 
 
+def _plausible(pairs: DataFrame, sketch: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose numbers of words let them be similar; two joins of a few bytes a row, before those of the sketches."""
+    size = sketch.select("n", F.length("el").alias("w"))
+    both = pairs.join(size.select(F.col("n").alias("a"), F.col("w").alias("wa")), "a").join(size.select(F.col("n").alias("b"), F.col("w").alias("wb")), "b")
+    return both.where(F.least("wa", "wb") >= F.greatest("wa", "wb") * share - 1e-6).select("a", "b")
+
+
 def _compare(pairs: DataFrame, sketch: DataFrame, name: str, share: float) -> DataFrame:
     """(id_a, id_b, similarity) of the pairs (a, b) of n that are similar; the ids are those of column `name`."""
     slim = sketch.select("n", F.col(name).alias("id"), F.expr(f"substring(sig, 1, {COMPARED})").alias("sig"), "el")
@@ -247,16 +256,19 @@ def _compare(pairs: DataFrame, sketch: DataFrame, name: str, share: float) -> Da
     return full.mapInArrow(lambda it: _verify(it, share), f"id_a {kind}, id_b {kind}, similarity double")
 
 
-def _compare_blocks(members: DataFrame, sketch: DataFrame, name: str, share: float, block: int) -> DataFrame:
+def _compare_blocks(members: DataFrame, sketch: DataFrame, name: str, share: float, block: int, rows: int) -> DataFrame:
     """The same for all pairs of each large bucket.  members: bucket, size, band, n, cls.  Each text goes to the block pairs that its own block is part of."""
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     large = members.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("n"), F.col("k").cast("long")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     large = large.select(F.xxhash64("bucket", lo, hi).alias("grp"), F.when(lo == hi, 0).otherwise((F.col("own") == hi).cast("int")).alias("side"), "band", "cls", "n")
-    large = large.join(sketch.select("n", F.col(name).alias("id") if name != "n" else F.col("n").alias("id"), "sig", "el"), "n").select("grp", "side", "band", "cls", "id", "sig", "el")
+    large = keep(large, "blocks")
+    # Texts of large buckets are few; the others are left out before their sketches are moved.
+    own = sketch.join(large.select("n").distinct(), "n", "left_semi").select("n", F.col(name).alias("id"), "sig", "el")
+    large = large.join(own, "n").select("grp", "side", "band", "cls", "id", "sig", "el")
     kind = sketch.schema[name].dataType.simpleString()
-    return large.repartition("grp").sortWithinPartitions("grp").mapInArrow(lambda it: _verify_blocks(it, share), f"id_a {kind}, id_b {kind}, similarity double")
+    return large.repartition("grp").sortWithinPartitions("grp").mapInArrow(lambda it: _verify_blocks(it, share, rows), f"id_a {kind}, id_b {kind}, similarity double")
 
 
 def similar_pairs(sketch: DataFrame, share: float = 0.9, small: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -264,7 +276,7 @@ def similar_pairs(sketch: DataFrame, share: float = 0.9, small: int = SMALL, blo
 
     sketch: a written table of sketches; id is unique.
     """
-    counts, more = _buckets(sketch)
+    counts, more = _buckets(sketch, BANDS, ROWS)
     more = more.withColumn("cls", F.lit(0).cast("long"))
     # Lists of at most `small` numbers; larger buckets do not reach this aggregation.
     listed = _listed(more.where(F.col("size") <= small)).select(F.col("x.n").alias("a"), F.col("y.n").alias("b"))
@@ -273,18 +285,18 @@ def similar_pairs(sketch: DataFrame, share: float = 0.9, small: int = SMALL, blo
     large = more.where(F.col("size") > small)
     if large.isEmpty():
         return out
-    return out.unionByName(_compare_blocks(large, sketch, "id", share, block)).dropDuplicates(["id_a", "id_b"])
+    return out.unionByName(_compare_blocks(large, sketch, "id", share, block, ROWS)).dropDuplicates(["id_a", "id_b"])
 
 
 def similar_classes(sketch: DataFrame, share: float = 0.9, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(n, root) of all texts that are similar to another, directly or through others; root is the least n of its class.
 
-    sketch: a written table of sketches.  The classes are those of similar_pairs.
+    sketch: a written table of sketches of CLASS_BANDS * CLASS_ROWS hashes.  The classes are those of all similar pairs.
     """
-    counts, more = _buckets(sketch)
+    counts, more = _buckets(sketch, CLASS_BANDS, CLASS_ROWS)
     # Each text against the first of its bucket.
     star = counts.where("size = 2").select("a", "b").unionByName(more.where("n > first").select(F.col("first").alias("a"), F.col("n").alias("b"))).distinct()
-    star = keep(star, "star")
+    star = keep(_plausible(star, sketch, share), "star")
     # The first of a bucket may stand for very many texts.
     firsts = star.groupBy("a").agg(F.count(F.lit(1)).alias("k")).join(sketch.select(F.col("n").alias("a"), F.expr(f"substring(sig, 1, {COMPARED})").alias("sig_a"), F.col("el").alias("el_a")), "a")
     firsts = keep(firsts, "firsts")
@@ -300,10 +312,11 @@ def similar_classes(sketch: DataFrame, share: float = 0.9, small: int = SMALL, b
     left_over = keep(named.join(apart, "bucket").where("n > first"), "apart")
     discard(more)
     listed = _listed(left_over.where(F.col("size") <= small)).where("x.cls <> y.cls").select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
-    late = _compare(listed, sketch, "n", share)
+    # Few pairs are left, as a written table, so that its size decides how they are joined.
+    late = _compare(keep(_plausible(listed, sketch, share), "late_pairs"), sketch, "n", share)
     large = left_over.where(F.col("size") > small)
     if not large.isEmpty():
-        late = late.unionByName(_compare_blocks(large, sketch, "n", share, block))
+        late = late.unionByName(_compare_blocks(large, sketch, "n", share, block, CLASS_ROWS))
     late = keep(late.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "late")
     if late.isEmpty():
         return roots.select(F.col("node").alias("n"), "root")
@@ -338,7 +351,7 @@ def clusters(df: DataFrame, id_col: str = "id", text_col: str = "text_clean", sh
     formatting are one text.  A row without a letter or digit is a class of its own, of no text.
     """
     rows, sets, texts = _set_texts(df, id_col, text_col, 1, repair=True)
-    sketch = sketches(texts, 1, repair=True)
+    sketch = sketches(texts, 1, repair=True, hashes=CLASS_BANDS * CLASS_ROWS)
     classes = similar_classes(sketch, share).join(sketch.select("n", "id"), "n")
     named = classes.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_texts"))
     member = classes.join(named, "root").select(F.col("id").alias("first_id"), "class_id", "class_texts")
