@@ -36,6 +36,7 @@ class Config:
     l1: float = 0.0
     balanced: bool = True
     max_iter: int = 1000
+    tol: float = 1e-4
     word_features: int = 150_000
     char_features: int = 150_000
     char_ngrams: tuple[int, int] = (3, 5)
@@ -54,6 +55,12 @@ class Config:
     params: dict = field(default_factory=dict)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer; a small file is one partition, and its terms are much work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def featurize(df: DataFrame, cfg: Config, text: str = "text_clean") -> DataFrame:
     """Adds the terms of both blocks: _w, one and two words, and _c, characters within what stands between white space."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -130,7 +137,7 @@ def apply_features(df: DataFrame, fitted: Features) -> DataFrame:
 
 def estimator(cfg: Config, total_weight: float = 1.0):
     """total_weight: of all training rows; C weighs the sum of their losses, regParam their mean."""
-    common = {"featuresCol": "features", "labelCol": "label"}
+    common = {"featuresCol": "features", "labelCol": "label", **({} if cfg.kind == "gbt" else {"tol": cfg.tol})}
     if cfg.kind == "logreg":
         return LogisticRegression(**common, maxIter=cfg.max_iter, regParam=cfg.params.get("reg", 1 / (cfg.c * total_weight)), elasticNetParam=cfg.l1, standardization=False, weightCol="weight")
     if cfg.kind == "svm":
@@ -161,7 +168,7 @@ class Trained:
     threshold: float
 
     def score(self, df: DataFrame) -> DataFrame:
-        out, total = apply_features(featurize(df, self.cfg), self.features), F.lit(0.0)
+        out, total = apply_features(featurize(spread(df), self.cfg), self.features), F.lit(0.0)
         for k, (model, ab) in enumerate(self.members):
             s = score_column(model)
             out = model.transform(out).withColumn(f"_s{k}", sigmoid(F.lit(ab[0]) * s + F.lit(ab[1])) if ab else s).drop("rawPrediction", "probability", "prediction")
@@ -177,7 +184,7 @@ def train(train_rows: DataFrame, val_rows: DataFrame, cfg: Config = Config()) ->
 
     An svm is one model for each calibration fold, fitted on the other folds, with a sigmoid fitted on its own.
     """
-    rows = featurize(weighted(train_rows.where("label is not null"), cfg.balanced), cfg)
+    rows = featurize(spread(weighted(train_rows.where("label is not null"), cfg.balanced)), cfg)
     fitted = fit_features(rows, cfg)
     ready = apply_features(rows, fitted)
     if cfg.kind == "svm":
