@@ -59,20 +59,19 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Signatures; the text goes along, as it is a fraction of its set of shingles."""
     a, b = _hashes(PERMUTATIONS)
     for batch in batches:
-        ids, sigs, sets = [], [], []
+        ids, sigs, texts = [], [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = shingle_hashes(t or "", k)
-            if len(s):
+            if t:
                 ids.append(i)
-                sigs.append(((s[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.uint32).tobytes())
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["id", "sig", "shingles"])
+                sigs.append(((shingle_hashes(t, k)[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.uint32).tobytes())
+                texts.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sigs, pa.binary()), pa.array(texts, pa.string())], names=["id", "sig", "text"])
 
 
-def _jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     n = len(np.intersect1d(x, y, assume_unique=True))
     return n / (len(x) + len(y) - n)
 
@@ -82,19 +81,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["id_a", "id_b", "jaccard"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], least: float, k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, j, s) for i, x, j, y in zip(*(c.to_pylist() for c in b.columns)) if (s := _jaccard(x, y)) >= least]
+        rows = []
+        for i, x, j, y in zip(*(c.to_pylist() for c in b.columns)):
+            if (s := _jaccard(shingle_hashes(x, k), shingle_hashes(y, k))) >= least:
+                rows.append((i, j, s))
         yield _batch(rows)
 
 
-def _verify_blocks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _verify_blocks(batches: Iterator[pa.RecordBatch], least: float, k: int) -> Iterator[pa.RecordBatch]:
     group, sides = None, ([], [])
 
     def flush() -> Iterator[pa.RecordBatch]:
         left, right = sides
         for n, (i, x) in enumerate(left):
-            rows = [(min(i, j), max(i, j), s) for j, y in (right or left[n + 1 :]) if i != j and (s := _jaccard(x, y)) >= least]
+            rows = [(min(i, j), max(i, j), s) for j, y in (right or left[n + 1 :]) if i != j and min(len(x), len(y)) >= least * max(len(x), len(y)) and (s := _jaccard(x, y)) >= least]
             if rows:
                 yield _batch(rows)
 
@@ -103,13 +105,13 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[
             if g != group:
                 yield from flush()
                 group, sides = g, ([], [])
-            sides[side].append((i, x))
+            sides[side].append((i, shingle_hashes(x, k)))
     yield from flush()
 
 
 def near_pairs(texts: DataFrame, threshold: float = 0.9, k: int = 5, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b, of texts (id, text; ids unique) whose shingle sets are similar enough."""
-    sketch = keep(texts.select("id", "text").mapInArrow(lambda it: _sketch(it, k), "id string, sig binary, shingles binary"), "sketch")
+    sketch = keep(texts.select("id", "text").mapInArrow(lambda it: _sketch(it, k), "id string, sig binary, text string"), "sketch")
     n_bands, width = PERMUTATIONS // BAND_ROWS, 4 * BAND_ROWS
     bands = sketch.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("band"))
     bands = bands.select("id", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"))
@@ -118,9 +120,9 @@ def near_pairs(texts: DataFrame, threshold: float = 0.9, k: int = 5, small: int
     listed = members.where(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("m"))
     listed = listed.select(F.posexplode("m").alias("i", "id_a"), "m").select("id_a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("id_b"))
     pairs = counts.where("n = 2").select("id_a", "id_b").unionByName(listed).where("id_a < id_b").distinct()
-    a = sketch.select(F.col("id").alias("id_a"), F.col("shingles").alias("a"))
-    b = sketch.select(F.col("id").alias("id_b"), F.col("shingles").alias("b"))
-    out = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "a", "id_b", "b").mapInArrow(lambda it: _verify(it, threshold), "id_a string, id_b string, jaccard double")
+    a = sketch.select(F.col("id").alias("id_a"), F.col("text").alias("a"))
+    b = sketch.select(F.col("id").alias("id_b"), F.col("text").alias("b"))
+    out = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "a", "id_b", "b").mapInArrow(lambda it: _verify(it, threshold, k), "id_a string, id_b string, jaccard double")
     large = members.where(F.col("n") > small)
     if large.isEmpty():
         return out
@@ -128,8 +130,8 @@ def near_pairs(texts: DataFrame, threshold: float = 0.9, k: int = 5, small: int
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     large = large.select(F.xxhash64("bucket", lo, hi).alias("grp"), F.when(lo == hi, 0).otherwise((F.col("own") == hi).cast("int")).alias("side"), "id")
-    tasks = large.join(sketch.select("id", "shingles"), "id").select("grp", "side", "id", "shingles").repartition("grp").sortWithinPartitions("grp")
-    wide = tasks.mapInArrow(lambda it: _verify_blocks(it, threshold), "id_a string, id_b string, jaccard double")
+    tasks = large.join(sketch.select("id", "text"), "id").select("grp", "side", "id", "text").repartition("grp").sortWithinPartitions("grp")
+    wide = tasks.mapInArrow(lambda it: _verify_blocks(it, threshold, k), "id_a string, id_b string, jaccard double")
     return out.unionByName(wide).dropDuplicates(["id_a", "id_b"])
 
 
