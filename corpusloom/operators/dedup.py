@@ -62,13 +62,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     """Signatures; the text goes along, as it is a fraction of its set of shingles."""
     a, b = _hashes(PERMUTATIONS)
     for batch in batches:
-        ids, sigs, texts = [], [], []
+        ids, sigs, texts, sizes = [], [], [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if t:
                 ids.append(i)
-                sigs.append(((shingle_hashes(t, k)[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.uint32).tobytes())
+                own = shingle_hashes(t, k)
+                sigs.append(((own[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.uint32).tobytes())
                 texts.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sigs, pa.binary()), pa.array(texts, pa.string())], names=["id", "sig", "text"])
+                sizes.append(len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sigs, pa.binary()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], names=["id", "sig", "text", "size"])
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -111,7 +113,7 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], least: float, k: int) -> I
 
 def near_pairs(texts: DataFrame, threshold: float = 0.9, k: int = 5, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b, of texts (id, text; ids unique) whose shingle sets are similar enough."""
-    sketch = keep(texts.select("id", "text").mapInArrow(lambda it: _sketch(it, k), "id string, sig binary, text string"), "sketch")
+    sketch = keep(texts.select("id", "text").mapInArrow(lambda it: _sketch(it, k), "id string, sig binary, text string, size int"), "sketch")
     n_bands, width = PERMUTATIONS // BAND_ROWS, 4 * BAND_ROWS
     bands = sketch.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("band"))
     bands = bands.select("id", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"))
@@ -120,9 +122,9 @@ def near_pairs(texts: DataFrame, threshold: float = 0.9, k: int = 5, small: int
     listed = members.where(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("m"))
     listed = listed.select(F.posexplode("m").alias("i", "id_a"), "m").select("id_a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("id_b"))
     pairs = counts.where("n = 2").select("id_a", "id_b").unionByName(listed).where("id_a < id_b").distinct()
-    a = sketch.select(F.col("id").alias("id_a"), F.col("text").alias("a"))
-    b = sketch.select(F.col("id").alias("id_b"), F.col("text").alias("b"))
-    out = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "a", "id_b", "b").mapInArrow(lambda it: _verify(it, threshold, k), "id_a string, id_b string, jaccard double")
+    a = sketch.select(F.col("id").alias("id_a"), F.col("text").alias("a"), F.col("size").alias("na"))
+    b = sketch.select(F.col("id").alias("id_b"), F.col("text").alias("b"), F.col("size").alias("nb"))
+    out = pairs.join(a, "id_a").join(b, "id_b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("id_a", "a", "id_b", "b").mapInArrow(lambda it: _verify(it, threshold, k), "id_a string, id_b string, jaccard double")
     large = members.where(F.col("n") > small)
     if large.isEmpty():
         return out
