@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
-from itertools import product
+from itertools import islice, product
 from random import Random
 
 import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.util import Identifiable
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -24,7 +26,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluate as E
 from corpusloom.operators import features as X
+from corpusloom.operators import linear as N
+from corpusloom.operators import terms as R
 from corpusloom.operators.splits import stratified_folds
+from corpusloom.plans.durable import discard, keep
 
 
 @dataclass(frozen=True)
@@ -56,13 +61,13 @@ class Config:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it has fewer; a small file is one partition, and its terms are much work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df in four partitions for each core, if it has fewer; a small file is one partition, and its terms are much work."""
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def featurize(df: DataFrame, cfg: Config, text: str = "text_clean") -> DataFrame:
-    """Adds the terms of both blocks: _w, one and two words, and _c, characters within what stands between white space."""
+    """Adds the tokens of both blocks as text: _w, words between blanks, and _c, what stands between white space, each with a blank of its own on either side."""
     t = F.coalesce(F.col(text), F.lit(""))
     if cfg.clean:
         t = T.clean(t, {"light": T.LIGHT, "heavy": T.HEAVY}[cfg.clean])
@@ -73,13 +78,8 @@ def featurize(df: DataFrame, cfg: Config, text: str = "text_clean") -> DataFrame
     if stops:
         words = F.filter(words, lambda w: ~w.isin(*stops))
     spaced = T.tokens(F.lower(t) if cfg.lowercase else t)
-    low, high = cfg.char_ngrams
-
-    def of_length(n: int) -> Column:
-        # A token that is shorter than n, blanks included, counts once, at the least n.
-        return T.word_bounded_chars(spaced if n == low else F.filter(spaced, lambda w: F.length(w) + 2 >= n), n, n)
-
-    out = df.withColumn("_w", T.ngrams(words, 1, 2)).withColumn("_c", F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)])))
+    padded = F.when(F.size(spaced) > 0, F.concat(F.lit(" "), F.array_join(spaced, "  "), F.lit(" "))).otherwise(F.lit(""))
+    out = df.withColumn("_w", F.array_join(words, " ")).withColumn("_c", padded)
     if cfg.lexicon:
         block = X.with_lexicon(out.withColumn("_tok", T.letter_tokens(t)), "_tok", cfg.lexicon)
         names = [c for c in block.columns if c not in out.columns and c != "_tok"]
@@ -87,51 +87,70 @@ def featurize(df: DataFrame, cfg: Config, text: str = "text_clean") -> DataFrame
     return out.withColumn("_l", F.array().cast("array<double>")).drop("_t")
 
 
+class Terms:
+    """A block's terms, the most frequent first: their codes, and as text, which is looked up when it is first asked for."""
+
+    def __init__(self, codes: np.ndarray, spell: Callable[[], list[str]]) -> None:
+        self.codes, self._spell, self._text = codes, spell, None
+
+    @property
+    def vocabulary(self) -> list[str]:
+        if self._text is None:
+            self._text = self._spell()
+        return self._text
+
+
 @dataclass
 class Features:
-    """The vocabulary and the smoothed idf (1 added) of both blocks, and how terms are weighted."""
+    """The vocabulary and the smoothed idf (1 added) of both blocks, and how terms are made and weighted."""
 
-    vocabularies: list[Model]
+    vocabularies: list[Terms]
     idf: list[np.ndarray]
     sublinear: bool = True
     lexicon_columns: int = 0
+    char_ngrams: tuple[int, int] = (3, 5)
+    binary: bool = False
+
+    def design(self) -> N.Design:
+        return N.Design([R.Vocabulary.of(v.codes) for v in self.vocabularies], np.concatenate(self.idf), self.char_ngrams, self.sublinear, self.binary, self.lexicon_columns)
 
 
 def fit_features(train: DataFrame, cfg: Config = Config()) -> Features:
     """From the training rows alone: terms of min_df rows or more, the most frequent first, and their weights."""
-    vocabularies, idf = [], []
-    for terms, size in (("_w", cfg.word_features), ("_c", cfg.char_features)):
-        v = CountVectorizer(inputCol=terms, outputCol=terms + "t", vocabSize=size, minDF=float(cfg.min_df), binary=cfg.binary).fit(train)
-        vocabularies.append(v)
-        idf.append(IDF(inputCol=terms + "t", outputCol=terms + "i").fit(v.transform(train)).idf.toArray() + 1.0)
-    return Features(vocabularies, idf, cfg.sublinear, len(X.CATEGORIES) * len(X.LEVELS) + 2 if cfg.lexicon else 0)
+    table, n = N.frequencies(train, cfg.char_ngrams, cfg.min_df)
+    codes, counts = zip(*[N.most_frequent(table, b, size) for b, size in enumerate((cfg.word_features, cfg.char_features))])
+    discard(table)
+    spelled: list[list[str]] = []
+
+    def spell(b: int) -> list[str]:
+        if not spelled:
+            spelled.extend(N.spellings(train, [R.Vocabulary.of(c) for c in codes], cfg.char_ngrams))
+        return spelled[b]
+
+    vocabularies = [Terms(c, lambda b=b: spell(b)) for b, c in enumerate(codes)]
+    return Features(vocabularies, [np.log((n + 1) / (df + 1)) + 1.0 for df in counts], cfg.sublinear, len(X.CATEGORIES) * len(X.LEVELS) + 2 if cfg.lexicon else 0, tuple(cfg.char_ngrams), cfg.binary)
 
 
 def apply_features(df: DataFrame, fitted: Features) -> DataFrame:
     """Adds features: in each block (1 + ln tf) * idf, or tf * idf, brought to length 1; then the lexicon's columns as they are."""
-    for v in fitted.vocabularies:
-        df = v.transform(df)
-    df = df.drop("_w", "_c")
-    sizes = [len(i) for i in fitted.idf]
-    weights = df.sparkSession.sparkContext.broadcast(fitted.idf)
-    sublinear, more = fitted.sublinear, fitted.lexicon_columns
-
-    def with_features(row):
-        *rest, w, c, lex = row
-        at, values = [], []
-        for tf, idf, start in zip((w, c), weights.value, (0, sizes[0])):
-            x = (1.0 + np.log(tf.values) if sublinear else tf.values) * idf[tf.indices]
-            at.append(tf.indices + start)
-            values.append(x / (np.sqrt(x @ x) or 1.0))
-        if more:
-            there = np.flatnonzero(lex)
-            at.append(there + sum(sizes))
-            values.append(np.asarray(lex)[there])
-        return (*rest, SparseVector(sum(sizes) + more, np.concatenate(at), np.concatenate(values)))
+    design = fitted.design()
+    shared = df.sparkSession.sparkContext.broadcast(design)
+
+    def with_features(rows):
+        d = shared.value
+        while some := list(islice(rows, R.CHUNK_ROWS // 8)):
+            *_, words, chars, lex = zip(*some)
+            for s in R.chunks(words, chars):
+                e = d.encode(words[s], chars[s])
+                x = N.weigh(e.tf, d.sublinear) * d.idf[e.at] * np.repeat(N.norms(e, d.idf, d.sublinear), np.diff(e.starts))
+                for k, row in enumerate(some[s]):
+                    own = slice(e.starts[2 * k], e.starts[2 * k + 2])
+                    there = np.flatnonzero(row[-1])
+                    yield (*row[:-3], SparseVector(len(d), np.concatenate([e.at[own], there + len(d.idf)]), np.concatenate([x[own], np.array(row[-1], float)[there]])))
 
     # A pass over rows: as a column, the optimizer would merge the function into expressions that cannot run it.
-    kept = df.drop("_wt", "_ct", "_l")
-    rows = df.select(*kept.columns, "_wt", "_ct", "_l").rdd.map(with_features)
+    kept = df.drop("_w", "_c", "_l")
+    rows = df.select(*kept.columns, "_w", "_c", "_l").rdd.mapPartitions(with_features)
     return df.sparkSession.createDataFrame(rows, StructType([*kept.schema.fields, StructField("features", VectorUDT())]), verifySchema=False)
 
 
@@ -168,12 +187,14 @@ class Trained:
     threshold: float
 
     def score(self, df: DataFrame) -> DataFrame:
-        out, total = apply_features(featurize(spread(df), self.cfg), self.features), F.lit(0.0)
-        for k, (model, ab) in enumerate(self.members):
-            s = score_column(model)
-            out = model.transform(out).withColumn(f"_s{k}", sigmoid(F.lit(ab[0]) * s + F.lit(ab[1])) if ab else s).drop("rawPrediction", "probability", "prediction")
-            total = total + F.col(f"_s{k}")
-        return out.withColumn("y_score", total / len(self.members)).drop("features", *[f"_s{k}" for k in range(len(self.members))])
+        rows = featurize(spread(df), self.cfg)
+        if self.cfg.kind != "gbt":
+            weights = [np.append(m.coefficients.toArray(), m.intercept) for m, _ in self.members]
+            sigmoids = [ab or (1.0, 0.0) for _, ab in self.members]
+            return N.score(rows, self.features.design(), weights, lambda z: np.mean([N.sigmoid(a * x + b) for x, (a, b) in zip(z, sigmoids)], axis=0))
+        model = self.members[0][0]
+        out = model.transform(apply_features(rows, self.features))
+        return out.withColumn("y_score", score_column(model)).drop("features", "rawPrediction", "probability", "prediction")
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("y_pred", (F.col("y_score") >= self.threshold).cast("int"))
@@ -184,35 +205,48 @@ def train(train_rows: DataFrame, val_rows: DataFrame, cfg: Config = Config()) ->
 
     An svm is one model for each calibration fold, fitted on the other folds, with a sigmoid fitted on its own.
     """
-    rows = featurize(spread(weighted(train_rows.where("label is not null"), cfg.balanced)), cfg)
+    source = spread(weighted(train_rows.where("label is not null"), cfg.balanced))
+    rows = featurize(source, cfg)
     fitted = fit_features(rows, cfg)
-    ready = apply_features(rows, fitted)
-    if cfg.kind == "svm":
-        ready = stratified_folds(ready.drop("fold"), k=cfg.calibration_folds)
-    ready = ready.select("features", "label", "weight", *["fold"] * (cfg.kind == "svm")).persist()
-    total = lambda df: float(df.agg(F.sum("weight")).first()[0] or 1.0)
-    try:
-        if cfg.kind == "svm":
-            members = []
-            for f in range(cfg.calibration_folds):
-                rest, own = ready.where(f"fold <> {f}"), ready.where(f"fold = {f}")
-                model = estimator(cfg, total(rest)).fit(rest)
-                members.append((model, platt(model.transform(own).select(score_column(model).alias("y_score"), F.col("label").alias("y_true")))))
-        else:
-            members = [(estimator(cfg, total(ready)).fit(ready), None)]
-    finally:
-        ready.unpersist()
+    if cfg.kind == "gbt" or cfg.l1:
+        ready = apply_features(rows, fitted).select("features", "label", "weight").persist()
+        try:
+            members = [(estimator(cfg, float(ready.agg(F.sum("weight")).first()[0] or 1.0)).fit(ready), None)]
+        finally:
+            ready.unpersist()
+    else:
+        svm, design = cfg.kind == "svm", fitted.design()
+        if svm:
+            rows = featurize(stratified_folds(source.select("id", "text_clean", "label", "weight"), k=cfg.calibration_folds), cfg)
+        table = N.blocks(rows if svm else rows.withColumn("fold", F.lit(0)), design)
+        weights = N.fit(table, design, cfg.kind, list(range(cfg.calibration_folds)) if svm else [None], cfg.c, cfg.params.get("reg"), cfg.tol, cfg.max_iter)
+        sigmoids: list[tuple[float, float] | None] = [None]
+        if svm:
+            own = N.margins(table, design, weights)
+            sigmoids = [platt(own.where(f"fold = {f}")) for f in range(cfg.calibration_folds)]
+            discard(own)
+        discard(table)
+        members = [(linear_model(cfg.kind, w), ab) for w, ab in zip(weights, sigmoids)]
     out = Trained(cfg, fitted, members, 0.5)
     val = val_rows.where("label is not null")
     val = train_rows.where("label is not null") if val.limit(20).count() < 20 else val
-    best = E.best_threshold(out.score(val).withColumn("y_true", F.col("label")).withColumn("one", F.lit(1)), ["one"]).collect()
+    scored = keep(out.score(val).select("y_score", F.col("label").alias("y_true"), F.lit(1).alias("one")), "scores")
+    best = E.best_threshold(scored, ["one"]).collect()
+    discard(scored)
     if best:
         out.threshold = best[0]["threshold"]
     return out
 
 
+def linear_model(kind: str, w: np.ndarray) -> Model:
+    """Spark's model of these coefficients, the intercept last."""
+    sc, kind = SparkSession.active().sparkContext, {"logreg": LogisticRegressionModel, "svm": LinearSVCModel}[kind]
+    made = getattr(sc._jvm.org.apache.spark.ml.classification, kind.__name__)(Identifiable()._randomUID(), _py2java(sc, DenseVector(w[:-1])), float(w[-1]))
+    return kind(made)
+
+
 def evaluate(model: Trained, df: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    rows = model.predict(df.where("label is not null")).withColumn("y_true", F.col("label")).select(*by, "y_true", "y_pred", "y_score")
+    rows = keep(model.predict(df.where("label is not null")).withColumn("y_true", F.col("label")).select(*by, "y_true", "y_pred", "y_score"), "predictions")  # read several times
     return E.classification(rows, by).join(E.areas(rows, by), list(by))
 
 
@@ -249,10 +283,10 @@ def stacked(df: DataFrame, weights: dict[str, float], bias: float, calibration:
 
 
 def save(model: Trained, folder: str) -> None:
-    """Vocabularies and members as Spark writes them, all else in one document beside them; the folder may be on any file system."""
+    """Vocabularies and members laid out as Spark writes them, all else in one document beside them; the folder may be on any file system."""
     spark = SparkSession.active()
     for k, v in enumerate(model.features.vocabularies):
-        v.write().overwrite().save(f"{folder}/vocabulary{k}")
+        spark.createDataFrame([(v.vocabulary,)], "vocabulary array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/vocabulary{k}/data")
     for k, (m, _) in enumerate(model.members):
         m.write().overwrite().save(f"{folder}/member{k}")
     doc = {
@@ -268,7 +302,9 @@ def load(spark: SparkSession, folder: str) -> Trained:
     cfg = Config(**tuples)
     kind = {"logreg": LogisticRegressionModel, "svm": LinearSVCModel, "gbt": GBTClassificationModel}[cfg.kind]
     members = [(kind.load(f"{folder}/member{k}"), tuple(ab) if ab else None) for k, ab in enumerate(doc["sigmoids"])]
-    fitted = Features([CountVectorizerModel.load(f"{folder}/vocabulary{k}") for k in range(len(doc["idf"]))], [np.array(i) for i in doc["idf"]], doc["sublinear"], doc["lexicon_columns"])
+    texts = [spark.read.parquet(f"{folder}/vocabulary{k}/data").first()["vocabulary"] for k in range(len(doc["idf"]))]
+    vocabularies = [Terms(R.codes_of(k, t, cfg.char_ngrams[1]), lambda t=t: t) for k, t in enumerate(texts)]
+    fitted = Features(vocabularies, [np.array(i) for i in doc["idf"]], doc["sublinear"], doc["lexicon_columns"], tuple(cfg.char_ngrams), cfg.binary)
     return Trained(cfg, fitted, members, doc["threshold"])
 
 

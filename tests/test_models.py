@@ -131,3 +131,23 @@ def test_rerank_and_boosted_trees(spark):
     assert 0 <= out[0]["cv_mean"] <= 1 and out[0]["cv_std"] >= 0
     m = M.train(df, df, M.Config(kind="gbt", depth=2, **small))
     assert m.predict(df).where("y_pred = label").count() > 50
+
+
+def test_streamed_fit_is_the_least_of_its_loss(spark):
+    """Each kind's gradient over plain feature vectors vanishes at the fitted weights, and the blocks' tokens give what the vectors give."""
+    import numpy as np
+
+    rows = [(f"i{k}", f"{'bad' if k % 4 == 0 else 'good'} thing aaaaaaa aaaa {'meh' if k % 7 else 'bad'} w{k % 5} 😂😂 bad", int(k % 4 == 0)) for k in range(60)] + [("none", "", 1), ("null", None, 0)]
+    df = spark.createDataFrame(rows, "id string, text_clean string, label int")
+    for kind in ("logreg", "svm"):
+        cfg = M.Config(kind=kind, balanced=False, min_df=2, tol=1e-7)
+        text = M.featurize(df.withColumn("weight", M.F.lit(1.0)).withColumn("fold", M.F.lit(9)), cfg)
+        fitted = M.fit_features(text, cfg)
+        assert "😂😂 " in fitted.vocabularies[1].vocabulary and "bad thing" in fitted.vocabularies[0].vocabulary
+        design = fitted.design()
+        (w,) = M.N.fit(M.N.blocks(text, design), design, kind, [None], tol=cfg.tol)
+        got = M.apply_features(text, fitted).select("features", "label").collect()
+        x, y = np.array([r.features.toArray() for r in got]), np.array([r.label for r in got])
+        z, s = x @ w[:-1] + w[-1], 2 * y - 1
+        r = -s / (1 + np.exp(s * z)) if kind == "logreg" else -2 * s * np.maximum(0, 1 - s * z)
+        assert np.abs(x.T @ r / len(y) + w[:-1] / len(y)).max() < 1e-6
