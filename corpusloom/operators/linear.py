@@ -25,11 +25,13 @@ BUCKETS, LEAST_BUCKETS = 4, 64
 BLOCKS_AT_ONCE = 2
 #: Characters of a block, of both columns.
 BLOCK_CHARS = 1 << 23
-#: What a block holds, and as what: words of the rows; their tokens; n-grams of the tokens; n-grams that a row has several times.
+#: What a block holds, and as what: words of the rows, and which of them a row has several times; their tokens; n-grams of the tokens, and which of them a token has several times; n-grams that a row has several times.
 PARTS = {
-    "words_low": np.uint16, "words_high": np.uint8, "words_tf": np.int32, "words_n": np.int32, "tokens": np.int32, "tokens_n": np.int32, "grams": np.int32, "grams_tf": np.int32, "grams_n": np.int32,
+    "words_low": np.uint16, "words_high": np.uint8, "words_n": np.int32, "more": np.int32, "more_tf": np.int32, "tokens": np.int32, "tokens_n": np.int32, "grams_low": np.uint16, "grams_high": np.uint8, "grams_n": np.int32, "twice": np.int32, "twice_tf": np.int32,
     "over_low": np.uint16, "over_high": np.uint8, "over_tf": np.int32, "over_n": np.int32, "norm": float, "lex": float, "label": float, "weight": float, "fold": np.int8,
 }
+#: Of a block's bytes: little is gained by others, which take longer to undo at each step.
+CODEC = "lz4_raw"
 
 
 @contextmanager
@@ -177,7 +179,7 @@ def blocks(df: DataFrame, design: Design) -> DataFrame:
         if rows:
             yield block_of(rows, d)
 
-    return keep(df.select("_w", "_c", "_l", "label", "weight", "fold").mapInArrow(write, "n int, parts array<binary>"), "blocks")
+    return keep(df.select("_w", "_c", "_l", "label", "weight", "fold").mapInArrow(write, "n int, data binary"), "blocks")
 
 
 def block_of(rows: list[tuple], d: Design) -> pa.RecordBatch:
@@ -202,13 +204,28 @@ def block_of(rows: list[tuple], d: Design) -> pa.RecordBatch:
             grams.append(np.stack([c.row[there] + s.start, place[there] + len(d.vocabularies[0].codes), c.tf[there]]))
     grams = np.concatenate(grams, axis=1)
     grams = grams[:, np.argsort(grams[0], kind="stable")]
-    of_words, of_over = np.concatenate(words_at), np.concatenate(over_at)
+    of_words, of_over, tf, gram, gram_tf = np.concatenate(words_at), np.concatenate(over_at), np.concatenate(words_tf), grams[1], grams[2]
+    more, twice = np.flatnonzero(tf != 1), np.flatnonzero(gram_tf != 1)
     values = (
-        of_words, of_words >> 16, np.concatenate(words_tf), np.concatenate(words_n), tokens.indices.to_numpy(zero_copy_only=False), np.diff(split.offsets.to_numpy()),
-        grams[1], grams[2], np.bincount(grams[0], minlength=len(spelled)), of_over, of_over >> 16, np.concatenate(over_tf), np.concatenate(over_n), np.concatenate(norm), np.array(lex).ravel(), label, weight, fold,
+        of_words, of_words >> 16, np.concatenate(words_n), more, tf[more], tokens.indices.to_numpy(zero_copy_only=False), np.diff(split.offsets.to_numpy()), gram, gram >> 16, np.bincount(grams[0], minlength=len(spelled)), twice, gram_tf[twice],
+        of_over, of_over >> 16, np.concatenate(over_tf), np.concatenate(over_n), np.concatenate(norm), np.array(lex).ravel(), label, weight, fold,
     )
-    parts = [np.asarray(v).astype(t).tobytes() for v, t in zip(values, PARTS.values(), strict=True)]
-    return pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int32()), "parts": pa.array([parts], pa.list_(pa.binary()))})
+    return pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int32()), "data": pa.array([packed([np.asarray(v).astype(t) for v, t in zip(values, PARTS.values(), strict=True)])], pa.binary())})
+
+
+def packed(parts: list[np.ndarray]) -> bytes:
+    """The parts' bytes, compressed one by one, after the lengths of each without and with that."""
+    small = [pa.compress(x.tobytes(), CODEC, asbytes=True) if x.nbytes else b"" for x in parts]
+    return b"".join([np.array([(x.nbytes, len(y)) for x, y in zip(parts, small)], np.int64).tobytes(), *small])
+
+
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
+    lengths, out = np.frombuffer(data, np.int64, 2 * len(PARTS)).reshape(-1, 2), {}
+    at, view = lengths.nbytes, memoryview(data)
+    for (name, t), (n, small) in zip(PARTS.items(), lengths.tolist()):
+        out[name] = np.frombuffer(pa.decompress(view[at : at + small], n, CODEC) if n else b"", t)
+        at += small
+    return out
 
 
 def apart(counts: np.ndarray) -> np.ndarray:
@@ -220,17 +237,16 @@ class Block:
     """A block that was read: entries x = tf * norm * idf, where idf is left to the weights."""
 
     def __init__(self, row: dict, sublinear: bool = True, binary: bool = False, lexicon_columns: int = 0) -> None:
-        p = {name: np.frombuffer(x, t) for (name, t), x in zip(PARTS.items(), row["parts"])}
+        p = unpacked(row["data"])
+        places = lambda x: p[f"{x}_low"] | p[f"{x}_high"].astype(np.int64) << 16
         self.n = row["n"]
-        self.words = p["words_low"].astype(np.int64) | p["words_high"].astype(np.int64) << 16
-        self.more = np.flatnonzero(p["words_tf"] != 1)
-        self.more_x = np.ones(len(self.more)) if binary else weigh(p["words_tf"][self.more], sublinear)
-        self.words_n, self.tokens, self.tokens_n = p["words_n"], p["tokens"].astype(np.int64), p["tokens_n"]
-        self.grams, self.grams_n = p["grams"].astype(np.int64), p["grams_n"]
-        self.twice = np.flatnonzero(p["grams_tf"] != 1)
-        self.twice_x = p["grams_tf"][self.twice].astype(float)
-        self.over, self.over_n, self.over_tf = p["over_low"].astype(np.int64) | p["over_high"].astype(np.int64) << 16, p["over_n"], p["over_tf"].astype(float)
-        self.over_x = np.ones(len(self.over)) if binary else weigh(self.over_tf, sublinear)
+        self.words, self.words_n, self.more = places("words"), p["words_n"], p["more"]
+        self.more_x = np.ones(len(self.more)) if binary else weigh(p["more_tf"], sublinear)
+        self.tokens, self.tokens_n = p["tokens"].astype(np.int64), p["tokens_n"]
+        self.grams, self.grams_n, self.twice, self.twice_x = places("grams"), p["grams_n"], p["twice"], p["twice_tf"].astype(float)
+        self.over, self.over_n, tf = places("over"), p["over_n"], p["over_tf"]
+        self.over_tf = tf.astype(float)
+        self.over_x = np.ones(len(tf)) if binary else weigh(np.arange(tf.max() + 1), sublinear)[tf] if len(tf) and tf.max() < len(tf) else weigh(tf, sublinear)
         self.norm = p["norm"].reshape(-1, 2)
         self.lex = p["lex"].reshape(self.n, lexicon_columns)
         self.label, self.weight, self.fold = p["label"], p["weight"], p["fold"]
@@ -278,7 +294,7 @@ def squared_hinge(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 LOSSES = {"logreg": (logistic, 0.25, False), "svm": (squared_hinge, 2.0, True)}
 
 
-def lbfgs(x: np.ndarray, done, max_iter: int, memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+def lbfgs(x: np.ndarray, done, max_iter: int, memory: int = 20) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
     """Yields points and is sent value and gradient of each; returns the point where done(value, gradient), or after max_iter steps."""
     f, g = yield x
     past: deque = deque(maxlen=memory)
@@ -321,31 +337,35 @@ def fit(table: DataFrame, design: Design, kind: str, left_out: Sequence[int | No
     """
     spark, dims, size, sublinear, binary, extra = table.sparkSession, len(design.idf), len(design) + 1, design.sublinear, design.binary, design.lexicon_columns
     loss, steepest, with_intercept = LOSSES[kind]
-    cores = spark.sparkContext.defaultParallelism
     scale = np.concatenate([design.idf, np.ones(extra + 1)])
-    source = table.coalesce(cores).rdd  # planned once for all steps
+    source = table.coalesce(spark.sparkContext.defaultParallelism)
 
     def run(points: dict[int, np.ndarray] | None) -> dict[int, np.ndarray]:
         """Sums by model: value and gradient at the model's point, or total weight, the positive rows' weight, sums of x and of its square."""
         shared = spark.sparkContext.broadcast(points)
 
-        def part(rows):
+        def part(batches):
             points, sums = shared.value, {}
-            for row in rows:
-                b = Block(row, sublinear, binary, extra)
-                for k in range(len(left_out)) if points is None else points:
-                    weight = b.weight if left_out[k] is None else b.weight * (b.fold != left_out[k])
-                    if points is None:
-                        x = np.concatenate([[weight.sum(), weight @ (b.label > 0)], b.gathered(weight, dims), b.gathered(weight, dims, 2)])
-                    else:
-                        losses, r = loss(b.margins(points[k], dims), b.label)
-                        x = np.concatenate([[weight @ losses], b.gathered(weight * r, dims)])
-                    sums[k] = sums[k] + x if k in sums else x
-            return [(k, x.tobytes()) for k, x in sums.items()]
+            for batch in batches:
+                for row in batch.to_pylist():
+                    b = Block(row, sublinear, binary, extra)
+                    for k in range(len(left_out)) if points is None else points:
+                        weight = b.weight if left_out[k] is None else b.weight * (b.fold != left_out[k])
+                        if points is None:
+                            x = np.concatenate([[weight.sum(), weight @ (b.label > 0)], b.gathered(weight, dims), b.gathered(weight, dims, 2)])
+                        else:
+                            losses, r = loss(b.margins(points[k], dims), b.label)
+                            x = np.concatenate([[weight @ losses], b.gathered(weight * r, dims)])
+                        sums[k] = sums[k] + x if k in sums else x
+            for k, x in sums.items():
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "sums": [x.tobytes()]})
 
         out: dict[int, np.ndarray] = {}
-        for k, x in source.mapPartitions(part).collect():
-            out[k] = out.get(k, 0) + np.frombuffer(x)
+        # Blocks go to Python as Arrow's bytes: as an RDD of rows they are pickled, which takes longer than the sums.
+        with few_at_once(spark):
+            got = source.mapInArrow(part, "k int, sums binary").toArrow()
+        for k, x in zip(got.column("k").to_pylist(), got.column("sums")):
+            out[k] = out.get(k, 0) + np.frombuffer(x.as_buffer())
         shared.destroy()
         return out
 

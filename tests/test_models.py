@@ -151,3 +151,20 @@ def test_streamed_fit_is_the_least_of_its_loss(spark):
         z, s = x @ w[:-1] + w[-1], 2 * y - 1
         r = -s / (1 + np.exp(s * z)) if kind == "logreg" else -2 * s * np.maximum(0, 1 - s * z)
         assert np.abs(x.T @ r / len(y) + w[:-1] / len(y)).max() < 1e-6
+
+
+def test_blocks_are_one_value_of_few_bytes(spark):
+    """A block goes to Python as one value, smaller than four bytes an entry, and holds what its rows' features hold."""
+    import numpy as np
+
+    cfg = M.Config(min_df=1)
+    df = toy(spark, 300).withColumn("weight", M.F.lit(1.0)).withColumn("fold", M.F.lit(0))
+    text = M.featurize(df.coalesce(1), cfg)
+    fitted = M.fit_features(text, cfg)
+    design = fitted.design()
+    (row,) = M.N.blocks(text, design).collect()
+    block, x = M.N.Block(row.asDict()), np.array([r.features.toArray() for r in M.apply_features(text, fitted).select("features").collect()])
+    assert block.n == 300 and len(row.data) < 4 * (x != 0).sum()
+    w, r = np.random.default_rng(3).normal(size=len(design) + 1), np.random.default_rng(4).normal(size=300)
+    assert block.margins(w * np.append(design.idf, 1.0), len(design.idf)) == pytest.approx(x @ w[:-1] + w[-1])
+    assert block.gathered(r, len(design.idf))[:-1] * design.idf == pytest.approx(r @ x)
