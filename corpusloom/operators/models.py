@@ -115,8 +115,11 @@ class Features:
         return N.Design([R.Vocabulary.of(v.codes) for v in self.vocabularies], np.concatenate(self.idf), self.char_ngrams, self.sublinear, self.binary, self.lexicon_columns)
 
 
-def fit_features(train: DataFrame, cfg: Config = Config()) -> Features:
-    """From the training rows alone: terms of min_df rows or more, the most frequent first, and their weights."""
+def fit_features(train: DataFrame, cfg: Config = Config(), later: DataFrame | None = None) -> Features:
+    """From the training rows alone: terms of min_df rows or more, the most frequent first, and their weights.
+
+    later: the same rows, for the terms' text, if train is a table that is deleted before it may be asked for.
+    """
     table, n = N.frequencies(train, cfg.char_ngrams, cfg.min_df)
     codes, counts = zip(*[N.most_frequent(table, b, size) for b, size in enumerate((cfg.word_features, cfg.char_features))])
     discard(table)
@@ -124,7 +127,7 @@ def fit_features(train: DataFrame, cfg: Config = Config()) -> Features:
 
     def spell(b: int) -> list[str]:
         if not spelled:
-            spelled.extend(N.spellings(train, [R.Vocabulary.of(c) for c in codes], cfg.char_ngrams))
+            spelled.extend(N.spellings(train if later is None else later, [R.Vocabulary.of(c) for c in codes], cfg.char_ngrams))
         return spelled[b]
 
     vocabularies = [Terms(c, lambda b=b: spell(b)) for b, c in enumerate(codes)]
@@ -206,8 +209,10 @@ def train(train_rows: DataFrame, val_rows: DataFrame, cfg: Config = Config()) ->
     An svm is one model for each calibration fold, fitted on the other folds, with a sigmoid fitted on its own.
     """
     source = spread(weighted(train_rows.where("label is not null"), cfg.balanced))
-    rows = featurize(source, cfg)
-    fitted = fit_features(rows, cfg)
+    texts = featurize(source, cfg)
+    # Tokens are made once for counting and encoding; an svm's rows get their folds in between.
+    rows = texts if cfg.kind == "svm" else keep(texts.select("_w", "_c", "_l", "label", "weight"), "tokens")
+    fitted = fit_features(rows, cfg, texts)
     if cfg.kind == "gbt" or cfg.l1:
         ready = apply_features(rows, fitted).select("features", "label", "weight").persist()
         try:
@@ -227,6 +232,7 @@ def train(train_rows: DataFrame, val_rows: DataFrame, cfg: Config = Config()) ->
             discard(own)
         discard(table)
         members = [(linear_model(cfg.kind, w), ab) for w, ab in zip(weights, sigmoids)]
+    discard(rows)
     out = Trained(cfg, fitted, members, 0.5)
     val = val_rows.where("label is not null")
     val = train_rows.where("label is not null") if val.limit(20).count() < 20 else val

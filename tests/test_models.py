@@ -168,3 +168,14 @@ def test_blocks_are_one_value_of_few_bytes(spark):
     w, r = np.random.default_rng(3).normal(size=len(design) + 1), np.random.default_rng(4).normal(size=300)
     assert block.margins(w * np.append(design.idf, 1.0), len(design.idf)) == pytest.approx(x @ w[:-1] + w[-1])
     assert block.gathered(r, len(design.idf))[:-1] * design.idf == pytest.approx(r @ x)
+
+
+def test_tokens_are_made_once(spark, monkeypatch):
+    """Counting and encoding read one written table, which is gone when the terms' text is asked for."""
+    seen = []
+    for name in ("frequencies", "blocks"):
+        monkeypatch.setattr(M.N, name, lambda df, *a, f=getattr(M.N, name): seen.append(sorted(df.inputFiles())) or f(df, *a))
+    df = toy(spark, 60)
+    m = M.train(df, df, M.Config(max_iter=3, min_df=1, word_features=20, char_features=20))
+    assert seen[0] and seen[0] == seen[1] and all("/tokens-" in f for f in seen[0])
+    assert {"good", "bad"} <= set(m.features.vocabularies[0].vocabulary)
