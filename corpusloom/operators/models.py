@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from itertools import islice, product
 from random import Random
@@ -208,10 +209,12 @@ def train(train_rows: DataFrame, val_rows: DataFrame, cfg: Config = Config()) ->
 
     An svm is one model for each calibration fold, fitted on the other folds, with a sigmoid fitted on its own.
     """
-    source = spread(weighted(train_rows.where("label is not null"), cfg.balanced))
-    texts = featurize(source, cfg)
-    # Tokens are made once for counting and encoding; an svm's rows get their folds in between.
-    rows = texts if cfg.kind == "svm" else keep(texts.select("_w", "_c", "_l", "label", "weight"), "tokens")
+    source = weighted(train_rows.where("label is not null"), cfg.balanced)
+    svm = cfg.kind == "svm"
+    texts = featurize(spread(source), cfg)
+    # Folds move the rows, which spreads them.  Tokens are made once for counting and encoding.
+    folds = featurize(stratified_folds(source.select("id", "text_clean", "label", "weight"), k=cfg.calibration_folds), cfg) if svm else texts.withColumn("fold", F.lit(0))
+    rows = keep(folds.select("_w", "_c", "_l", "label", "weight", "fold"), "tokens")
     fitted = fit_features(rows, cfg, texts)
     if cfg.kind == "gbt" or cfg.l1:
         ready = apply_features(rows, fitted).select("features", "label", "weight").persist()
@@ -220,15 +223,14 @@ def train(train_rows: DataFrame, val_rows: DataFrame, cfg: Config = Config()) ->
         finally:
             ready.unpersist()
     else:
-        svm, design = cfg.kind == "svm", fitted.design()
-        if svm:
-            rows = featurize(stratified_folds(source.select("id", "text_clean", "label", "weight"), k=cfg.calibration_folds), cfg)
-        table = N.blocks(rows if svm else rows.withColumn("fold", F.lit(0)), design)
+        design = fitted.design()
+        table = N.blocks(rows, design)
         weights = N.fit(table, design, cfg.kind, list(range(cfg.calibration_folds)) if svm else [None], cfg.c, cfg.params.get("reg"), cfg.tol, cfg.max_iter)
         sigmoids: list[tuple[float, float] | None] = [None]
         if svm:
             own = N.margins(table, design, weights)
-            sigmoids = [platt(own.where(f"fold = {f}")) for f in range(cfg.calibration_folds)]
+            with ThreadPoolExecutor(cfg.calibration_folds) as side_by_side:
+                sigmoids = list(side_by_side.map(lambda f: platt(own.where(f"fold = {f}")), range(cfg.calibration_folds)))
             discard(own)
         discard(table)
         members = [(linear_model(cfg.kind, w), ab) for w, ab in zip(weights, sigmoids)]

@@ -179,3 +179,24 @@ def test_tokens_are_made_once(spark, monkeypatch):
     m = M.train(df, df, M.Config(max_iter=3, min_df=1, word_features=20, char_features=20))
     assert seen[0] and seen[0] == seen[1] and all("/tokens-" in f for f in seen[0])
     assert {"good", "bad"} <= set(m.features.vocabularies[0].vocabulary)
+
+
+def test_svm_reads_tokens_once_in_blocks_of_one_fold(spark, monkeypatch):
+    """An svm's tokens are made once too; each block has the rows of one fold, and a model's gradient over the rows of the other folds vanishes."""
+    import numpy as np
+
+    seen, kept = [], []
+    for name in ("frequencies", "blocks"):
+        monkeypatch.setattr(M.N, name, lambda df, *a, f=getattr(M.N, name): seen.append(sorted(df.inputFiles())) or f(df, *a))
+    fit = M.N.fit
+    monkeypatch.setattr(M.N, "fit", lambda table, design, *a: kept.append(([M.N.Block(r.asDict()) for r in table.collect()], design, fit(table, design, *a))) or kept[0][2])
+    df = toy(spark, 90)
+    M.train(df, df, M.Config(kind="svm", balanced=False, min_df=1, tol=1e-7))
+    assert seen[0] and seen[0] == seen[1] and all("/tokens-" in f for f in seen[0])
+    ((blocks, design, weights),) = kept
+    assert sum(b.n for b in blocks) == 90 and {int(b.fold[0]) for b in blocks} == {0, 1, 2} and all(len(set(b.fold)) == 1 for b in blocks)
+    dims = len(design.idf)
+    for k, w in enumerate(weights):
+        others = [b for b in blocks if b.fold[0] != k]
+        g = sum(b.gathered(M.N.squared_hinge(b.margins(w * np.append(design.idf, 1.0), dims), b.label)[1], dims) for b in others) * np.append(design.idf, 1.0) + w
+        assert np.abs(g).max() / sum(b.n for b in others) < 1e-6
